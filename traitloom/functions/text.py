@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
-def strip(text: Column, characters: str = WHITESPACE) -> Column:
-    return F.trim(text, F.lit(characters))
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def before(text: Column, mark: str) -> Column:

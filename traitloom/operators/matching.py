@@ -18,19 +18,12 @@ def short_list(words: DataFrame, limit: int = WORD_LIMIT) -> list[str] | None:
     return [row[0] for row in rows] if len(rows) <= limit else None
 
 
-def _windows(text: Column, sizes: list[int]) -> Column:
-    """All distinct substrings of ``text`` with one of the given lengths."""
-    pieces = [
-        F.when(
-            F.length(text) >= size,
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - size + 1),
-                lambda start, size=size: F.substr(text, start, F.lit(size)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for size in sizes
-    ]
-    return F.array_distinct(F.concat(*pieces))
+def _pieces(text: Column, size: int) -> Column:
+    """The substrings of ``text`` of one length."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(
+        F.length(text) >= size, F.transform(starts, lambda start: F.substr(text, start, F.lit(size)))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def texts_with_word(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -42,7 +35,10 @@ def texts_with_word(texts: DataFrame, words: DataFrame) -> DataFrame:
     text, word = texts.columns[0], words.columns[0]
     lengths = words.select(F.length(word).alias("n")).distinct()
     sizes = sorted(row["n"] for row in lengths.collect())  # at most the longest word
-    pieces = texts.distinct().select(text, F.explode(_windows(F.col(text), sizes)).alias("_word"))
+    if not sizes:
+        return texts.limit(0)
+    windows = F.array_distinct(F.concat(*[_pieces(F.col(text), size) for size in sizes]))
+    pieces = texts.distinct().select(text, F.explode(windows).alias("_word"))
     known = words.select(F.col(word).alias("_word")).distinct()
     return spread_join(pieces, known, "_word", "left_semi", [text]).select(text).distinct()
 

@@ -64,7 +64,7 @@ def labelled_pairs(pairs: DataFrame) -> DataFrame:
 
 def used_terms(vocab: DataFrame, pairs: DataFrame) -> DataFrame:
     """The vocabulary terms that at least one gene has."""
-    return vocab.select("term").join(pairs.select("term").distinct(), "term", "left_semi")
+    return pairs.select("term").distinct().join(vocab, "term", "left_semi")
 
 
 def encode(
