@@ -34,11 +34,12 @@ def restrict_genes(annotated: DataFrame, genes: DataFrame) -> DataFrame:
 def term_positions(annotations: DataFrame, order: list[str]) -> DataFrame:
     """Add ``nth``, the place of each annotation in its gene's list, from 0.
 
+    ``order`` must tell all rows of a gene apart, as the place in a file does.
     All rows are numbered in one global order over range partitions, so the
     list of a large gene is spread over many tasks; the gene's first number is
     then subtracted.
     """
-    numbered, _ = dense_index(annotations, ["gene", *order, "term"], "_at")
+    numbered, _ = dense_index(annotations, ["gene", *order], "_at")
     first = numbered.groupBy("gene").agg(F.min("_at").alias("_first"))
     return spread_join(numbered, first, "gene", salt_by=["_at"]).select(
         *annotations.columns, (F.col("_at") - F.col("_first")).alias("nth")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.operators.matrix import Matrix
+from traitloom.operators.skew import spread_join
 
 # The statuses in the order of the report.
 STATUSES = ("MISSING_IN_B", "LABEL_MISMATCH", "GO_TERM_MISMATCH", "EXACT_MATCH")
@@ -30,8 +31,8 @@ def changed_cells(a: Matrix, b: Matrix) -> DataFrame:
     )
     paired = sides.groupBy("gene", "term").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
     differs = F.coalesce("va", F.lit("0")) != F.coalesce("vb", F.lit("0"))
-    # with no one-sided terms the anti join has an empty side
-    return paired.where(differs).select("gene", "term").join(_one_sided(a, b), "term", "left_anti")
+    changed = paired.where(differs).select("gene", "term")
+    return spread_join(changed, _one_sided(a, b), "term", "left_anti", ["gene"])
 
 
 def compare(a: Matrix, b: Matrix) -> DataFrame:

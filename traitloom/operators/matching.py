@@ -9,7 +9,7 @@ from traitloom.functions.text import contains_any
 from traitloom.operators.skew import spread_join
 
 # Up to this many words are tested inside the scan; more are matched by a join.
-WORD_LIMIT = 500
+WORD_LIMIT = 200
 
 
 def short_list(words: DataFrame, limit: int = WORD_LIMIT) -> list[str] | None:

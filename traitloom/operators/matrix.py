@@ -44,9 +44,9 @@ def term_pairs(
     direct = direct.select("gene", "status", "term")
     if closure is None:
         return direct.distinct()
-    pairs = spread_join(direct, closure, "term", salt_by=["gene"]).select(
-        "gene", "status", F.col("ancestor").alias("term")
-    )
+    pairs = spread_join(
+        direct, closure, "term", salt_by=["gene"], few_salt_by=["ancestor"]
+    ).select("gene", "status", F.col("ancestor").alias("term"))
     if obsolete is not None:
         pairs = pairs.unionByName(spread_join(direct, obsolete, "term", "left_semi", ["gene"]))
     return pairs.distinct()

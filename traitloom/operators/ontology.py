@@ -68,7 +68,7 @@ def adjacency(edges: DataFrame, longest: int = 10_000) -> DataFrame:
     links = edges.select(F.inline(sides))
     sizes = links.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / longest).alias("parts"))
     digest = F.conv(F.substr(F.md5(F.col("other").cast("string")), F.lit(1), F.lit(8)), 16, 10)
-    dealt = spread_join(links, sizes, "id").withColumn(
+    dealt = spread_join(links, sizes, "id", salt_by=["side", "other"]).withColumn(
         "part", F.pmod(digest.cast("bigint"), F.col("parts"))
     )
 
@@ -87,7 +87,7 @@ def _strides(steps: DataFrame, stride: int) -> tuple[DataFrame, int]:
             F.col("at").alias("via"), F.col("next").alias("far"), F.col("hops").alias("more")
         )
         longer = spread_join(
-            reach.withColumnRenamed("next", "via"), onward, "via", salt_by=["at"]
+            reach.withColumnRenamed("next", "via"), onward, "via", salt_by=["at"], few_salt_by=["far"]
         ).select("at", F.col("far").alias("next"), (F.col("hops") + F.col("more")).alias("hops"))
         reach, _ = cut(
             reach.unionByName(longer).groupBy("at", "next").agg(F.min("hops").alias("hops")),
@@ -110,9 +110,9 @@ def closure(
     itself appears only where a cycle leads back to it.
 
     Breadth first over the edges, ``stride`` levels per round: each round joins
-    the pairs found at the last level with the stride table, reduces them to
-    distinct pairs, and removes pairs already found. Every round is written to
-    the shared folder, so the plan of a round never holds the ones before it.
+    the pairs found at the last level with the stride table and keeps the pairs
+    not found before. Every round is written to the shared folder, so the plan
+    of a round never holds the ones before it.
     """
     here, there = ("child", "parent") if upward else ("parent", "child")
     steps = (
@@ -130,23 +130,25 @@ def closure(
         start, _ = cut(start.join(wanted, "term", "left_semi"), "closure")
     rounds = [start]
     for number in range(1, max_rounds + 1):
+        depth = width * number
         # a pair found before the last level of its round had its steps taken there
-        frontier = rounds[-1].where(F.col("hops") == width * number)
-        candidates = (
-            spread_join(frontier, hop, "reached", salt_by=["term"])
-            .groupBy("term", F.col("far").alias("reached"))
-            .agg(F.min(F.col("hops") + F.col("more")).alias("hops"))
-        )
-        found = reduce(DataFrame.unionByName, rounds)
+        frontier = rounds[-1].where(F.col("hops") == depth)
+        candidates = spread_join(
+            frontier, hop, "reached", salt_by=["term"], few_salt_by=["far"]
+        ).select("term", F.col("far").alias("reached"), (F.col("hops") + F.col("more")).alias("hops"))
+        # pairs of earlier rounds are at most ``depth`` away, so the smallest
+        # distance tells the new ones apart without a join
         fresh, measured = cut_measured(
-            candidates.join(found, ["term", "reached"], "left_anti"),
+            reduce(DataFrame.unionByName, rounds, candidates)
+            .groupBy("term", "reached")
+            .agg(F.min("hops").alias("hops"))
+            .where(F.col("hops") > depth),
             "closure",
             deepest=F.max("hops"),
         )
-        if measured["rows"] == 0:
-            return found
-        rounds.append(fresh)
-        if measured["deepest"] < width * (number + 1):
+        if measured["rows"]:
+            rounds.append(fresh)
+        if not measured["rows"] or measured["deepest"] < depth + width:
             return reduce(DataFrame.unionByName, rounds)
     raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.scratch import cut
@@ -25,7 +25,7 @@ def spark_will_broadcast(df: DataFrame) -> bool:
     return estimate <= _threshold(df.sparkSession)
 
 
-def hot_keys(df: DataFrame, on: Sequence[str]) -> tuple[DataFrame, int]:
+def hot_keys(df: DataFrame, on: Sequence[str], salts: str) -> tuple[DataFrame, int]:
     """Keys that fill at least one average shuffle partition, with their salt counts.
 
     With ``p`` shuffle partitions a key is listed if it holds 1/p of the rows or
@@ -36,45 +36,68 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> tuple[DataFrame, int]:
     total = df.select(F.count(F.lit(1)).alias("_total")).scalar()
     return cut(
         counts.where(F.col("_n") * parts >= total).select(
-            *on, F.ceil(F.col("_n") * parts / total).cast("int").alias("_salts")
+            *on, F.ceil(F.col("_n") * parts / total).cast("int").alias(salts)
         ),
         "hot-keys",
     )
 
 
+def _dealt(columns: Sequence[str], salts: str) -> Column:
+    """The salt of a row: a hash of its columns, 0 where the key is not hot."""
+    return F.when(F.col(salts).isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*columns), F.col(salts)).cast("int")
+    )
+
+
+def _repeated(salts: str) -> Column:
+    """One row for each salt of the key."""
+    return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))
+
+
 def spread_join(
     many: DataFrame,
     few: DataFrame,
     on: str | Sequence[str],
     how: str = "inner",
     salt_by: Sequence[str] | None = None,
+    few_salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join ``many`` (left) with ``few``, salting the keys that are hot in ``many``.
-
-    Where Spark's estimate lets it broadcast ``few`` there is no shuffle and so
-    nothing to salt. Otherwise each hot key is split over as many salts as it
-    fills partitions, and the rows of ``few`` are repeated for those keys only.
-    The salt is a hash of ``salt_by`` (all other columns by default), never a
-    random number, so that a retried task sends each row to the same place;
-    ``many`` must have been reduced to rows that differ in these columns.
+    """Join ``many`` (left) with ``few``, salting the keys that are hot.
+
+    Where Spark's estimate lets it broadcast a side there is no shuffle and so
+    nothing to salt. Otherwise each key that is hot in ``many`` is split over as
+    many salts as it fills partitions, and the rows of ``few`` are repeated for
+    those keys only. The salt is a hash of ``salt_by`` (all other columns by
+    default), never a random number, so that a retried task sends each row to
+    the same place; ``many`` must have been reduced to rows that differ in these
+    columns. ``few`` may have several rows for a key in an inner join: with
+    ``few_salt_by`` its own hot keys are split the same way.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if spark_will_broadcast(few):
+    if few_salt_by is not None and how != "inner":
+        raise ValueError("the right side can be salted in an inner join only")
+    if spark_will_broadcast(few) or (how == "inner" and spark_will_broadcast(many)):
         return many.join(few, keys, how)
-    hot, found = hot_keys(many, keys)
+    hot, found = hot_keys(many, keys, "_salts")
+    if few_salt_by is None:
+        hot = hot.withColumn("_few_salts", F.lit(None).cast("int"))
+    else:
+        few_hot, few_found = hot_keys(few, keys, "_few_salts")
+        hot, found = hot.join(few_hot, keys, "full"), found + few_found
     if found == 0:
         return many.join(few, keys, how)
-    salt_by = list(salt_by or [c for c in many.columns if c not in keys])
-    # hot has at most spark.sql.shuffle.partitions rows
-    salted_many = many.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*salt_by), F.col("_salts")).cast("int")
-        ),
+    # at most twice spark.sql.shuffle.partitions rows
+    hot = F.broadcast(hot)
+    salted_many = (
+        many.join(hot, keys, "left")
+        .withColumn("_salt", _dealt(salt_by or [c for c in many.columns if c not in keys], "_salts"))
+        .withColumn("_few_salt", _repeated("_few_salts"))
+        .drop("_salts", "_few_salts")
     )
-    salted_few = few.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    salted_few = (
+        few.join(hot, keys, "left")
+        .withColumn("_few_salt", _dealt(few_salt_by or keys, "_few_salts"))
+        .withColumn("_salt", _repeated("_salts"))
+        .drop("_salts", "_few_salts")
     )
-    return salted_many.drop("_salts").join(
-        salted_few.drop("_salts"), [*keys, "_salt"], how
-    ).drop("_salt")
+    return salted_many.join(salted_few, [*keys, "_salt", "_few_salt"], how).drop("_salt", "_few_salt")

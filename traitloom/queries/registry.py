@@ -145,7 +145,8 @@ def annotate(spark, folder):
 @query
 def annotate_list(spark, folder):
     """Every annotation with its place in the gene's list, repeats included."""
-    listed = an.term_positions(st.annotations(spark, folder), st.ANNOTATION_ORDER)
+    order = [*st.ANNOTATION_ORDER, "term", "row"]
+    listed = an.term_positions(st.annotations(spark, folder), order)
     return listed.select("gene", "nth", "term")
 
 

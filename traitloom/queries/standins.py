@@ -47,8 +47,9 @@ def labels(spark: SparkSession, folder: str, mixed: str = "lethal_wins") -> Data
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """``(gene, term, l_orderkey, l_linenumber, l_suppkey)`` of the source ``A``."""
+    """``(gene, term)``, the keys that order them and a row id, of the source ``A``."""
     lines = table(spark, folder, "lineitem").where("l_returnflag = 'A'")
+    lines = lines.withColumn("row", F.monotonically_increasing_id())
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.expr("concat('G', o_custkey)").alias("gene"),
@@ -58,6 +59,7 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         "l_suppkey",
+        "row",
     )
 
 
