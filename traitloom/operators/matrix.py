@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from traitloom.functions.text import dash_quotes
 from traitloom.operators.annotate import genes_of
 from traitloom.operators.ontology import vocabulary
 from traitloom.operators.skew import spread_join
+from traitloom.scratch import cut
 
 # The text around the attributes and the rows of an ARFF file.
 ARFF_RELATION = "@RELATION gene_lethality\n"
@@ -24,7 +26,7 @@ class Matrix:
     """A matrix in long form: a cell that is not listed holds ``'0'``."""
 
     genes: DataFrame  # gene, status
-    cells: DataFrame  # gene, term, value
+    cells: DataFrame  # gene, term, idx, value
     vocab: DataFrame  # term, idx
 
 
@@ -33,22 +35,24 @@ def term_pairs(
     closure: DataFrame | None = None,
     mark: str | None = None,
     obsolete: DataFrame | None = None,
+    carry: Sequence[str] = ("gene", "status"),
 ) -> DataFrame:
-    """Distinct ``(gene, status, term)``: direct terms, or with all their ancestors.
+    """Distinct ``carry`` columns and ``term``: direct terms, or with all ancestors.
 
     ``closure`` holds ``(term, ancestor)`` with each term as its own ancestor;
     terms outside it do not propagate. Obsolete direct terms are kept where
     given. ``mark`` limits the direct terms to ids that contain it.
     """
     direct = annotated if mark is None else annotated.where(F.col("term").contains(mark))
-    direct = direct.select("gene", "status", "term")
+    direct = direct.select(*carry, "term")
     if closure is None:
         return direct.distinct()
     pairs = spread_join(
         direct, closure, "term", salt_by=["gene"], few_salt_by=["ancestor"]
-    ).select("gene", "status", F.col("ancestor").alias("term"))
+    ).select(*carry, F.col("ancestor").alias("term"))
     if obsolete is not None:
-        pairs = pairs.unionByName(spread_join(direct, obsolete, "term", "left_semi", ["gene"]))
+        kept = spread_join(direct, obsolete, "term", "left_semi", ["gene"])
+        pairs = pairs.unionByName(kept)
     return pairs.distinct()
 
 
@@ -79,19 +83,20 @@ def encode(
     Without ``closure`` only direct terms are set. Every annotated gene has a
     row, also one with no term in the vocabulary.
     """
-    pairs = term_pairs(annotated, closure, mark)
+    pairs = term_pairs(annotated, closure, mark, carry=["gene"])
+    if prune and closure is not None:
+        pairs, _ = cut(pairs, "pairs")  # read for the vocabulary and for the cells
     kept = used_terms(terms, pairs) if prune else terms.select("term").distinct()
     vocab, _ = vocabulary(kept)
-    cells = spread_join(pairs, vocab, "term", "left_semi", ["gene"]).select(
-        "gene", "term", F.lit("1").alias("value")
+    cells = spread_join(pairs, vocab, "term", salt_by=["gene"]).select(
+        "gene", "term", "idx", F.lit("1").alias("value")
     )
     return Matrix(genes=genes_of(annotated), cells=cells, vocab=vocab)
 
 
 def indexed_cells(matrix: Matrix) -> DataFrame:
     """``(gene, idx)`` of the cells that hold ``'1'``."""
-    ones = matrix.cells.where(F.col("value") == "1")
-    return spread_join(ones, matrix.vocab, "term", salt_by=["gene"]).select("gene", "idx")
+    return matrix.cells.where(F.col("value") == "1").select("gene", "idx")
 
 
 def dense_text(ix: Column, width: Column) -> Column:

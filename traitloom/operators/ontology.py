@@ -80,7 +80,7 @@ def adjacency(edges: DataFrame, longest: int = 10_000) -> DataFrame:
 
 def _strides(steps: DataFrame, stride: int) -> tuple[DataFrame, int]:
     """``(at, next, hops)`` for everything within ``stride`` steps, by doubling."""
-    reach, _ = cut(steps.withColumn("hops", F.lit(1)), "steps")
+    reach = steps.withColumn("hops", F.lit(1))
     width = 1
     while width < stride:
         onward = reach.select(
@@ -94,6 +94,8 @@ def _strides(steps: DataFrame, stride: int) -> tuple[DataFrame, int]:
             "strides",
         )
         width *= 2
+    if width == 1:
+        reach, _ = cut(reach, "strides")
     return reach, width
 
 

@@ -66,5 +66,5 @@ def read_arff(spark: SparkSession, path) -> Matrix:
         lambda entry: (entry["value"] != "0") & (entry["idx"] < terms),
     )
     entries = rows.select("gene", F.inline(marked))
-    cells = spread_join(entries, vocab, "idx").select("gene", "term", "value")
+    cells = spread_join(entries, vocab, "idx").select("gene", "term", "idx", "value")
     return Matrix(genes=genes, cells=cells, vocab=vocab)
