@@ -41,7 +41,7 @@ def term_positions(annotations: DataFrame, order: list[str]) -> DataFrame:
     """
     numbered, _ = dense_index(annotations, ["gene", *order], "_at")
     first = numbered.groupBy("gene").agg(F.min("_at").alias("_first"))
-    return spread_join(numbered, first, "gene", salt_by=["_at"]).select(
+    return spread_join(numbered, first, "gene", salt_by=["_at"], settled=True).select(
         *annotations.columns, (F.col("_at") - F.col("_first")).alias("nth")
     )
 

@@ -80,22 +80,25 @@ def adjacency(edges: DataFrame, longest: int = 10_000) -> DataFrame:
 
 def _strides(steps: DataFrame, stride: int) -> tuple[DataFrame, int]:
     """``(at, next, hops)`` for everything within ``stride`` steps, by doubling."""
-    reach = steps.withColumn("hops", F.lit(1))
+    reach, _ = cut(steps.withColumn("hops", F.lit(1)), "steps")
     width = 1
     while width < stride:
         onward = reach.select(
             F.col("at").alias("via"), F.col("next").alias("far"), F.col("hops").alias("more")
         )
         longer = spread_join(
-            reach.withColumnRenamed("next", "via"), onward, "via", salt_by=["at"], few_salt_by=["far"]
+            reach.withColumnRenamed("next", "via"),
+            onward,
+            "via",
+            salt_by=["at"],
+            few_salt_by=["far"],
+            settled=True,
         ).select("at", F.col("far").alias("next"), (F.col("hops") + F.col("more")).alias("hops"))
         reach, _ = cut(
             reach.unionByName(longer).groupBy("at", "next").agg(F.min("hops").alias("hops")),
             "strides",
         )
         width *= 2
-    if width == 1:
-        reach, _ = cut(reach, "strides")
     return reach, width
 
 
@@ -136,7 +139,7 @@ def closure(
         # a pair found before the last level of its round had its steps taken there
         frontier = rounds[-1].where(F.col("hops") == depth)
         candidates = spread_join(
-            frontier, hop, "reached", salt_by=["term"], few_salt_by=["far"]
+            frontier, hop, "reached", salt_by=["term"], few_salt_by=["far"], settled=True
         ).select("term", F.col("far").alias("reached"), (F.col("hops") + F.col("more")).alias("hops"))
         # pairs of earlier rounds are at most ``depth`` away, so the smallest
         # distance tells the new ones apart without a join

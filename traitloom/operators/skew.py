@@ -61,6 +61,7 @@ def spread_join(
     how: str = "inner",
     salt_by: Sequence[str] | None = None,
     few_salt_by: Sequence[str] | None = None,
+    settled: bool = False,
 ) -> DataFrame:
     """Join ``many`` (left) with ``few``, salting the keys that are hot.
 
@@ -72,12 +73,17 @@ def spread_join(
     the same place; ``many`` must have been reduced to rows that differ in these
     columns. ``few`` may have several rows for a key in an inner join: with
     ``few_salt_by`` its own hot keys are split the same way.
+
+    Unless ``many`` is ``settled``, a written table or little more, it is
+    written first, so that counting its keys does not run its plan twice.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if few_salt_by is not None and how != "inner":
         raise ValueError("the right side can be salted in an inner join only")
     if spark_will_broadcast(few) or (how == "inner" and spark_will_broadcast(many)):
         return many.join(few, keys, how)
+    if not settled:
+        many, _ = cut(many, "many")
     hot, found = hot_keys(many, keys, "_salts")
     if few_salt_by is None:
         hot = hot.withColumn("_few_salts", F.lit(None).cast("int"))
