@@ -120,31 +120,26 @@ def dense_text(ix: Column, width: Column) -> Column:
     return F.concat(F.array_join(zeros, ""), rest)
 
 
-def arff_rows(matrix: Matrix) -> DataFrame:
-    """``(gene, line)``: the dense data line of each gene.
+def sparse_rows(matrix: Matrix) -> DataFrame:
+    """``(gene, status, ix)``: the sorted vocabulary places of each gene's terms.
 
-    The indices collected for a gene are distinct places of the vocabulary, so
-    a list is never longer than the line it becomes.
+    The places collected for a gene are distinct, so a list is never longer
+    than the ARFF line it becomes.
     """
     lists = indexed_cells(matrix).groupBy("gene").agg(F.sort_array(F.collect_list("idx")).alias("ix"))
-    width = matrix.vocab.select(F.count(F.lit(1)).alias("width")).scalar()
-    ix = F.coalesce("ix", F.array().cast("array<bigint>"))
-    rows = matrix.genes.join(lists, "gene", "left").select(
-        "gene", "status", ix.alias("ix"), width.alias("width")
-    )
-    return rows.select(
-        "gene",
-        F.concat(
-            dash_quotes(F.col("gene").cast("string")),
-            F.lit(","),
-            dense_text(F.col("ix"), F.col("width")),
-            # an empty vocabulary still leaves an empty vector between two commas
-            F.when(F.col("width") == 0, ",").otherwise(""),
-            "status",
-        ).alias("line"),
+    none = F.array().cast("array<bigint>")
+    return matrix.genes.join(lists, "gene", "left").select(
+        "gene", "status", F.coalesce("ix", none).alias("ix")
     )
 
 
+def arff_line(width: Column) -> Column:
+    """The data line of a sparse row for a vocabulary of ``width`` terms."""
+    # an empty vocabulary still leaves an empty vector between two commas
+    vector = F.when(width == 0, ",").otherwise(dense_text(F.col("ix"), width))
+    return F.concat(dash_quotes(F.col("gene")), F.lit(","), vector, "status")
+
+
 def arff_header(vocab: DataFrame) -> DataFrame:
     """``(section, at, line)`` of everything above the data rows."""
     spark = vocab.sparkSession

@@ -7,30 +7,60 @@ from pyspark.sql import functions as F
 
 from traitloom.functions.text import python_bool
 from traitloom.operators.diff import ordered_report
-from traitloom.operators.matrix import Matrix, arff_header, arff_rows
+from traitloom.operators.matrix import Matrix, arff_header, arff_line, sparse_rows
 
 _MODE = "errorifexists"
 
 
+def ordered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows so that the parts, in name order, are sorted."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def ordered_lines(df: DataFrame, order: list[str]) -> DataFrame:
-    """The column ``line`` so that the parts, in name order, are sorted."""
-    return df.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
+    return ordered(df, order).select("line")
 
 
-def arff_lines(matrix: Matrix) -> DataFrame:
-    """All lines of an ARFF file with their order keys ``(section, at, gene)``."""
-    header = arff_header(matrix.vocab).withColumn("gene", F.lit(""))
-    rows = arff_rows(matrix).select(
+_ARFF_ORDER = ["section", "at", "gene"]
+
+
+def _arff_items(matrix: Matrix) -> DataFrame:
+    """Header lines, and data rows that are still sparse, with their order keys."""
+    header = arff_header(matrix.vocab).select(
+        "section",
+        "at",
+        F.lit("").alias("gene"),
+        F.lit("").alias("status"),
+        F.array().cast("array<bigint>").alias("ix"),
+        "line",
+    )
+    rows = sparse_rows(matrix).select(
         F.lit(3).alias("section"),
         F.lit(0).cast("bigint").alias("at"),
-        "line",
         F.col("gene").cast("string").alias("gene"),
+        "status",
+        "ix",
+        F.lit(None).cast("string").alias("line"),
     )
     return header.unionByName(rows)
 
 
+def _with_lines(items: DataFrame, matrix: Matrix) -> DataFrame:
+    width = matrix.vocab.select(F.count(F.lit(1)).alias("width")).scalar()
+    lines = items.withColumn("width", width)
+    return lines.select(*_ARFF_ORDER, F.coalesce("line", arff_line(F.col("width"))).alias("line"))
+
+
+def arff_lines(matrix: Matrix) -> DataFrame:
+    """All lines of an ARFF file with their order keys ``(section, at, gene)``."""
+    return _with_lines(_arff_items(matrix), matrix)
+
+
 def write_arff(matrix: Matrix, path: str, mode: str = _MODE) -> None:
-    ordered_lines(arff_lines(matrix), ["section", "at", "gene"]).write.mode(mode).text(path)
+    """The rows are sorted while sparse and written out dense."""
+    _with_lines(ordered(_arff_items(matrix), _ARFF_ORDER), matrix).select("line").write.mode(
+        mode
+    ).text(path)
 
 
 def pair_lines(labelled: DataFrame) -> DataFrame:

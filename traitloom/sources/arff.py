@@ -9,6 +9,7 @@ from traitloom.functions.text import strip, strip_quotes, stripped_parts
 from traitloom.operators.matrix import Matrix
 from traitloom.operators.ordering import dense_index
 from traitloom.operators.skew import spread_join
+from traitloom.scratch import cut
 from traitloom.sources.lines import POSITION, read_lines
 
 
@@ -49,22 +50,29 @@ def read_arff(spark: SparkSession, path) -> Matrix:
         .groupBy("term")
         .agg((F.max("at") - 1).alias("idx"))
     )
-    rows = (
-        data.select(stripped_parts(F.col("value"), ",").alias("parts"), "place")
-        .groupBy(F.col("parts")[0].alias("gene"))
-        .agg(F.max_by("parts", "place").alias("parts"))
-    )
-    genes = rows.select("gene", F.element_at("parts", -1).alias("status"))
     terms = max(count - 2, 0)
     values = F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0)))
-    padded = F.concat(
-        values, F.array_repeat(F.lit("NA"), F.greatest(F.lit(terms) - F.size(values), F.lit(0)))
-    )
-    # the filter runs on the array, so that a row's zeros are never exploded
-    marked = F.filter(
-        F.transform(padded, lambda value, i: F.struct(i.cast("long").alias("idx"), value.alias("value"))),
+    missing = F.greatest(F.lit(terms) - F.size(values), F.lit(0))
+    padded = F.concat(values, F.array_repeat(F.lit("NA"), missing))
+    # filtered as an array, so that neither a shuffle nor a row sees the zeros
+    entries = F.filter(
+        F.transform(
+            padded, lambda value, i: F.struct(i.cast("bigint").alias("idx"), value.alias("value"))
+        ),
         lambda entry: (entry["value"] != "0") & (entry["idx"] < terms),
     )
-    entries = rows.select("gene", F.inline(marked))
-    cells = spread_join(entries, vocab, "idx").select("gene", "term", "idx", "value")
+    last = (
+        data.select(stripped_parts(F.col("value"), ",").alias("parts"), "place")
+        .select(
+            F.col("parts")[0].alias("gene"),
+            F.struct(F.element_at("parts", -1).alias("status"), entries.alias("entries")).alias("row"),
+            "place",
+        )
+        .groupBy("gene")
+        .agg(F.max_by("row", "place").alias("row"))
+    )
+    rows, _ = cut(last.select("gene", "row.status", "row.entries"), "arff")
+    genes = rows.select("gene", "status")
+    entries = rows.select("gene", F.inline("entries"))
+    cells = spread_join(entries, vocab, "idx", settled=True).select("gene", "term", "idx", "value")
     return Matrix(genes=genes, cells=cells, vocab=vocab)
