@@ -22,8 +22,12 @@ def annotate(labels: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def genes_of(annotated: DataFrame) -> DataFrame:
-    """The labelled genes that have at least one annotation."""
-    return annotated.select("gene", "status").distinct()
+    """``(gene, status)`` of the labelled genes that have at least one annotation.
+
+    Grouped by the gene alone, so that a later join on it needs no new shuffle.
+    """
+    lethal = annotated.groupBy("gene").agg(F.bool_or(F.col("status") == "lethal").alias("lethal"))
+    return lethal.select("gene", F.when(F.col("lethal"), "lethal").otherwise("viable").alias("status"))
 
 
 def restrict_genes(annotated: DataFrame, genes: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.scratch import cut
@@ -16,8 +17,8 @@ def dense_index(df: DataFrame, by: Sequence[str], name: str) -> tuple[DataFrame,
     """Number the rows 0, 1, 2, ... in the order of ``by``; also return their count.
 
     Rows are range-partitioned and sorted, written once, and each partition's
-    numbers are shifted by the sizes of the partitions before it. Only one row
-    per partition goes through a single task.
+    numbers are shifted by the sizes of the partitions before it. Only these
+    sizes, one number per partition, come to the driver.
     """
     marked, rows = cut(
         df.repartitionByRange(*by)
@@ -25,16 +26,12 @@ def dense_index(df: DataFrame, by: Sequence[str], name: str) -> tuple[DataFrame,
         .withColumn("_at", F.monotonically_increasing_id()),
         "ordered",
     )
-    placed = marked.withColumn("_part", F.shiftright("_at", _ROW_BITS)).withColumn(
-        "_nth", F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
-    )
-    # offsets has one row per shuffle partition
-    numbered = placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_offset") + F.col("_nth")).alias(name)
+    part = F.shiftright("_at", _ROW_BITS)
+    sizes = dict(marked.groupBy(part).agg(F.count(F.lit(1))).collect())
+    before = accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0)
+    offsets = F.lit(list(before)).cast("array<bigint>")
+    nth = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    numbered = marked.select(
+        *df.columns, (F.element_at(offsets, (part + 1).cast("int")) + nth).alias(name)
     )
     return numbered, rows
