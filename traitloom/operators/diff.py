@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.operators.matrix import Matrix
+from traitloom.operators.matrix import Matrix, term_cells
 from traitloom.operators.skew import spread_join
 
 # The statuses in the order of the report.
@@ -26,8 +26,10 @@ def changed_cells(a: Matrix, b: Matrix) -> DataFrame:
     Only listed cells are compared: two unlisted ones are both ``'0'``. The rows
     are grouped by gene and term, so no gene is hot.
     """
-    sides = a.cells.select("gene", "term", F.col("value").alias("va"), F.lit(None).alias("vb")).unionByName(
-        b.cells.select("gene", "term", F.lit(None).alias("va"), F.col("value").alias("vb"))
+    sides = term_cells(a).select(
+        "gene", "term", F.col("value").alias("va"), F.lit(None).alias("vb")
+    ).unionByName(
+        term_cells(b).select("gene", "term", F.lit(None).alias("va"), F.col("value").alias("vb"))
     )
     paired = sides.groupBy("gene", "term").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
     differs = F.coalesce("va", F.lit("0")) != F.coalesce("vb", F.lit("0"))

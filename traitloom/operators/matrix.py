@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,6 @@ from traitloom.functions.text import dash_quotes
 from traitloom.operators.annotate import genes_of
 from traitloom.operators.ontology import vocabulary
 from traitloom.operators.skew import spread_join
-from traitloom.scratch import cut
 
 # The text around the attributes and the rows of an ARFF file.
 ARFF_RELATION = "@RELATION gene_lethality\n"
@@ -26,30 +24,30 @@ class Matrix:
     """A matrix in long form: a cell that is not listed holds ``'0'``."""
 
     genes: DataFrame  # gene, status
-    cells: DataFrame  # gene, term, idx, value
+    cells: DataFrame  # gene, idx, value
     vocab: DataFrame  # term, idx
 
 
+def _marked(annotated: DataFrame, mark: str | None) -> DataFrame:
+    return annotated if mark is None else annotated.where(F.col("term").contains(mark))
+
+
 def term_pairs(
     annotated: DataFrame,
-    closure: DataFrame | None = None,
+    closure: DataFrame,
     mark: str | None = None,
     obsolete: DataFrame | None = None,
-    carry: Sequence[str] = ("gene", "status"),
 ) -> DataFrame:
-    """Distinct ``carry`` columns and ``term``: direct terms, or with all ancestors.
+    """Distinct ``(gene, status, term)`` with all ancestors of the direct terms.
 
     ``closure`` holds ``(term, ancestor)`` with each term as its own ancestor;
     terms outside it do not propagate. Obsolete direct terms are kept where
     given. ``mark`` limits the direct terms to ids that contain it.
     """
-    direct = annotated if mark is None else annotated.where(F.col("term").contains(mark))
-    direct = direct.select(*carry, "term")
-    if closure is None:
-        return direct.distinct()
+    direct = _marked(annotated, mark).select("gene", "status", "term")
     pairs = spread_join(
         direct, closure, "term", salt_by=["gene"], few_salt_by=["ancestor"]
-    ).select(*carry, F.col("ancestor").alias("term"))
+    ).select("gene", "status", F.col("ancestor").alias("term"))
     if obsolete is not None:
         kept = spread_join(direct, obsolete, "term", "left_semi", ["gene"])
         pairs = pairs.unionByName(kept)
@@ -66,9 +64,19 @@ def labelled_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def used_terms(vocab: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The vocabulary terms that at least one gene has."""
-    return pairs.select("term").distinct().join(vocab, "term", "left_semi")
+def used_terms(terms: DataFrame, direct: DataFrame, closure: DataFrame | None) -> DataFrame:
+    """The vocabulary terms that at least one gene has, directly or by propagation.
+
+    Whatever lies above a used term is used, so the genes are not needed.
+    """
+    used = direct.select("term").distinct()
+    if closure is not None:
+        used = (
+            closure.join(used, "term", "left_semi")
+            .select(F.col("ancestor").alias("term"))
+            .distinct()
+        )
+    return used.join(terms, "term", "left_semi")
 
 
 def encode(
@@ -81,19 +89,33 @@ def encode(
     """Multi-hot encoding over ``terms`` (pruned to the used ones by default).
 
     Without ``closure`` only direct terms are set. Every annotated gene has a
-    row, also one with no term in the vocabulary.
+    row, also one with no term in the vocabulary. The places are looked up for
+    the closure, which is far smaller than the gene-term pairs made from it.
     """
-    pairs = term_pairs(annotated, closure, mark, carry=["gene"])
-    if prune and closure is not None:
-        pairs, _ = cut(pairs, "pairs")  # read for the vocabulary and for the cells
-    kept = used_terms(terms, pairs) if prune else terms.select("term").distinct()
+    direct = _marked(annotated, mark).select("gene", "term")
+    kept = used_terms(terms, direct, closure) if prune else terms.select("term").distinct()
     vocab, _ = vocabulary(kept)
-    cells = spread_join(pairs, vocab, "term", salt_by=["gene"]).select(
-        "gene", "term", "idx", F.lit("1").alias("value")
+    places = vocab
+    if closure is not None:
+        places = spread_join(
+            closure, vocab.withColumnRenamed("term", "ancestor"), "ancestor", salt_by=["term"]
+        ).select("term", "idx")
+    cells = (
+        spread_join(direct, places, "term", salt_by=["gene"], few_salt_by=["idx"])
+        .select("gene", "idx")
+        .distinct()
+        .withColumn("value", F.lit("1"))
     )
     return Matrix(genes=genes_of(annotated), cells=cells, vocab=vocab)
 
 
+def term_cells(matrix: Matrix) -> DataFrame:
+    """``(gene, term, value)``: the cells with their terms."""
+    return spread_join(matrix.cells, matrix.vocab, "idx", salt_by=["gene"]).select(
+        "gene", "term", "value"
+    )
+
+
 def indexed_cells(matrix: Matrix) -> DataFrame:
     """``(gene, idx)`` of the cells that hold ``'1'``."""
     return matrix.cells.where(F.col("value") == "1").select("gene", "idx")

@@ -592,7 +592,7 @@ def scan_arff(spark, folder):
     path = st.scratch_path(spark, "arff")
     files.write_arff(_brand_matrix(spark, folder), path)
     matrix = read_arff(spark, path)
-    return matrix.cells.join(matrix.genes, "gene").select("gene", "status", "term", "value")
+    return mx.term_cells(matrix).join(matrix.genes, "gene").select("gene", "status", "term", "value")
 
 
 @query

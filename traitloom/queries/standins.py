@@ -123,7 +123,7 @@ def side_matrix(
     if without_type is not None:
         pairs = pairs.where(F.col("term") != without_type)
     terms, _ = vocabulary(pairs.select("term").distinct())
-    cells = pairs.distinct().join(terms, "term").withColumn("value", F.lit("1"))
+    cells = pairs.distinct().join(terms, "term").select("gene", "idx", F.lit("1").alias("value"))
     return Matrix(genes=genes, cells=cells, vocab=terms)
 
 

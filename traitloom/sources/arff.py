@@ -45,10 +45,11 @@ def read_arff(spark: SparkSession, path) -> Matrix:
     attributes, data = read_arff_lines(spark, path)
     indexed, count = dense_index(attributes, ["place"], "at")
     # a name listed twice keeps its last place, as a dictionary would
-    vocab = (
+    vocab, named = cut(
         indexed.where((F.col("at") > 0) & (F.col("at") < count - 1))
         .groupBy("term")
-        .agg((F.max("at") - 1).alias("idx"))
+        .agg((F.max("at") - 1).alias("idx")),
+        "vocabulary",
     )
     terms = max(count - 2, 0)
     values = F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0)))
@@ -73,6 +74,7 @@ def read_arff(spark: SparkSession, path) -> Matrix:
     )
     rows, _ = cut(last.select("gene", "row.status", "row.entries"), "arff")
     genes = rows.select("gene", "status")
-    entries = rows.select("gene", F.inline("entries"))
-    cells = spread_join(entries, vocab, "idx", settled=True).select("gene", "term", "idx", "value")
+    cells = rows.select("gene", F.inline("entries"))
+    if named < terms:
+        cells = spread_join(cells, vocab, "idx", "left_semi", ["gene"], settled=True)
     return Matrix(genes=genes, cells=cells, vocab=vocab)
