@@ -41,7 +41,8 @@ def compare(a: Matrix, b: Matrix) -> DataFrame:
     """``(gene, label_a, label_b, terms, statuses)`` for each gene of ``a``.
 
     ``terms`` is the sorted array of differing terms. Genes only in ``b`` are
-    ignored.
+    ignored. Terms in one vocabulary only belong to the text of every shared
+    gene, so their list is made once and is no longer than such a text.
     """
     one_sided = (
         _one_sided(a, b)
