@@ -67,7 +67,10 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = rows(batch)
-            arrays = [pa.array(columns[field.name], type=field.type) for field in made]
+            arrays = [
+                column if isinstance(column := columns[field.name], pa.Array) else pa.array(column, type=field.type)
+                for field in made
+            ]
             yield pa.RecordBatch.from_arrays(arrays, schema=made)
 
     return df.mapInArrow(run, schema)

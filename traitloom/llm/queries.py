@@ -3,19 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from traitloom.llm import sql
 from traitloom.llm.common import table
+from traitloom.llm.mixing import mix_sources, word_count
+from traitloom.llm.packing import best_fit_packing
 from traitloom.llm.quality import quality_rules
+from traitloom.llm.simhash import simhash_components
+from traitloom.scratch import cut
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized, _ = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    mixed, sizes, targets = mix_sources(sized, F.array("source"), F.col("size"))
+    # one row for each source of the mix
+    known = F.broadcast(
+        spark.createDataFrame(
+            [(source, sizes[source], targets[source]) for source in sizes],
+            "source string, source_size bigint, target double",
+        )
+    )
+    rows = mixed.select("row.doc_id", "row.source", "size", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.join(known, rows["source"].eqNullSafe(known["source"])).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash_components": op2_simhash_components,
+    "op3_source_mix": op3_source_mix,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 LLM_ORACLE = {
     "op1_quality_rules": sql.QUALITY_RULES,
+    "op3_source_mix": sql.SOURCE_MIX,
 }

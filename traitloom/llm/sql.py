@@ -85,3 +85,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND word_distance <= 0.18 + 2.8 / sqrt(n_words))) AS kept, char_distance, word_distance
 FROM ruled
 """
+
+# Every source is a pattern of its own here, so that the flow is the target itself.
+SOURCE_MIX = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len({WORDS.format(text="text")})::BIGINT AS size,
+         md5('7:' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM documents
+),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
+         [3, 1, 2][1 + row_number() OVER (ORDER BY source NULLS LAST) % 3] AS weight
+  FROM docs GROUP BY source
+),
+ordered AS (
+  SELECT *, row_number() OVER o AS turn, sum(3 * source_size) OVER o - 3 * source_size AS capped,
+         sum(weight) OVER () - sum(weight) OVER o + weight AS weights, sum(source_size) OVER () AS total
+  FROM sources WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)
+),
+levels AS (SELECT *, (total - capped) / weights AS level FROM ordered),
+free AS (SELECT level AS free_level, turn AS free_turn FROM levels WHERE 3 * source_size >= level * weight ORDER BY turn LIMIT 1),
+targets AS (
+  SELECT source, source_size, n,
+         CASE WHEN total = 0 THEN 0.0 WHEN turn >= free_turn THEN free_level * weight ELSE 3.0 * source_size END::DOUBLE AS target
+  FROM levels LEFT JOIN free ON true
+),
+plan AS (
+  SELECT *, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS amount,
+         CASE WHEN source_size > 0 THEN amount // source_size ELSE 0 END AS whole,
+         CASE WHEN source_size > 0 THEN amount % source_size ELSE 0 END AS rest, (n + 255) // 256 AS buckets
+  FROM targets
+),
+dealt AS (
+  SELECT d.*, p.* EXCLUDE (source),
+         floor(('0x' || substr(place, 1, 8))::BIGINT * buckets / 4294967296.0)::BIGINT AS bucket
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+),
+upto AS (
+  SELECT source, bucket, rest, words, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS upto
+  FROM (SELECT source, bucket, rest, sum(size) AS words FROM dealt GROUP BY ALL)
+),
+borders AS (
+  SELECT source, min(bucket) AS border, arg_min(rest - upto + words, bucket)::BIGINT AS room
+  FROM upto WHERE upto > rest GROUP BY source
+),
+split AS (
+  SELECT d.*, b.border, b.room,
+         CASE WHEN bucket = border THEN row_number() OVER (PARTITION BY d.source, bucket ORDER BY place, doc_id, size) END AS nth
+  FROM dealt d LEFT JOIN borders b ON d.source IS NOT DISTINCT FROM b.source
+),
+filled AS (
+  SELECT r, source, nth, CASE WHEN size BETWEEN 1 AND room THEN 1 ELSE 0 END AS taken,
+         CASE WHEN size <= room THEN room - size ELSE room END AS room
+  FROM split WHERE nth = 1
+  UNION ALL
+  SELECT s.r, s.source, s.nth, CASE WHEN s.size BETWEEN 1 AND f.room THEN 1 ELSE 0 END,
+         CASE WHEN s.size <= f.room THEN f.room - s.size ELSE f.room END
+  FROM filled f JOIN split s ON s.source IS NOT DISTINCT FROM f.source AND s.nth = f.nth + 1
+)
+SELECT s.doc_id, s.size, s.source_size, s.target,
+       s.size * CASE WHEN f.r IS NOT NULL THEN s.whole + f.taken
+                     WHEN s.border IS NULL THEN 0 ELSE least(3, s.whole + (s.bucket < s.border)::INT) END AS taken
+FROM split s LEFT JOIN filled f USING (r)
+"""
