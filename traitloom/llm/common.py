@@ -5,11 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -29,9 +28,9 @@ def raw_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
 
 
-def fold(doc_id: int | None, folds: int = 5) -> int:
-    """crc32 of the id as text, modulo ``folds``; a null id is in fold -1, which no rule names."""
-    return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
+def crc_fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -58,10 +57,11 @@ _SHIPPED: list = []
 
 
 def map_rows(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]], schema: str
+    df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` for a function that gives the columns of a batch's result."""
-    made = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    made = to_arrow_schema(schema)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

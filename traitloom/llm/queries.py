@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import sql
-from traitloom.llm.common import table
+from traitloom.llm import sql, toxicity
+from traitloom.llm.common import crc_fold, table
 from traitloom.llm.mixing import mix_sources, word_count
 from traitloom.llm.packing import best_fit_packing
 from traitloom.llm.quality import quality_rules
@@ -43,11 +43,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, lambda doc_id: crc_fold(doc_id, 5) != 0)
+    scored, score = toxicity.score_texts(docs, model, ["doc_id"])
+    return scored.select(
+        "doc_id", crc_fold(F.col("doc_id"), 5).eqNullSafe(0).alias("held_out"),
+        score, (F.col(score) >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 LLM_QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_components": op2_simhash_components,
     "op3_source_mix": op3_source_mix,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_weak_toxicity": op9_weak_toxicity,
 }
 LLM_ORACLE = {
     "op1_quality_rules": sql.QUALITY_RULES,
