@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import sql, toxicity
+from traitloom.llm import pii, sql, toxicity
 from traitloom.llm.common import crc_fold, table
 from traitloom.llm.mixing import mix_sources, word_count
 from traitloom.llm.packing import best_fit_packing
@@ -53,12 +53,23 @@ def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_disclosed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.disclosures(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in pii.PATTERNS],
+        F.sha2(pii.listed(*pii.PATTERNS), 256).alias("base_sha256"),
+        pii.listed(*pii.PATTERNS, "term").alias("spans"),
+    )
+
+
 LLM_QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_components": op2_simhash_components,
     "op3_source_mix": op3_source_mix,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_weak_toxicity": op9_weak_toxicity,
+    "op10_disclosed_entities": op10_disclosed_entities,
 }
 LLM_ORACLE = {
     "op1_quality_rules": sql.QUALITY_RULES,

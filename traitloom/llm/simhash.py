@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import map_rows, raw_words, ship, typed
+from traitloom.llm.common import free_name, map_rows, raw_words, ship, typed
 from traitloom.operators.skew import spread_join
 from traitloom.scratch import cut
 
@@ -55,14 +55,18 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > many, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint of each text as a signed bigint."""
+def with_fingerprints(docs: DataFrame, carry: list[str], width: int = 3) -> tuple[DataFrame, str]:
+    """The columns ``carry`` of all documents and the fingerprint of their text, a signed bigint; also its name."""
+    kept = docs.select(*[F.col(f"`{name}`") for name in carry])
+    text, fp = free_name(kept, "text_"), free_name(kept, "fp")
+    asked = kept if "text" in carry else docs.select(*kept.columns, F.col("text").alias(text))
+    text = "text" if "text" in carry else text
 
-    def hashed(batch: pa.RecordBatch) -> dict[str, list]:
-        prints = np.array([fingerprint(text, width) for text in batch["text"].to_pylist()], dtype=np.uint64)
-        return {"doc_id": batch["doc_id"], "fp": prints.view(np.int64)}
+    def hashed(batch: pa.RecordBatch) -> dict:
+        prints = np.array([fingerprint(x, width) for x in batch[text].to_pylist()], dtype=np.uint64)
+        return {name: batch[name] for name in carry} | {fp: prints.view(np.int64)}
 
-    return map_rows(typed(docs, doc_id="bigint", text="string"), hashed, "doc_id bigint, fp bigint")
+    return map_rows(asked, hashed, kept.withColumn(fp, F.lit(0).cast("bigint")).schema), fp
 
 
 @dataclass(frozen=True)
@@ -230,6 +234,20 @@ def components(pairs: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
+def linked_classes(prints: DataFrame, first: Column, links: int) -> tuple[DataFrame, DataFrame]:
+    """Tables (fp, root, first) of the fingerprints and (root, first) of their components.
+
+    root names a component; first is the least ``first`` of the documents in either. A
+    fingerprint is one node, however many documents have it.
+    """
+    classes, _ = cut(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    linked = components(linked_pairs(classes.select(F.col("fp").alias("id"), "fp"), links))
+    member = classes.join(linked, classes["fp"] == linked["id"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first"
+    )
+    return member, member.groupBy("root").agg(F.min("first").alias("first"))
+
+
 def simhash_components(docs: DataFrame, width: int = 3, links: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id.
 
@@ -239,16 +257,26 @@ def simhash_components(docs: DataFrame, width: int = 3, links: int = 3) -> DataF
     too, but never name a component unless it has no other documents: then it is null.
     Rows that repeat stay rows. Other columns are neither read nor returned.
     """
-    prints, _ = cut(fingerprints(docs, width), "fingerprints")
-    # a fingerprint is one node, however many documents have it; its number is that of its bits
-    classes, _ = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    pairs = linked_pairs(classes.select(F.col("fp").alias("id"), "fp"), links)
-    linked = components(pairs)
-    member = classes.join(linked, classes["fp"] == linked["id"], "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    prints, _ = cut(with_fingerprints(typed(docs, doc_id="bigint", text="string"), ["doc_id"], width)[0], "prints")
+    member, roots = linked_classes(prints, F.col("doc_id"), links)
+    roots = roots.withColumnRenamed("first", "component_id")
     named = spread_join(member.select("fp", "root"), roots, "root", salt_by=["fp"]).select("fp", "component_id")
     return spread_join(prints, named, "fp", salt_by=["doc_id"], settled=True).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 3, links: int = 3) -> DataFrame:
+    """The documents, one of each component: the one with the smallest doc_id, null last.
+
+    Of rows that tie one stays. All columns are kept; texts are handled as by
+    ``simhash_components``.
+    """
+    marked, fp = with_fingerprints(docs, docs.columns, width)
+    at = free_name(marked, "at")
+    # written once: the number of a row must not change between its uses
+    marked, _ = cut(marked.withColumn(at, F.monotonically_increasing_id()), "marked")
+    prints = marked.select(F.col(fp).alias("fp"), F.col("doc_id").alias("doc_id"), F.col(at).alias("at"))
+    _, roots = linked_classes(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at"), links)
+    stays = roots.select(F.col("first.at").alias(at))
+    return marked.join(stays, at, "left_semi").select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -207,9 +207,10 @@ def score_texts(docs: DataFrame, model: Model, carry: list[str]) -> tuple[DataFr
 
     A null text is scored as an empty one. Rows that repeat are scored each.
     """
-    text, score = free_name(docs.select(*carry), "text_"), free_name(docs.select(*carry), "score")
-    asked = docs.select(*[F.col(f"`{name}`") for name in carry], F.col("text").cast("string").alias(text))
-
+    kept = docs.select(*[F.col(f"`{name}`") for name in carry])
+    text, score = free_name(kept, "text_"), free_name(kept, "score")
+    asked = kept if "text" in carry else docs.select(*kept.columns, F.col("text").cast("string").alias(text))
+    text = "text" if "text" in carry else text
     jury = Jury(model.lexicon)
 
     def scored(batch: pa.RecordBatch) -> dict[str, list]:
@@ -217,5 +218,4 @@ def score_texts(docs: DataFrame, model: Model, carry: list[str]) -> tuple[DataFr
         odds = np.array([fired @ model.weights for fired in votes])
         return {name: batch[name] for name in carry} | {score: 1 / (1 + np.exp(-np.clip(odds, -30, 30)))}
 
-    schema = asked.drop(text).withColumn(score, F.lit(0.0)).schema
-    return map_rows(asked, scored, schema), score
+    return map_rows(asked, scored, kept.withColumn(score, F.lit(0.0)).schema), score
