@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traitloom.llm import pii, sql, toxicity
 from traitloom.llm.common import crc_fold, table
+from traitloom.llm.extraction import extract_main_text
 from traitloom.llm.mixing import mix_sources, word_count
 from traitloom.llm.packing import best_fit_packing
 from traitloom.llm.quality import quality_rules
@@ -39,6 +40,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ LLM_QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_components": op2_simhash_components,
     "op3_source_mix": op3_source_mix,
+    "op4_tag_path_text": op4_tag_path_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_disclosed_entities": op10_disclosed_entities,
