@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traitloom.llm import pii, sql, toxicity
 from traitloom.llm.common import crc_fold, table
 from traitloom.llm.extraction import extract_main_text
+from traitloom.llm.licenses import license_scan
 from traitloom.llm.mixing import mix_sources, word_count
 from traitloom.llm.packing import best_fit_packing
 from traitloom.llm.quality import quality_rules
@@ -48,6 +49,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def each(make):
+        return F.array_join(F.transform("matches", make), ",")
+
+    return license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("matches").cast("bigint").alias("n_matches"),
+        each(lambda x: x["license"]).alias("licenses"),
+        each(lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])).alias("spans"),
+        F.round(F.array_max(F.transform("matches", lambda x: x["coverage"])), 6).alias("best_coverage"),
+    )
+
+
 def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, lambda doc_id: crc_fold(doc_id, 5) != 0)
@@ -74,6 +88,7 @@ LLM_QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_tag_path_text": op4_tag_path_text,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_license_notices": op8_license_notices,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_disclosed_entities": op10_disclosed_entities,
 }
