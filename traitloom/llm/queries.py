@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import pii, sql, toxicity
+from traitloom.llm import pii, scoring, sql, toxicity
 from traitloom.llm.common import crc_fold, table
 from traitloom.llm.extraction import extract_main_text
 from traitloom.llm.licenses import license_scan
@@ -49,6 +49,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op7_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 5).eqNullSafe(1)
+    model, counts = scoring.train(docs.where(~held_out))
+    return scoring.score_texts(docs, model, counts).withColumn("held_out", held_out)
+
+
 def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     def each(make):
         return F.array_join(F.transform("matches", make), ",")
@@ -88,6 +95,7 @@ LLM_QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_tag_path_text": op4_tag_path_text,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_bloom_lm_scores": op7_bloom_lm_scores,
     "op8_license_notices": op8_license_notices,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_disclosed_entities": op10_disclosed_entities,
