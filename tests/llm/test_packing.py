@@ -22,7 +22,8 @@ ODD = [
 def test_ids_are_those_of_the_tokenizer(spark):
     whole = Tokenizer.from_file(WORD_BPE)
     texts = ODD + [row.text for row in spark.read.parquet(f"{TABLES}/documents.parquet").collect()]
-    for text, ids in zip(texts, encoder(WORD_BPE).encode(texts)):
+    for text in texts:
+        ids = np.frombuffer(encoder(WORD_BPE).encode(text), dtype="<u4")
         assert whole.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 

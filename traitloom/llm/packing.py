@@ -9,10 +9,11 @@ its place by its length and its rank among the pieces of that length.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +31,20 @@ _MOST_CACHED = 400_000  # words a worker remembers
 _LOADED: dict[str, TextEncoder] = {}
 
 
+class Made(dict):
+    """A dictionary that makes the values it is asked for."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class TextEncoder:
-    """Token ids of texts, each distinct word encoded once.
+    """Token ids of texts as little-endian 32-bit numbers, each distinct word encoded once.
 
     A tokenizer that drops white space and splits at it encodes each word on its own,
     so that a text is its words one after the other. For words of Latin letters the
@@ -51,46 +64,37 @@ class TextEncoder:
             and (split.get("behavior"), split.get("invert")) == ("Removed", True)
             and r"[^\s\p{L}\p{N}]+" in pattern
         )
-        self.parts = regex.compile(pattern)
+        self.split = regex.compile(pattern).findall
         self.specials = tuple(x["content"] for x in config.get("added_tokens", []))
-        self.words: dict[bytes, np.ndarray] = {}
-        self.known: dict[str, list[int]] = {}
+        self.words: dict[bytes, bytes] = Made(self._word)
+        self.parts: dict[str, bytes] = Made(self._part)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that show as themselves
         hidden = [byte for byte in range(256) if byte not in shown]
         self.bytes = {byte: chr(byte) for byte in shown} | {byte: chr(256 + i) for i, byte in enumerate(hidden)}
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.known.get(part)
-        if ids is None:
-            shown = part if part.isascii() else "".join(map(self.bytes.__getitem__, part.encode()))
-            ids = self.known[part] = [token.id for token in self.tokenizer.model.tokenize(shown)]
-        return ids
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(self.bytes.__getitem__, part.encode()))
+        tokens = self.tokenizer.model.tokenize(shown)
+        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, raw: bytes) -> np.ndarray:
+    def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         # below U+0250 all characters are their own NFC form and lower-case one by one
-        if (not word.isascii() and max(word) >= "ɐ") or any(x in word for x in self.specials):
-            return np.array(self._whole(word), dtype="<u4")
-        return np.array([i for part in self.parts.findall(word.lower()) for i in self._part(part)], dtype="<u4")
+        if (not word.isascii() and max(word) >= "ɐ") or ("<" in word and any(x in word for x in self.specials)):
+            return self._whole(word)
+        return b"".join(map(self.parts.__getitem__, self.split(word.lower())))
 
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+    def encode(self, text: str | None) -> bytes:
         if not self.by_word:
-            return [np.array(self._whole(text or ""), dtype="<u4") for text in texts]
+            return self._whole(text or "")
         if len(self.words) > _MOST_CACHED:
-            self.words, self.known = {}, {}
-        made = []
-        for text in texts:
-            parts = []
-            for raw in raw_words(text):
-                ids = self.words.get(raw)
-                if ids is None:
-                    ids = self.words[raw] = self._word(raw)
-                parts.append(ids)
-            made.append(np.concatenate(parts) if parts else np.zeros(0, dtype="<u4"))
-        return made
+            self.words.clear()
+            self.parts.clear()
+        return b"".join(map(self.words.__getitem__, raw_words(text)))
 
 
 def encoder(path: str) -> TextEncoder:
@@ -100,28 +104,33 @@ def encoder(path: str) -> TextEncoder:
     return _LOADED[path]
 
 
-def token_pieces(docs: DataFrame, path: str = WORD_BPE, end: int = 1, capacity: int = 4096) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids, ids_crc32): each text's tokens and ``end``, cut at ``capacity``.
+def token_pieces(
+    docs: DataFrame, path: str = WORD_BPE, end: int = 1, capacity: int = 4096, with_ids: bool = True
+) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, ids): each text's tokens and ``end``, cut at ``capacity``.
 
     A null text is empty and gives the one piece [end]. Rows that repeat give their
     pieces each. Other columns are neither read nor returned.
     """
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    last = struct.pack("<I", end)
 
     def pieces(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids", "ids_crc32")}
-        for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder(path).encode(batch["text"].to_pylist())):
-            ids = np.append(ids, np.array([end], dtype="<u4"))
-            for piece, start in enumerate(range(0, len(ids), capacity)):
-                own = ids[start : start + capacity]
-                crc = zlib.crc32(own.tobytes())
-                for name, value in zip(out, (doc_id, piece, start, len(own), own, crc)):
+        out: dict[str, list] = {name: [] for name in columns}
+        encode = encoder(path).encode
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            ids = encode(text) + last
+            for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                own = ids[start : start + 4 * capacity]
+                row = (doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own))
+                for name, value in zip(columns, (*row, np.frombuffer(own, dtype="<u4")) if with_ids else row):
                     out[name].append(value)
         return out
 
     return map_rows(
         typed(docs, doc_id="bigint", text="string"),
         pieces,
-        "doc_id bigint, piece int, start bigint, length bigint, ids array<bigint>, ids_crc32 bigint",
+        "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids,
     )
 
 
@@ -203,7 +212,7 @@ def best_fit_packing(docs: DataFrame, path: str = WORD_BPE, end: int = 1, capaci
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Equal lengths
     tie by doc_id, piece and checksum. Without documents there are no rows.
     """
-    pieces, _ = cut(token_pieces(docs, path, end, capacity).drop("ids"), "pieces")
+    pieces, _ = cut(token_pieces(docs, path, end, capacity, with_ids=False), "pieces")
     # at most ``capacity`` rows come to the driver
     plan = plan_packing(dict(pieces.groupBy("length").count().collect()), capacity)
     shift = 2**40  # ranks within a length are smaller
