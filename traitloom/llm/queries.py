@@ -10,6 +10,7 @@ from traitloom.llm.common import crc_fold, table
 from traitloom.llm.extraction import extract_main_text
 from traitloom.llm.licenses import license_scan
 from traitloom.llm.mixing import mix_sources, word_count
+from traitloom.llm.neighbours import nearest_neighbours
 from traitloom.llm.packing import best_fit_packing
 from traitloom.llm.quality import quality_rules
 from traitloom.llm.simhash import simhash_components
@@ -45,6 +46,10 @@ def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ LLM_QUERIES = {
     "op2_simhash_components": op2_simhash_components,
     "op3_source_mix": op3_source_mix,
     "op4_tag_path_text": op4_tag_path_text,
+    "op5_nn_descent": op5_nn_descent,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bloom_lm_scores": op7_bloom_lm_scores,
     "op8_license_notices": op8_license_notices,
