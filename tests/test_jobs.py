@@ -1,3 +1,4 @@
+from pathlib import Path
 import json
 
 import pytest
@@ -33,11 +34,13 @@ def test_default_matrix(spark, inputs, tmp_path):
     assert written_lines(f"{out}/nodes.txt") == ["GO:1", "GO:2", "GO:3", "GO:4", "GO:40", "GO:5"]
     assert sorted(written_lines(f"{out}/pairs.tab")) == sorted(
         [f"YA\tGO:{i}\t1" for i in range(1, 6)] + [f"YB\tGO:{i}\t0" for i in (40, 2, 3, 1)] + ["YC\tGO:1\t1"])
-    adjacency = {row["id"]: row for row in map(json.loads, written_lines(f"{out}/adjacency.json"))}
-    assert adjacency["GO:4"]["p"] == ["GO:2", "GO:3"] and adjacency["GO:4"]["c"] == ["GO:5"]
+    adjacency = [tuple(json.loads(line).values()) for line in written_lines(f"{out}/adjacency.json")]
+    assert [row for row in adjacency if row[0] == "GO:4"] == [
+        ("GO:4", "c", "GO:5"), ("GO:4", "p", "GO:2"), ("GO:4", "p", "GO:3")]
+    assert adjacency == sorted(adjacency)
     assert tuples(counts, "stage", "status", "genes") == [
         ("annotated", "lethal", 2), ("annotated", "viable", 1), ("labelled", "lethal", 2), ("labelled", "viable", 2),
-        ("obsolete terms skipped", "", 1)]
+        ("obsolete terms skipped", "", 1), ("terms without a place", "", 1)]
 
 
 def test_propagated_full_matrix(spark, inputs, tmp_path):
@@ -115,9 +118,9 @@ def test_diff_job(spark, write, tmp_path):
     head = ["@attribute gene string", "@attribute GO:1 {0,1}", "@attribute class {x}", "@data"]
     a, b = write("a.arff", [*head, "g,1,lethal", "h,0,viable"]), write("b.arff", [*head, "g,0,viable"])
     counts = jobs.diff_matrices(spark, a, b, str(tmp_path / "diff"))
-    lines = [line for line in written_lines(tmp_path / "diff") if not line.startswith("Gene,")]
+    lines = written_lines(tmp_path / "diff")
     both = "g,lethal,viable,GO:1,LABEL_MISMATCH;GO_TERM_MISMATCH"
-    assert lines == ["h,viable,,,MISSING_IN_B", both, both]
+    assert lines == ["Gene,Label A,Label B,GO Terms Differ,Status", "h,viable,,,MISSING_IN_B", both, both]
     assert dict(tuples(counts))["MISSING_IN_B"] == 1
 
 
@@ -144,7 +147,51 @@ def test_expand_terms_job(spark, write, tmp_path):
     assert written_lines(tmp_path / "terms") == [
         "ID\tName", "WBPhenotype:0000002\tn2", "WBPhenotype:0000003\tn3", "WBPhenotype:0000004\t**NOT-FOUND**",
         "WBPhenotype:0000005\tn5", "WBPhenotype:0000077\t**NOT-FOUND**"]
-    assert tuples(counts) == [("WBPhenotype:0000002", 2), ("WBPhenotype:0000004", 2), ("WBPhenotype:0000077", 0)]
+    assert tuples(counts) == [
+        ("*", 5), ("WBPhenotype:0000002", 2), ("WBPhenotype:0000004", 2), ("WBPhenotype:0000077", 0),
+        ("edges parsed", 4), ("terms parsed", 5)]
+
+
+def scratch_files(spark):
+    from traitloom.scratch import shared_folder
+
+    return {str(path) for path in Path(shared_folder(spark).removeprefix("file:")).rglob("job-*/*")}
+
+
+def test_jobs_free_their_tables(spark, inputs, write, tmp_path):
+    before = scratch_files(spark)
+    counts = jobs.build_matrix(spark, "yeast", output=str(tmp_path / "out"), propagate=True, pair_file=True, **inputs)
+    assert scratch_files(spark) == before and counts.count() > 0
+    bad = write("bad.arff", ["no data"])
+    with pytest.raises(Exception):
+        jobs.diff_matrices(spark, bad, str(tmp_path / "missing.arff"), str(tmp_path / "diff"))
+    assert scratch_files(spark) == before
+
+
+def test_shared_pairs_give_the_same_matrix(spark, inputs, tmp_path):
+    for name, options in (("one", {}), ("two", {"pair_file": True}), ("three", {"pair_file": True, "keep_obsolete": True})):
+        jobs.build_matrix(spark, "yeast", output=str(tmp_path / name), propagate=True, **options, **inputs)
+    one = written_lines(tmp_path / "one" / "matrix.arff")
+    assert one == written_lines(tmp_path / "two" / "matrix.arff") == written_lines(tmp_path / "three" / "matrix.arff")
+    assert set(written_lines(tmp_path / "two" / "pairs.tab")) <= set(written_lines(tmp_path / "three" / "pairs.tab"))
+
+
+def test_command_line(spark, write, tmp_path, capsys):
+    from traitloom.__main__ import main, parser
+
+    head = ["@attribute gene string", "@attribute GO:1 {0,1}", "@attribute class {x}", "@data"]
+    a, b = write("a.arff", [*head, "g,1,lethal"]), write("b.arff", [*head, "g,1,lethal"])
+    main(["diff", "--a", a, "--b", b, "--output", str(tmp_path / "diff")])
+    assert "EXACT_MATCH\t1" in capsys.readouterr().out
+    options = parser().parse_args(["matrix", *"--species fly --phenotypes p --annotations a --ontology o --output x --propagate".split()])
+    assert options.propagate and options.prune and options.mode == "errorifexists"
+
+
+def test_gz_rows_are_dealt_out(spark, write):
+    from traitloom.sources.lines import read_rows
+
+    path = write("x.tsv.gz", [(str(i), "v") for i in range(100)])
+    assert read_rows(spark, path).rdd.getNumPartitions() == 4
 
 
 def test_ontology_attributes_job(spark, write, tmp_path):

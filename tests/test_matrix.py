@@ -75,12 +75,24 @@ def test_empty_vocabulary(spark, annotated, terms):
 
 def test_wide_table(spark, annotated):
     pairs = annotated.where("term < 'X'")
-    vocab = pairs.select("term").distinct()
-    wide = mx.wide_table(pairs, vocab)
+    wide = mx.wide_table(pairs, ["GO:1", "GO:3", "GO:5", "GO:6"])
     assert wide.columns == ["gene", "status", "GO:1", "GO:3", "GO:5", "GO:6"]
     assert tuples(wide)[0] == ("g1", "lethal", 0, 1, 1, 0)
-    with pytest.raises(ValueError, match="sparse"):
-        mx.wide_table(pairs, vocab, widest=3)
+
+
+def test_wide_blocks(spark, annotated):
+    pairs = annotated.where("term < 'X'").select("gene", "status", "term").distinct()
+    vocab, _ = on.vocabulary(pairs.select("term").distinct())
+    for width, want in ((1000, [[0, 1, 1, 0]]), (3, [[0, 1, 1], [0]])):
+        blocks = mx.wide_blocks(pairs, vocab, width).where("gene = 'g1'").orderBy("block").collect()
+        assert [row["flags"] for row in blocks] == want
+    many = spark.range(2500).selectExpr("'g' AS gene", "'viable' AS status", "concat('t', 10000 + id * 2) AS term")
+    other = spark.range(2500).selectExpr("'h' AS gene", "'lethal' AS status", "concat('t', 10001 + id * 2) AS term")
+    both = many.union(other)
+    vocab, _ = on.vocabulary(both.select("term").distinct())
+    rows = mx.wide_blocks(both, vocab).orderBy("gene", "block").collect()
+    flags = {gene: [x for row in rows if row["gene"] == gene for x in row["flags"]] for gene in "gh"}
+    assert flags == {"g": [1, 0] * 2500, "h": [0, 1] * 2500}
 
 
 def test_arff_file_and_round_trip(spark, annotated, terms, tmp_path):
@@ -165,3 +177,45 @@ def test_diff_counts_show_zeros(spark, annotated, terms):
     matrix = mx.encode(annotated, terms)
     assert dict(tuples(di.status_counts(di.compare(matrix, matrix)))) == {
         "MISSING_IN_B": 0, "LABEL_MISMATCH": 0, "GO_TERM_MISMATCH": 0, "EXACT_MATCH": 3}
+
+
+def test_diff_of_a_short_row(spark, write):
+    """A term of one side that the gene's short row does not reach is 'NA' on both sides."""
+    a = write("a.arff", ["@attribute gene string", "@attribute T1 {0,1}", "@attribute T2 {0,1}", "@attribute class {x}",
+                         "@data", "g1,1,viable", "g2,1,0,viable"])
+    b = write("b.arff", ["@attribute gene string", "@attribute T1 {0,1}", "@attribute class {x}", "@data",
+                         "g1,1,viable", "g2,1,viable"])
+    compared = di.compare(read_arff(spark, a), read_arff(spark, b))
+    assert tuples(di.report(compared), "Gene", "GO Terms Differ", "Status") == [
+        ("g1", "", "EXACT_MATCH"), ("g2", "T2", "GO_TERM_MISMATCH")]
+
+
+def test_diff_of_many_one_sided_terms(spark, write):
+    """More terms than a block holds, in the order of the terms."""
+    names = [f"T{i:04d}" for i in range(1300)]
+    head = ["@attribute gene string", *(f"@attribute {name} {{0,1}}" for name in names), "@attribute class {x}", "@data"]
+    a = write("a.arff", [*head, "g1," + "0," * 1300 + "viable"])
+    b = write("b.arff", ["@attribute gene string", "@attribute T0700x {0,1}", "@attribute class {x}", "@data", "g1,1,viable"])
+    report = di.report(di.compare(read_arff(spark, a), read_arff(spark, b))).collect()
+    assert [row["GO Terms Differ"] for row in report] == [";".join(sorted([*names, "T0700x"]))]
+
+
+def test_csv_files_have_one_header_and_keep_blanks(spark, tmp_path):
+    rows = spark.range(40).selectExpr(
+        "concat('g', 10 + id) AS gene", "'a' AS allele", "' x \"y\", ' AS context", "' lethal, with x ' AS phenotype",
+        "'lethal' AS simple_pheno").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would make one part of so few rows
+    files.write_raw(rows, str(tmp_path / "raw"))
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = written_lines(tmp_path / "raw")
+    assert len(list((tmp_path / "raw").glob("part-*"))) > 1
+    assert lines[0] == "gene,allele,context,phenotype,simple_pheno"
+    assert lines[1:] == [f'g{10 + i},a," x ""y"", "," lethal, with x ",lethal' for i in range(40)]
+
+
+def test_parts_are_read_by_number(spark, tmp_path):
+    folder = tmp_path / "m.arff"
+    folder.mkdir()
+    (folder / "part-99999-x").write_text("@attribute gene string\n@attribute T1 {0,1}\n@attribute class {x}\n@data\ng,0,viable\n")
+    (folder / "part-100000-x").write_text("g,1,lethal\n")
+    assert tuples(read_arff(spark, str(folder)).genes) == [("g", "lethal")]

@@ -164,3 +164,19 @@ def test_species_is_validated():
     assert species_named("Yeast").source_db == "SGD"
     with pytest.raises(ValueError, match="unknown species"):
         species_named("plant")
+
+
+def test_flag_texts_is_the_same_either_way(spark, no_broadcast):
+    """Null texts and words, an empty text and word list entry, repeats, and the order of the columns."""
+    from traitloom.operators.matching import flag_texts
+
+    texts = spark.createDataFrame(
+        [("abc", 1), (None, 2), ("", 3), ("xbcx", 4), ("abc", 5), ("b" * 500 + "cd", 6)], "t string, n int"
+    )
+    for words, want in (([("bc",), (None,), ("zz",), ("bcd",)], {1, 4, 5, 6}), ([(None,)], set()), ([("",)], {1, 3, 4, 5, 6})):
+        listed = spark.createDataFrame(words, "w string")
+        for limit in (200, 0):
+            flagged = flag_texts(texts, "t", listed, "hit", limit)
+            assert flagged.columns == ["t", "n", "hit"]
+            assert {row["n"] for row in flagged.collect() if row["hit"]} == want
+            assert flagged.where("hit IS NULL").count() == 0 and flagged.count() == 6

@@ -13,7 +13,8 @@ from traitloom.functions.text import (
     before,
     contains_any,
 )
-from traitloom.operators.matching import WORD_LIMIT, flag_texts, short_list, texts_with_word
+from traitloom.operators.matching import WORD_LIMIT, flag_texts, short_list, text_key
+from traitloom.operators.skew import spread_join
 from traitloom.sources.lines import cell
 
 
@@ -77,20 +78,20 @@ def observe_fly_with(
     A cell naming a driver line is left out of the ``with`` tests.
     """
     few = short_list(drivers, limit)
+    partner = F.filter("cells", lambda x: x.contains("with"))
     if few is not None:
-        undriven = F.filter("cells", lambda x: x.contains("with") & ~contains_any(x, few))
-        marked = rows.withColumn("_undriven", undriven)
+        marked = rows.withColumn("_undriven", F.filter(partner, lambda x: ~contains_any(x, few)))
     else:
-        # Equality join of the distinct cells that mention a partner, then back
-        # to the distinct rows; each row has a handful of cells.
-        distinct = rows.select("cells").distinct()
-        partners = distinct.select(
-            "cells", F.explode(F.filter("cells", lambda x: x.contains("with"))).alias("_cell")
-        )
-        driven = texts_with_word(partners.select("_cell"), drivers)
-        left = partners.join(driven, "_cell", "left_anti")
-        per_row = left.groupBy("cells").agg(F.collect_set("_cell").alias("_undriven"))
-        marked = rows.join(per_row, "cells", "left").withColumn(
+        # the distinct cells that mention a partner, then back to the rows by key
+        keyed = rows.withColumn("_row", text_key(F.to_json(F.struct("cells"))))
+        partners = (
+            keyed.where(F.size(partner) > 0)
+            .groupBy("_row").agg(F.any_value("cells").alias("cells"))
+            .select("_row", F.explode(partner).alias("_cell"))
+        )
+        left = flag_texts(partners, "_cell", drivers, "_driven", limit).where(~F.col("_driven"))
+        per_row = left.groupBy("_row").agg(F.collect_set("_cell").alias("_undriven"))
+        marked = spread_join(keyed, per_row, "_row", "left").withColumn(
             "_undriven", F.coalesce("_undriven", F.array().cast("array<string>"))
         )
     cells = F.col("cells")

@@ -2,112 +2,164 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.operators.matrix import Matrix, term_cells
+from traitloom.operators.ordering import dense_index
 from traitloom.operators.skew import spread_join
+from traitloom.scratch import cut
 
 # The statuses in the order of the report.
 STATUSES = ("MISSING_IN_B", "LABEL_MISMATCH", "GO_TERM_MISMATCH", "EXACT_MATCH")
 
+# Terms that stand together in a report text and in the table of one-sided terms.
+BLOCK = 500
 
-def _one_sided(a: Matrix, b: Matrix) -> DataFrame:
-    """Terms in only one vocabulary: they differ for every shared gene."""
-    both = a.vocab.select("term", F.lit(1).alias("side")).unionByName(
-        b.vocab.select("term", F.lit(2).alias("side"))
-    )
-    return both.groupBy("term").agg(F.bit_or("side").alias("sides")).where(F.col("sides") != 3)
+
+@dataclass(frozen=True)
+class Comparison:
+    """Two matrices side by side.
+
+    A term that only one vocabulary has differs for every shared gene but those whose own
+    cell is ``'NA'``, so that such terms are listed once and only the exceptions by gene.
+    """
+
+    genes: DataFrame  # gene, label_a, label_b, shared, statuses
+    cells: DataFrame  # gene, idx, term, differs: of terms that both have, and exceptions
+    one_sided: DataFrame  # idx, term
 
 
-def changed_cells(a: Matrix, b: Matrix) -> DataFrame:
-    """``(gene, term)`` whose values differ, among terms that both matrices have.
+def _sides(a: Matrix, b: Matrix) -> DataFrame:
+    """``(term, sides, idx)``: 1 for the first vocabulary, 2 for the second, 3 for both."""
+    both = a.vocab.select("term", F.lit(1).alias("side")).unionByName(b.vocab.select("term", F.lit(2).alias("side")))
+    terms = both.groupBy(F.col("term").cast("string").alias("term")).agg(F.bit_or("side").alias("sides"))
+    return dense_index(terms, ["term"], "idx")[0]
 
-    Only listed cells are compared: two unlisted ones are both ``'0'``. The rows
-    are grouped by gene and term, so no gene is hot.
+
+def compared_cells(a: Matrix, b: Matrix, sides: DataFrame) -> DataFrame:
+    """``(gene, idx, term, differs)``: cells that differ, and one-sided ones that do not.
+
+    Only listed cells are looked at: what is not listed is ``'0'`` where the vocabulary has
+    the term, and ``'NA'`` where it has not. The rows are grouped by gene and term, so no gene
+    is hot.
     """
-    sides = term_cells(a).select(
-        "gene", "term", F.col("value").alias("va"), F.lit(None).alias("vb")
-    ).unionByName(
+    cells = term_cells(a).select("gene", "term", F.col("value").alias("va"), F.lit(None).alias("vb")).unionByName(
         term_cells(b).select("gene", "term", F.lit(None).alias("va"), F.col("value").alias("vb"))
     )
-    paired = sides.groupBy("gene", "term").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
-    differs = F.coalesce("va", F.lit("0")) != F.coalesce("vb", F.lit("0"))
-    changed = paired.where(differs).select("gene", "term")
-    return spread_join(changed, _one_sided(a, b), "term", "left_anti", ["gene"])
+    paired = cells.groupBy("gene", F.col("term").cast("string").alias("term")).agg(
+        F.max("va").alias("va"), F.max("vb").alias("vb")
+    )
+    known = spread_join(paired, sides, "term", salt_by=["gene"])
 
+    def value(name: str, side: int):
+        unlisted = F.when(F.col("sides").bitwiseAND(side) > 0, "0").otherwise("NA")
+        return F.coalesce(name, unlisted)
 
-def compare(a: Matrix, b: Matrix) -> DataFrame:
-    """``(gene, label_a, label_b, terms, statuses)`` for each gene of ``a``.
+    differs = value("va", 1) != value("vb", 2)
+    return known.select("gene", "idx", "term", differs.alias("differs"), (F.col("sides") != 3).alias("alone")).where(
+        F.col("differs") != F.col("alone")
+    ).drop("alone")
 
-    ``terms`` is the sorted array of differing terms. Genes only in ``b`` are
-    ignored. Terms in one vocabulary only belong to the text of every shared
-    gene, so their list is made once and is no longer than such a text.
-    """
-    one_sided = (
-        _one_sided(a, b)
-        .select(F.sort_array(F.collect_list(F.col("term").cast("string"))).alias("terms"))
-        .scalar()
-    )
-    changed = changed_cells(a, b).groupBy("gene").agg(
-        F.collect_list(F.col("term").cast("string")).alias("changed")
+
+def compare(a: Matrix, b: Matrix) -> Comparison:
+    """Compare the genes of ``a`` with those of ``b``; genes only in ``b`` are ignored."""
+    sides = _sides(a, b)
+    one_sided = sides.where("sides <> 3").select("idx", "term")
+    cells, _ = cut(compared_cells(a, b, sides), "compared-cells")
+    counts = cells.groupBy("gene").agg(
+        F.count_if("differs").alias("changed"), F.count_if(~F.col("differs")).alias("excepted")
     )
-    paired = (
+    genes = (
         a.genes.select("gene", F.col("status").alias("label_a"))
-        .join(
-            b.genes.select("gene", F.col("status").alias("label_b"), F.lit(True).alias("in_b")),
-            "gene",
-            "left",
-        )
-        .join(changed, "gene", "left")
-        .withColumn("one_sided", one_sided)
+        .join(b.genes.select("gene", F.col("status").alias("label_b"), F.lit(True).alias("in_b")), "gene", "left")
+        .join(counts, "gene", "left")
+        .withColumn("alone", one_sided.select(F.count(F.lit(1)).alias("n")).scalar())
     )
-    none = F.array().cast("array<string>")
-    shared = F.col("in_b").isNotNull()
-    terms = F.when(
-        shared, F.sort_array(F.concat(F.coalesce("changed", none), F.coalesce("one_sided", none)))
-    ).otherwise(none)
-    compared = paired.select("gene", "label_a", "label_b", shared.alias("shared"), terms.alias("terms"))
+    differing = F.coalesce("changed", F.lit(0)) + F.col("alone") - F.coalesce("excepted", F.lit(0))
     mismatches = F.array_compact(
         F.array(
             F.when(F.col("label_a") != F.col("label_b"), STATUSES[1]),
-            F.when(F.size("terms") > 0, STATUSES[2]),
+            F.when(differing > 0, STATUSES[2]),
         )
     )
+    shared = F.col("in_b").isNotNull()
     statuses = (
-        F.when(~F.col("shared"), F.array(F.lit(STATUSES[0])))
+        F.when(~shared, F.array(F.lit(STATUSES[0])))
         .when(F.size(mismatches) > 0, mismatches)
         .otherwise(F.array(F.lit(STATUSES[3])))
     )
-    return compared.select("gene", "label_a", "label_b", "terms", statuses.alias("statuses"))
+    return Comparison(
+        genes.select("gene", "label_a", "label_b", shared.alias("shared"), statuses.alias("statuses")), cells, one_sided
+    )
+
+
+def differing_terms(comparison: Comparison) -> DataFrame:
+    """``(gene, terms)``: the sorted differing terms of shared genes, joined by ``;``.
+
+    They are put together in blocks of the sorted terms, so that no list of all terms is needed
+    in one place before the text itself.
+    """
+    block = F.floor(F.col("idx") / BLOCK).alias("block")
+    shared = comparison.genes.where("shared").select("gene")
+    own = (
+        spread_join(comparison.cells.select("gene", block, "idx", "term", "differs"), shared, "gene", "left_semi", ["idx"])
+        .groupBy("gene", "block").agg(
+            F.collect_list(F.when(F.col("differs"), F.struct("idx", "term"))).alias("more"),
+            F.collect_set(F.when(~F.col("differs"), F.col("idx"))).alias("less"),
+        )
+    )
+    alone, _ = cut(
+        comparison.one_sided.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("idx", "term"))).alias("terms")),
+        "one-sided",
+    )
+    # one number for every BLOCK terms of the vocabularies
+    blocks = [row["block"] for row in alone.select("block").collect()]
+    asked = shared.select("gene", F.explode(F.lit(blocks).cast("array<bigint>")).alias("block"))
+    listed = spread_join(asked, alone, "block", salt_by=["gene"])
+    none = F.array().cast("array<struct<idx:bigint,term:string>>")
+    terms = F.filter(
+        F.coalesce("terms", none), lambda x: ~F.array_contains(F.coalesce("less", F.array().cast("array<bigint>")), x["idx"])
+    )
+    pieces = listed.join(own, ["gene", "block"], "full").select(
+        "gene", "block", F.sort_array(F.concat(terms, F.coalesce("more", none))).alias("terms")
+    ).where(F.size("terms") > 0)
+    text = F.array_join(F.transform("terms", lambda x: x["term"]), ";")
+    return pieces.select("gene", F.struct("block", text.alias("text")).alias("piece")).groupBy("gene").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["text"]), ";").alias("terms")
+    )
 
 
-def report(compared: DataFrame) -> DataFrame:
+def report(comparison: Comparison) -> DataFrame:
     """The report rows with their group and its rank, not sorted.
 
     A gene with two statuses appears in both groups with the joined text.
     """
-    return compared.select(
+    rows = comparison.genes.join(differing_terms(comparison), "gene", "left")
+    return rows.select(
         F.col("gene").alias("Gene"),
         F.col("label_a").alias("Label A"),
         F.coalesce("label_b", F.lit("")).alias("Label B"),
-        F.array_join("terms", ";").alias("GO Terms Differ"),
+        F.coalesce("terms", F.lit("")).alias("GO Terms Differ"),
         F.array_join("statuses", ";").alias("Status"),
         F.explode("statuses").alias("group"),
     ).withColumn("rank", F.array_position(F.lit(list(STATUSES)), F.col("group")))
 
 
-def ordered_report(compared: DataFrame) -> DataFrame:
+def ordered_report(comparison: Comparison) -> DataFrame:
     """The report by status group and then gene."""
-    return report(compared).orderBy("rank", "Gene").drop("rank", "group")
+    rows, _ = cut(report(comparison), "report")  # sorting looks at its rows twice
+    return rows.orderBy("rank", "Gene").drop("rank", "group")
 
 
-def status_counts(compared: DataFrame) -> DataFrame:
+def status_counts(comparison: Comparison) -> DataFrame:
     """Rows per status group, zeros included."""
-    spark = compared.sparkSession
+    spark = comparison.genes.sparkSession
     names = spark.createDataFrame([(s,) for s in STATUSES], "status string")
     counts = (
-        compared.select(F.explode("statuses").alias("status"))
+        comparison.genes.select(F.explode("statuses").alias("status"))
         .groupBy("status")
         .agg(F.count(F.lit(1)).alias("rows"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,19 +38,21 @@ def term_pairs(
     closure: DataFrame,
     mark: str | None = None,
     obsolete: DataFrame | None = None,
+    settled: bool = False,
 ) -> DataFrame:
     """Distinct ``(gene, status, term)`` with all ancestors of the direct terms.
 
     ``closure`` holds ``(term, ancestor)`` with each term as its own ancestor;
     terms outside it do not propagate. Obsolete direct terms are kept where
-    given. ``mark`` limits the direct terms to ids that contain it.
+    given. ``mark`` limits the direct terms to ids that contain it. ``settled``
+    says that ``annotated`` is a written table.
     """
     direct = _marked(annotated, mark).select("gene", "status", "term")
     pairs = spread_join(
-        direct, closure, "term", salt_by=["gene"], few_salt_by=["ancestor"]
+        direct, closure, "term", salt_by=["gene"], few_salt_by=["ancestor"], settled=settled
     ).select("gene", "status", F.col("ancestor").alias("term"))
     if obsolete is not None:
-        kept = spread_join(direct, obsolete, "term", "left_semi", ["gene"])
+        kept = spread_join(direct, obsolete, "term", "left_semi", ["gene"], settled=settled)
         pairs = pairs.unionByName(kept)
     return pairs.distinct()
 
@@ -85,12 +88,14 @@ def encode(
     closure: DataFrame | None = None,
     prune: bool = True,
     mark: str | None = None,
+    settled: bool = False,
 ) -> Matrix:
     """Multi-hot encoding over ``terms`` (pruned to the used ones by default).
 
     Without ``closure`` only direct terms are set. Every annotated gene has a
     row, also one with no term in the vocabulary. The places are looked up for
     the closure, which is far smaller than the gene-term pairs made from it.
+    ``settled`` says that ``annotated`` is a written table.
     """
     direct = _marked(annotated, mark).select("gene", "term")
     kept = used_terms(terms, direct, closure) if prune else terms.select("term").distinct()
@@ -101,7 +106,7 @@ def encode(
             closure, vocab.withColumnRenamed("term", "ancestor"), "ancestor", salt_by=["term"]
         ).select("term", "idx")
     cells = (
-        spread_join(direct, places, "term", salt_by=["gene"], few_salt_by=["idx"])
+        spread_join(direct, places, "term", salt_by=["gene"], few_salt_by=["idx"], settled=settled)
         .select("gene", "idx")
         .distinct()
         .withColumn("value", F.lit("1"))
@@ -109,6 +114,16 @@ def encode(
     return Matrix(genes=genes_of(annotated), cells=cells, vocab=vocab)
 
 
+def encode_pairs(annotated: DataFrame, terms: DataFrame, pairs: DataFrame, prune: bool = True) -> Matrix:
+    """The same from a written table of distinct gene-term pairs, where that was made already."""
+    kept = terms.select("term").distinct()
+    if prune:
+        kept = pairs.select("term").distinct().join(kept, "term", "left_semi")
+    vocab, _ = vocabulary(kept)
+    cells = spread_join(pairs.select("gene", "term"), vocab, "term", salt_by=["gene"], settled=True)
+    return Matrix(genes_of(annotated), cells.select("gene", "idx", F.lit("1").alias("value")), vocab)
+
+
 def term_cells(matrix: Matrix) -> DataFrame:
     """``(gene, term, value)``: the cells with their terms."""
     return spread_join(matrix.cells, matrix.vocab, "idx", salt_by=["gene"]).select(
@@ -178,13 +193,33 @@ def arff_header(vocab: DataFrame) -> DataFrame:
     )
 
 
-def wide_table(pairs: DataFrame, vocab: DataFrame, widest: int = 1000) -> DataFrame:
-    """One 0/1 column per term, for vocabularies of at most ``widest`` terms.
+def wide_table(pairs: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """One 0/1 column for each of the given terms, in their order."""
+    wide = pairs.groupBy("gene", "status").pivot("term", list(terms)).agg(F.max(F.lit(1)))
+    return wide.na.fill(0, subset=[str(term) for term in terms])
+
 
-    Beyond that a table is no sensible form; use the sparse cells.
+def wide_blocks(pairs: DataFrame, vocab: DataFrame, width: int = 1000) -> DataFrame:
+    """``(gene, status, block, flags)``: the wide rows in blocks of ``width`` places, all terms kept.
+
+    ``flags`` holds 0 or 1 for each place of the block, also in the last one, which may be
+    shorter; the blocks of a gene one after the other are its wide row. Every gene has a
+    row in every block.
     """
-    terms = [row["term"] for row in vocab.select("term").orderBy("term").limit(widest + 1).collect()]
-    if len(terms) > widest:
-        raise ValueError(f"more than {widest} terms: use the sparse cells instead")
-    wide = pairs.groupBy("gene", "status").pivot("term", terms).agg(F.max(F.lit(1)))
-    return wide.na.fill(0, subset=[str(term) for term in terms])
+    size = vocab.select(F.count(F.lit(1)).alias("n")).scalar()
+    genes = pairs.select("gene", "status").distinct()
+    set_places = spread_join(pairs, vocab, "term", salt_by=["gene"]).groupBy(
+        "gene", (F.col("idx") / width).cast("int").alias("block")
+    ).agg(F.collect_set(F.col("idx") % width).alias("places"))
+    blocks = genes.withColumn("n", size).select(
+        "gene", "status", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / width).cast("int"))).alias("block")
+    )
+    last = F.least(F.lit(width), F.col("n") - F.col("block") * width) - 1
+    none = F.array().cast("array<bigint>")
+    places = F.coalesce("places", none)
+    return blocks.where(F.col("n") > 0).join(set_places, ["gene", "block"], "left").select(
+        "gene", "status", "block",
+        F.transform(
+            F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.array_contains(places, i).cast("int")
+        ).alias("flags"),
+    )

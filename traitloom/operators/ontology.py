@@ -54,28 +54,16 @@ def attribute_lines(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.concat(F.lit("@attribute "), "term", F.lit(" {1,0}")).alias("line"))
 
 
-def adjacency(edges: DataFrame, longest: int = 10_000) -> DataFrame:
-    """``(id, part, p, c)``: parents and children of each term, sorted.
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``(id, side, other)``: one row for each parent (side ``p``) and child (``c``) of a term.
 
-    The neighbours of a term are dealt into parts by a hash, about ``longest``
-    to a part, so a term with very many children makes several rows instead of
-    one very large one. A term with fewer neighbours has the single part 0.
+    A term with very many neighbours makes many rows of the same shape, not a long one.
     """
     sides = F.array(
         F.struct(F.col("child").alias("id"), F.lit("p").alias("side"), F.col("parent").alias("other")),
         F.struct(F.col("parent").alias("id"), F.lit("c").alias("side"), F.col("child").alias("other")),
     )
-    links = edges.select(F.inline(sides))
-    sizes = links.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / longest).alias("parts"))
-    digest = F.conv(F.substr(F.md5(F.col("other").cast("string")), F.lit(1), F.lit(8)), 16, 10)
-    dealt = spread_join(links, sizes, "id", salt_by=["side", "other"]).withColumn(
-        "part", F.pmod(digest.cast("bigint"), F.col("parts"))
-    )
-
-    def neighbours(side: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("other"))))
-
-    return dealt.groupBy("id", "part").agg(neighbours("p").alias("p"), neighbours("c").alias("c"))
+    return edges.select(F.inline(sides))
 
 
 def _strides(steps: DataFrame, stride: int) -> tuple[DataFrame, int]:
@@ -102,12 +90,41 @@ def _strides(steps: DataFrame, stride: int) -> tuple[DataFrame, int]:
     return reach, width
 
 
+def _steps(edges: DataFrame, upward: bool) -> DataFrame:
+    here, there = ("child", "parent") if upward else ("parent", "child")
+    return (
+        edges.select(F.col(here).alias("at"), F.col(there).alias("next"))
+        .where(F.col("at").isNotNull() & F.col("next").isNotNull())
+        .distinct()
+    )
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, upward: bool = True, stride: int = 4) -> DataFrame:
+    """The seeds and every term that an edge path from one of them leads to.
+
+    Only terms are followed, not pairs; a round goes ``stride`` steps on from the terms
+    that the round before found first.
+    """
+    steps, _ = cut(_steps(edges, upward), "steps")
+    frontier, found = cut(seeds.select("term").where(F.col("term").isNotNull()).distinct(), "reached")
+    known = [frontier]
+    while found:
+        level, levels = frontier, []
+        for _ in range(stride):
+            level = level.join(steps, F.col("term") == F.col("at")).select(F.col("next").alias("term")).distinct()
+            levels.append(level)
+        seen = reduce(DataFrame.unionByName, known)
+        fresh = reduce(DataFrame.unionByName, levels).distinct().join(seen, "term", "left_anti")
+        frontier, found = cut(fresh, "reached")
+        known.append(frontier)
+    return reduce(DataFrame.unionByName, known)
+
+
 def closure(
     edges: DataFrame,
     seeds: DataFrame | None = None,
     upward: bool = True,
     stride: int = 4,
-    max_rounds: int = 100_000,
 ) -> DataFrame:
     """``(term, reached, hops)``: terms reached from each seed, with the distance.
 
@@ -117,14 +134,14 @@ def closure(
     Breadth first over the edges, ``stride`` levels per round: each round joins
     the pairs found at the last level with the stride table and keeps the pairs
     not found before. Every round is written to the shared folder, so the plan
-    of a round never holds the ones before it.
+    of a round never holds the ones before it. With seeds, edges that none of them
+    leads to are left out first.
     """
-    here, there = ("child", "parent") if upward else ("parent", "child")
-    steps = (
-        edges.select(F.col(here).alias("at"), F.col(there).alias("next"))
-        .where(F.col("at").isNotNull() & F.col("next").isNotNull())
-        .distinct()
-    )
+    steps = _steps(edges, upward)
+    if seeds is not None:
+        steps, _ = cut(steps, "steps")
+        reached = reachable(edges, seeds, upward).withColumnRenamed("term", "at")
+        steps = spread_join(steps, reached, "at", "left_semi", ["next"], settled=True)
     onward, width = _strides(steps, stride)
     hop = onward.select(
         F.col("at").alias("reached"), F.col("next").alias("far"), F.col("hops").alias("more")
@@ -132,10 +149,11 @@ def closure(
     start = onward.select(F.col("at").alias("term"), F.col("next").alias("reached"), "hops")
     if seeds is not None:
         wanted = seeds.select("term").distinct()
-        start, _ = cut(start.join(wanted, "term", "left_semi"), "closure")
+        start, _ = cut(spread_join(start, wanted, "term", "left_semi", ["reached"], settled=True), "closure")
     rounds = [start]
-    for number in range(1, max_rounds + 1):
-        depth = width * number
+    depth = 0
+    while True:
+        depth += width
         # a pair found before the last level of its round had its steps taken there
         frontier = rounds[-1].where(F.col("hops") == depth)
         candidates = spread_join(
@@ -155,7 +173,6 @@ def closure(
             rounds.append(fresh)
         if not measured["rows"] or measured["deepest"] < depth + width:
             return reduce(DataFrame.unionByName, rounds)
-    raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame | None = None, **options) -> DataFrame:
@@ -178,6 +195,13 @@ def descendants(edges: DataFrame, roots: DataFrame, **options) -> DataFrame:
     )
 
 
+def below(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``term``: what any of the roots leads down to; a root only if an edge leads to it from there."""
+    reached = reachable(edges, roots, upward=False)
+    lower = edges.join(reached.select(F.col("term").alias("parent")), "parent", "left_semi")
+    return lower.select(F.col("child").alias("term")).where(F.col("term").isNotNull()).distinct()
+
+
 def with_descendants(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Roots and everything below any of them, as distinct terms."""
     return roots.select("term").union(pairs.select("term")).distinct()

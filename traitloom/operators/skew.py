@@ -88,6 +88,7 @@ def spread_join(
     if few_salt_by is None:
         hot = hot.withColumn("_few_salts", F.lit(None).cast("int"))
     else:
+        few, _ = cut(few, "few")  # its keys are counted, too
         few_hot, few_found = hot_keys(few, keys, "_few_salts")
         hot, found = hot.join(few_hot, keys, "full"), found + few_found
     if found == 0:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.operators.annotate import (
     annotate,
     genes_of,
+    missing_terms,
     obsolete_terms,
     restrict_genes,
     unknown_terms,
@@ -16,7 +19,7 @@ from traitloom.operators.annotate import (
 from traitloom.operators.classify import observe
 from traitloom.operators.diff import compare, status_counts
 from traitloom.operators.labels import gene_summary, label, label_counts
-from traitloom.operators.matrix import Matrix, encode, labelled_pairs, term_pairs
+from traitloom.operators.matrix import Matrix, encode, encode_pairs, labelled_pairs, term_pairs
 from traitloom.operators.ontology import (
     adjacency,
     ancestors,
@@ -29,7 +32,8 @@ from traitloom.operators.ontology import (
     obsolete_of,
     with_descendants,
 )
-from traitloom.scratch import cut
+from traitloom.operators.skew import spread_join
+from traitloom.scratch import cut, cut_outside, job_tables
 from traitloom.sinks import files
 from traitloom.sources.arff import read_arff
 from traitloom.sources.lines import POSITION, read_lines
@@ -47,10 +51,27 @@ from traitloom.species import species_named
 TERM_MARK = "GO"  # only ids that contain it enter a vocabulary
 
 
+def _freed(job):
+    """Run a job so that its scratch tables are deleted, and its result does not read them.
+
+    The counts that jobs return have a row for each status or root; they are written
+    outside the job's folder.
+    """
+
+    @wraps(job)
+    def run(spark: SparkSession, *args, **options):
+        with job_tables(spark):
+            result = job(spark, *args, **options)
+            return None if result is None else cut_outside(result, job.__name__)
+
+    return run
+
+
 class UnknownTerms(ValueError):
     """Annotated terms that the ontology does not have."""
 
 
+@_freed
 def build_matrix(
     spark: SparkSession,
     species: str,
@@ -122,19 +143,30 @@ def build_matrix(
 
     terms = nodes.where(F.col("term").contains(TERM_MARK))
     closure = ancestors(edges, marked) if propagate or pair_file else None
-    if propagate:
-        matrix = encode(traced, terms, closure, prune, TERM_MARK)
+    pairs = None
+    if propagate and pair_file:
+        # both outputs come from the same pairs
+        pairs, _ = cut(term_pairs(traced, closure, TERM_MARK, settled=True), "pairs")
+        matrix = encode_pairs(annotated, terms, pairs, prune)
+    elif propagate:
+        matrix = encode(traced, terms, closure, prune, TERM_MARK, settled=True)
         matrix = Matrix(genes_of(annotated), matrix.cells, matrix.vocab)
     else:
-        matrix = encode(annotated, terms, None, prune)
+        matrix = encode(annotated, terms, None, prune, settled=True)
     files.write_arff(matrix, f"{output}/matrix.arff", mode)
     files.write_nodes(terms, f"{output}/nodes.txt", mode)
     files.write_adjacency(adjacency(edges), f"{output}/adjacency.json", mode)
     if pair_file:
-        pairs = term_pairs(traced, closure, TERM_MARK, obsolete if keep_obsolete else None)
+        if pairs is None:
+            pairs = term_pairs(traced, closure, TERM_MARK, obsolete if keep_obsolete else None, settled=True)
+        elif keep_obsolete:
+            marked_traced = traced.where(F.col("term").contains(TERM_MARK)).select("gene", "status", "term")
+            kept = spread_join(marked_traced, obsolete, "term", "left_semi", ["gene"], settled=True)
+            pairs = pairs.unionByName(kept).distinct()
         files.write_pairs(labelled_pairs(pairs), f"{output}/pairs.tab", mode)
 
     skipped = obsolete_terms(marked, nodes, obsolete).agg(F.count(F.lit(1)).alias("genes"))
+    placeless = missing_terms(traced if propagate else annotated, matrix.vocab).agg(F.count(F.lit(1)).alias("genes"))
     return (
         label_counts(labels)
         .select(F.lit("labelled").alias("stage"), "status", "genes")
@@ -144,18 +176,23 @@ def build_matrix(
         .unionByName(
             skipped.select(F.lit("obsolete terms skipped").alias("stage"), F.lit("").alias("status"), "genes")
         )
+        .unionByName(
+            placeless.select(F.lit("terms without a place").alias("stage"), F.lit("").alias("status"), "genes")
+        )
     )
 
 
+@_freed
 def diff_matrices(
     spark: SparkSession, a: str, b: str, output: str, mode: str = "errorifexists"
 ) -> DataFrame:
     """Write the gene-by-gene report of two ARFF files; return rows per status."""
-    compared, _ = cut(compare(read_arff(spark, a), read_arff(spark, b)), "compared")
+    compared = compare(read_arff(spark, a), read_arff(spark, b))
     files.write_report(compared, output, mode)
     return status_counts(compared)
 
 
+@_freed
 def summarise_alleles(
     spark: SparkSession, source: str, raw: str, summary: str, mode: str = "errorifexists"
 ) -> None:
@@ -166,6 +203,7 @@ def summarise_alleles(
     files.write_summary(gene_summary(observations), summary, mode)
 
 
+@_freed
 def expand_terms(
     spark: SparkSession,
     roots: str,
@@ -175,18 +213,26 @@ def expand_terms(
     digits: int = 7,
     mode: str = "errorifexists",
 ) -> DataFrame:
-    """Write root terms and all their descendants with names; return counts per root."""
+    """Write root terms and all their descendants with names; return counts.
+
+    The result has ``(root, descendants)``; under ``*`` the number of distinct terms with the
+    roots, under ``terms parsed`` and ``edges parsed`` what the ontology holds.
+    """
     ids = ids_in_text(read_lines(spark, roots), "value", rf"{prefix}\d{{{digits}}}")
     root_terms, _ = cut(ids.select(F.col("id").alias("term")), "roots")
     stanzas, _ = cut(with_prefix(read_stanzas(spark, ontology), prefix), "stanzas")
     # this list keeps obsolete terms and ignores alternate ids
-    edges = edges_of(stanzas, alternate_ids=False, live_only=False)
-    pairs = descendants(edges, root_terms)
-    named = named_terms(with_descendants(pairs, root_terms), term_names(stanzas))
-    files.write_terms(named, output, mode)
-    return descendant_counts(pairs, root_terms)
+    edges, parsed = cut(edges_of(stanzas, alternate_ids=False, live_only=False), "edges")
+    pairs, _ = cut(descendants(edges, root_terms), "descendants")
+    terms, total = cut(with_descendants(pairs, root_terms), "terms")
+    files.write_terms(named_terms(terms, term_names(stanzas)), output, mode)
+    totals = [("*", total), ("terms parsed", stanzas.count()), ("edges parsed", parsed)]
+    return descendant_counts(pairs, root_terms).unionByName(
+        spark.createDataFrame(totals, "root string, descendants bigint")
+    )
 
 
+@_freed
 def ontology_attributes(
     spark: SparkSession, ontology: str, output: str, mode: str = "errorifexists"
 ) -> None:

@@ -120,32 +120,15 @@ pairs AS (
   WHERE contains(term, 'GO') AND term IN (SELECT term FROM obsolete))"""
 
 
-def _adjacency() -> str:
-    """Lists of at most about three neighbours, dealt by a hash of the neighbour."""
-    return f"""WITH {_edges()}, links AS (
-  SELECT child AS id, 'p' AS side, parent AS other FROM edges_
-  UNION ALL SELECT parent, 'c', child FROM edges_),
-sized AS (SELECT id, CAST(ceil(count(*) / 3.0) AS BIGINT) AS parts FROM links GROUP BY id),
-dealt AS (
-  SELECT id, side, other, CAST(CAST('0x' || substr(md5(other), 1, 8) AS UBIGINT) % parts AS BIGINT) AS part
-  FROM links JOIN sized USING (id))
-SELECT id, part,
-       coalesce(string_agg(other, ',' ORDER BY other) FILTER (WHERE side = 'p'), '') AS p,
-       coalesce(string_agg(other, ',' ORDER BY other) FILTER (WHERE side = 'c'), '') AS c
-FROM dealt GROUP BY id, part"""
-
-
-_LISTED = """words AS (
-  SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part WHERE p_brand = 'Brand#7' AND p_name < 'm')"""
-
-_CLASSIFY_TERMS = f"""WITH {_LISTED}
-SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM words WHERE contains(p_name, word))
-                       THEN 'lethal' ELSE 'viable' END AS status
-FROM part"""
-
-# The cells of the fly rows, and the driver names, by the reference rules.
-_FLY_WITH = """WITH drivers AS (
-  SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part WHERE p_name < 'm'),
+_SUPPLIED = """SELECT DISTINCT CASE s_suppkey % 6 WHEN 0 THEN 'ring' WHEN 1 THEN 'small' WHEN 2 THEN 'gear'
+    WHEN 3 THEN 'd b' WHEN 4 THEN 'line ' || s_suppkey END AS word FROM supplier"""
+
+_CLASSIFY_TERMS = f"""WITH words AS ({_SUPPLIED}), flagged AS (
+  SELECT p_partkey, p_size <> 9 AND EXISTS (SELECT 1 FROM words WHERE contains(p_name, word)) AS listed FROM part)
+SELECT p_partkey, CASE WHEN listed THEN 'lethal' ELSE 'viable' END AS status, listed FROM flagged"""
+
+# The cells of the fly rows, and the driver names, by the rules for fly.
+_FLY_WITH = f"""WITH drivers AS (SELECT word AS name FROM ({_SUPPLIED}) WHERE word IS NOT NULL),
 cells AS (
   SELECT p_partkey, p_brand || '-' || p_size AS gene,
          unnest([p_brand || '-' || p_size || '[' || p_partkey || ']', CAST(p_partkey AS VARCHAR),
@@ -180,6 +163,50 @@ def _wide(key: str) -> str:
     return f"('WBPhenotype:' || lpad(CAST({key} AS VARCHAR), 12, '0'))"
 
 
+_RAW = """SELECT o_orderkey, 'g' || o_custkey AS gene, 'g' || o_custkey || '[' || o_orderkey || ']' AS allele,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'x' || o_custkey WHEN '5' THEN 'y' ELSE '' END AS context,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Lethal, with x' || o_custkey || ' ' WHEN '2' THEN 'Dies early'
+    WHEN '3' THEN 'dietary defect' WHEN '4' THEN 'wing' ELSE 'viable, with y' END AS phenotype,
+  CASE substr(o_orderpriority, 1, 1) WHEN '4' THEN 'other' WHEN '5' THEN 'viable' ELSE 'lethal' END AS simple_pheno
+FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0"""
+
+
+def _csv(*cells: str) -> str:
+    return " || ',' || ".join(f"(CASE WHEN contains({x}, ',') THEN '\"' || {x} || '\"' ELSE {x} END)" for x in cells)
+
+
+def _rough(without: int, changed: str = "false", rows: str = "true") -> str:
+    """The last row of each gene: brand, number of values, label."""
+    return f"""(SELECT p_name || '/' || p_size AS gene,
+    CASE WHEN {changed} THEN CAST(substr(p_brand, 7) AS INT) % 25 + 1 ELSE CAST(substr(p_brand, 7) AS INT) END AS b,
+    CASE p_size % 5 WHEN 0 THEN 10 ELSE 24 END AS w, CASE WHEN p_partkey % 3 = 0 THEN 'lethal' ELSE 'viable' END AS status
+  FROM part WHERE p_size NOT IN (7, 8) AND {rows}
+  QUALIFY row_number() OVER (PARTITION BY p_name, p_size ORDER BY p_partkey DESC) = 1)"""
+
+
+def _rough_value(row: str, without: int) -> str:
+    """A brand's value in a row, 'NA' outside the attributes and beyond the row's end."""
+    place = f"(i - (i > {without})::INT)"
+    return f"CASE WHEN i = {without} OR {place} > {row}.w THEN 'NA' WHEN i = {row}.b THEN '1' ELSE '0' END"
+
+
+_ARFF_DIFF = f"""WITH ra AS {_rough(3)}, rb AS {_rough(5, 'p_partkey % 4 = 0', 'p_size <> 9')},
+differing AS (
+  SELECT ra.gene, string_agg('Brand#' || i, ';' ORDER BY 'Brand#' || i) AS terms
+  FROM ra JOIN rb USING (gene) CROSS JOIN range(1, 26) t(i)
+  WHERE {_rough_value('ra', 3)} <> {_rough_value('rb', 5)} GROUP BY ra.gene),
+rows_ AS (
+  SELECT ra.gene, ra.status AS la, rb.status AS lb, rb.gene IS NULL AS gone, coalesce(terms, '') AS terms
+  FROM ra LEFT JOIN rb ON rb.gene = ra.gene LEFT JOIN differing d ON d.gene = ra.gene),
+grouped AS (
+  SELECT *, 1 AS rank, 'MISSING_IN_B' AS grp FROM rows_ WHERE gone
+  UNION ALL SELECT *, 2, 'LABEL_MISMATCH' FROM rows_ WHERE NOT gone AND la <> lb
+  UNION ALL SELECT *, 3, 'GO_TERM_MISMATCH' FROM rows_ WHERE NOT gone AND terms <> ''
+  UNION ALL SELECT *, 4, 'EXACT_MATCH' FROM rows_ WHERE NOT gone AND la = lb AND terms = '')
+SELECT gene AS "Gene", la AS "Label A", coalesce(lb, '') AS "Label B", terms AS "GO Terms Differ",
+       string_agg(grp, ';' ORDER BY rank) OVER (PARTITION BY gene) AS "Status", grp AS "group", rank
+FROM grouped"""
+
 ORACLE: dict[str, str] = {
     "str_before": """SELECT p_partkey, split_part(p_name || '[' || p_brand || ']', '[', 1) AS gene,
   split_part(p_type || '|' || p_name, '|', 1) AS synonym FROM part""",
@@ -202,6 +229,13 @@ SELECT p_partkey, CASE WHEN lethal THEN 'lethal' WHEN viable THEN 'viable' ELSE
 FROM d WHERE NOT gone""",
     "classify_terms": _CLASSIFY_TERMS,
     "classify_terms_join": _CLASSIFY_TERMS,
+    "classify_turns": """WITH words AS (SELECT DISTINCT lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS word FROM orders),
+turns AS (SELECT row_number() OVER () AS r, * FROM conversations),
+pieces AS (
+  SELECT r, substr(text, place, 4) AS word
+  FROM (SELECT r, text, unnest(range(1, length(text) - 2)) AS place FROM turns)),
+hits AS (SELECT DISTINCT r FROM pieces SEMI JOIN words USING (word))
+SELECT conv_id, turn, role, r IN (SELECT r FROM hits) AS listed FROM turns""",
     "extract_ids": "SELECT DISTINCT unnest(regexp_extract_all(html, '/[a-z]{4,12}')) AS id FROM pages ORDER BY id",
     "label": f"WITH {_LABELS} SELECT gene, status FROM labels_",
     "label_strict": f"""WITH {_OBS}
@@ -236,7 +270,8 @@ SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM go_terms""",
 SELECT term FROM ann UNION SELECT term FROM down""",
     "attribute_lines": f"""WITH {_edges(alternates=False, live=False)}, {_NODES}
 SELECT '@attribute ' || term || ' {{1,0}}' AS line FROM nodes""",
-    "adjacency": _adjacency(),
+    "adjacency": f"""WITH {_edges()}
+SELECT child AS id, 'p' AS side, parent AS other FROM edges_ UNION ALL SELECT parent, 'c', child FROM edges_""",
     "ancestors": f"WITH RECURSIVE {_edges()}, {_NODES}, {_CLOSURE} SELECT term, ancestor FROM closure",
     "descendants": f"WITH RECURSIVE {_edges()}, {_DOWN} SELECT root, term FROM down",
     "descendant_counts": f"""WITH RECURSIVE {_edges()}, {_DOWN}
@@ -255,6 +290,14 @@ cells AS (SELECT gene, term FROM annotated) {_ENCODED}""",
     "encode_propagated": f"""WITH RECURSIVE {_edges()}, {_NODES}, {_GO}, {_CLOSURE}, {_ANNOTATED}, {_TRACED},
 vocab_ AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM go_terms),
 cells AS (SELECT gene, term FROM traced) {_ENCODED}""",
+    "encode_pruned_closure": f"""WITH RECURSIVE {_edges()}, {_NODES}, {_GO}, {_CLOSURE}, {_ANNOTATED}, {_TRACED},
+vocab_ AS (
+  SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx
+  FROM go_terms WHERE term IN (SELECT term FROM traced))
+SELECT g.gene, g.status, coalesce(string_agg(v.idx, ',' ORDER BY v.idx), '') AS ix
+FROM (SELECT DISTINCT gene, status FROM annotated) g
+LEFT JOIN (SELECT DISTINCT gene, term FROM traced) t ON t.gene = g.gene LEFT JOIN vocab_ v ON v.term = t.term
+GROUP BY g.gene, g.status""",
     "prune_vocab": f"""WITH {_edges()}, {_NODES}, {_GO}, {_ANNOTATED}, {_DIRECT_VOCAB}
 SELECT term, idx FROM vocab_""",
     "gene_term_pairs": f"{_PAIRS} SELECT term, count(*) AS genes FROM pairs GROUP BY term",
@@ -264,6 +307,14 @@ SELECT gene, term, CASE status WHEN 'lethal' THEN 1 ELSE 0 END AS label FROM pai
 SELECT gene, status, {', '.join(
     f'''max(CASE WHEN term = 'Brand#{i}' THEN 1 ELSE 0 END) AS "Brand#{i}"''' for i in range(1, 26))}
 FROM brand JOIN blab USING (gene) GROUP BY gene, status""",
+    "wide_blocks": f"""WITH pairs AS (
+  SELECT DISTINCT c_nationkey AS gene, {_term('l_partkey')} AS term
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+vocab_ AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT DISTINCT term FROM pairs))
+SELECT g.gene, (v.idx // 1000)::INT AS block,
+       string_agg(CASE WHEN p.term IS NULL THEN '0' ELSE '1' END, ',' ORDER BY v.idx) AS flags
+FROM (SELECT DISTINCT gene FROM pairs) g CROSS JOIN vocab_ v LEFT JOIN pairs p ON p.gene = g.gene AND p.term = v.term
+GROUP BY ALL""",
     "arff_lines": f"""WITH {_BRANDS}
 SELECT 0 AS section, 0 AS at, '@RELATION gene_lethality' || chr(10) AS line
 UNION ALL SELECT 0, 1, '@ATTRIBUTE gene string'
@@ -323,10 +374,30 @@ UNION ALL SELECT {_wide('p_partkey + 900000000000')}, '**NOT-FOUND**' FROM part
 ORDER BY 1""",
     "scan_arff": f"""WITH {_BRANDS}
 SELECT replace(gene, '''', '-') AS gene, status, term, '1' AS value FROM bgenes JOIN brand USING (gene)""",
-    "scan_fly_raw": """SELECT 'g' || o_custkey AS gene, 'g' || o_custkey || '[' || o_orderkey || ']' AS allele,
-  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'x' || o_custkey WHEN '5' THEN 'y' ELSE '' END AS context,
-  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Lethal, with x' || o_custkey || ' ' WHEN '2' THEN 'Dies early'
-    WHEN '3' THEN 'dietary defect' WHEN '4' THEN 'wing' ELSE 'viable, with y' END AS phenotype,
-  CASE substr(o_orderpriority, 1, 1) WHEN '4' THEN 'other' WHEN '5' THEN 'viable' ELSE 'lethal' END AS simple_pheno
-FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0""",
+    "scan_fly_raw": f"SELECT gene, allele, context, phenotype, simple_pheno FROM ({_RAW})",
+    "scan_arff_rough": f"""SELECT gene, status, 'Brand#' || i AS term, {_rough_value('r', 3)} AS value
+FROM {_rough(3)} r CROSS JOIN range(1, 26) t(i) WHERE i <> 3 AND {_rough_value('r', 3)} <> '0'""",
+    "arff_diff": _ARFF_DIFF,
+    "file_pairs": f"""{_PAIRS}
+SELECT gene || chr(9) || term || chr(9) || CASE status WHEN 'lethal' THEN '1' ELSE '0' END AS line FROM pairs""",
+    "file_adjacency": f"""WITH {_edges()}
+SELECT child AS id, 'p' AS side, parent AS other FROM edges_ UNION ALL SELECT parent, 'c', child FROM edges_""",
+    "file_nodes": f"WITH {_edges()}, {_NODES}, {_GO} SELECT term AS line FROM go_terms",
+    "file_attributes": f"""WITH {_edges(alternates=False, live=False)}, {_NODES}
+SELECT '@attribute ' || term || ' {{1,0}}' AS line FROM nodes""",
+    "file_terms": f"""SELECT 'ID' || chr(9) || 'Name' AS line
+UNION ALL SELECT {_term('p_partkey')} || chr(9) || CASE WHEN p_name LIKE 'r%' THEN '**NOT-FOUND**' ELSE p_name END
+FROM part WHERE p_size = 7""",
+    "file_report": f"""{_diff('PROMO', 'SMALL')}
+SELECT 'Gene,Label A,Label B,GO Terms Differ,Status' AS line
+UNION ALL SELECT "Gene" || ',' || "Label A" || ',' || "Label B" || ',' || "GO Terms Differ" || ',' || "Status" FROM report""",
+    "file_summary": f"""WITH {_OBS}, f AS (
+  SELECT gene, bool_or(status = 'lethal') AS l, bool_or(status = 'viable') AS v FROM obs GROUP BY gene),
+s AS (SELECT gene, CASE WHEN l THEN 'True' ELSE 'False' END AS el, CASE WHEN v THEN 'True' ELSE 'False' END AS ev,
+  CASE WHEN l AND v THEN 'sometimes lethal, sometimes viable (context-dependent)'
+       WHEN l THEN 'always lethal in data' WHEN v THEN 'always viable in data'
+       ELSE 'no lethal/viable phenotypes found' END AS summary FROM f)
+SELECT 'gene,ever_lethal,ever_viable,summary' AS line UNION ALL SELECT {_csv('gene', 'el', 'ev', 'summary')} FROM s""",
+    "file_raw": f"""SELECT 'gene,allele,context,phenotype,simple_pheno' AS line
+UNION ALL SELECT {_csv('gene', 'allele', 'context', 'phenotype', 'simple_pheno')} FROM ({_RAW})""",
 }

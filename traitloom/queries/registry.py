@@ -77,26 +77,44 @@ def classify_anycol(spark, folder):
     return st.table(spark, folder, "part").select("p_partkey", status.alias("status")).where("status IS NOT NULL")
 
 
+# Words of another table: some stand in part names, most in none, some are null.
+_SUPPLIED = (
+    "CASE s_suppkey % 6 WHEN 0 THEN 'ring' WHEN 1 THEN 'small' WHEN 2 THEN 'gear' WHEN 3 THEN 'd b'"
+    " WHEN 4 THEN concat('line ', s_suppkey) END"
+)
+
+
 def _listed_words(spark, folder):
-    """Word list: first words of the parts of one brand."""
-    parts = st.table(spark, folder, "part").where("p_brand = 'Brand#7' AND p_name < 'm'")
-    return parts.select(before(F.col("p_name"), " ").alias("term")).distinct()
+    return st.table(spark, folder, "supplier").select(F.expr(_SUPPLIED).alias("term"))
+
+
+def _named_parts(spark, folder):
+    """Part names, null for some parts."""
+    return st.table(spark, folder, "part").select("p_partkey", F.expr("CASE WHEN p_size <> 9 THEN p_name END").alias("p_name"))
+
+
+def _classified(flagged):
+    return flagged.select("p_partkey", F.when(F.col("listed"), "lethal").otherwise("viable").alias("status"), "listed")
 
 
 @query
 def classify_terms(spark, folder):
-    words = _listed_words(spark, folder)
-    flagged = flag_texts(st.table(spark, folder, "part").select("p_partkey", "p_name"), "p_name", words, "listed")
-    return flagged.select("p_partkey", F.when(F.col("listed"), "lethal").otherwise("viable").alias("status"))
+    return _classified(flag_texts(_named_parts(spark, folder), "p_name", _listed_words(spark, folder), "listed"))
 
 
 @query
 def classify_terms_join(spark, folder):
     """The same through the equality join that long word lists take."""
     words = _listed_words(spark, folder)
-    parts = st.table(spark, folder, "part").select("p_partkey", "p_name")
-    flagged = flag_texts(parts, "p_name", words, "listed", limit=0)
-    return flagged.select("p_partkey", F.when(F.col("listed"), "lethal").otherwise("viable").alias("status"))
+    return _classified(flag_texts(_named_parts(spark, folder), "p_name", words, "listed", limit=0))
+
+
+@query
+def classify_turns(spark, folder):
+    """Whole texts against the order keys, a word list that is always long."""
+    orders = st.table(spark, folder, "orders").select(F.expr("lpad(o_orderkey % 10000, 4, '0')").alias("term"))
+    flagged = flag_texts(st.table(spark, folder, "conversations"), "text", orders, "listed")
+    return flagged.select("conv_id", "turn", "role", "listed")
 
 
 @query
@@ -189,8 +207,8 @@ def vocab(spark, folder):
 def vocab_union(spark, folder):
     """Terms of either of two vocabularies: used by genes, or below a root."""
     used = st.annotations(spark, folder).select("term")
-    pairs = on.descendants(_edges(spark, folder), st.roots(spark, folder))
-    return on.union_vocabulary(used, pairs)
+    graph, _ = cut(_edges(spark, folder), "edges")
+    return on.union_vocabulary(used, on.below(graph, st.roots(spark, folder)))
 
 
 @query
@@ -200,9 +218,7 @@ def attribute_lines(spark, folder):
 
 @query
 def adjacency(spark, folder):
-    """Lists longer than three are dealt into parts here, to show the split."""
-    lists = on.adjacency(_edges(spark, folder), longest=3)
-    return lists.select("id", "part", F.array_join("p", ",").alias("p"), F.array_join("c", ",").alias("c"))
+    return on.adjacency(_edges(spark, folder))
 
 
 @query
@@ -281,6 +297,13 @@ def encode_propagated(spark, folder):
     return _encoding_sums(_encoded(spark, folder, propagate=True, prune=False))
 
 
+@query
+def encode_pruned_closure(spark, folder):
+    """Terms with all ancestors over the used terms: each gene's places, not sums."""
+    matrix = _encoded(spark, folder, propagate=True, prune=True)
+    return mx.sparse_rows(matrix).select("gene", "status", F.array_join("ix", ",").alias("ix"))
+
+
 @query
 def prune_vocab(spark, folder):
     return _encoded(spark, folder, propagate=False, prune=True).vocab
@@ -315,7 +338,25 @@ def pivot_small(spark, folder):
     annotated, _ = cut(
         an.annotate(st.brand_labels(spark, folder), st.brand_pairs(spark, folder)), "annotated"
     )
-    return mx.wide_table(annotated, annotated.select("term").distinct())
+    brands = annotated.select("term").distinct().orderBy("term").collect()  # 25 in all
+    return mx.wide_table(annotated, [row["term"] for row in brands])
+
+
+@query
+def wide_blocks(spark, folder):
+    """Customers of a nation x parts they bought: a wide row of all parts, in blocks."""
+    lines = st.table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    orders = st.table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    customers = st.table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    pairs = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .select(F.col("c_nationkey").alias("gene"), F.lit("viable").alias("status"), F.expr(st.term("l_partkey")).alias("term"))
+        .distinct()
+    )
+    terms, _ = on.vocabulary(pairs.select("term").distinct())
+    blocks = mx.wide_blocks(pairs, terms)
+    return blocks.select("gene", "block", F.array_join("flags", ",").alias("flags"))
 
 
 @query
@@ -427,8 +468,7 @@ def _partner_rows(spark, folder):
 
 
 def _drivers(spark, folder):
-    parts = st.table(spark, folder, "part").where("p_name < 'm'")
-    path = st.tsv_file(parts, "drivers", "p_partkey", "''", "substring_index(p_name, ' ', 1)")
+    path = st.tsv_file(st.table(spark, folder, "supplier"), "drivers", "s_suppkey", "''", _SUPPLIED)
     return read_driver_lines(spark, _with_header(spark, path, "id\tx\tname"))
 
 
@@ -595,8 +635,101 @@ def scan_arff(spark, folder):
     return mx.term_cells(matrix).join(matrix.genes, "gene").select("gene", "status", "term", "value")
 
 
+def _rough_arff(spark, folder, label, without, changed="1 = 0", rows="true"):
+    """Parts x brands as an ARFF file by hand: padded values, comments, blank lines, short and long rows."""
+    brands = f"filter(sequence(1, 25), i -> i <> {without})"
+    header = spark.createDataFrame(
+        [(0, 0, "@RELATION x"), (0, 1, "@attribute gene string"), (2, 0, "@ATTRIBUTE class {viable,lethal}"), (2, 1, "@Data")]
+        + [(1, i, f"@ATTRIBUTE 'Brand#{i}' {{0,1}}") for i in range(1, 26) if i != without],
+        "section int, at bigint, line string",
+    )
+    brand = f"CASE WHEN {changed} THEN cast(substr(p_brand, 7) AS int) % 25 + 1 ELSE cast(substr(p_brand, 7) AS int) END"
+    width = "CASE p_size % 5 WHEN 0 THEN 10 WHEN 1 THEN 26 ELSE 24 END"
+    values = f"transform(sequence(1, {width}), i -> CASE WHEN element_at({brands}, least(i, 24)) = {brand} AND i <= 24 THEN ' 1 ' ELSE '0' END)"
+    data = st.table(spark, folder, "part").where(rows).select(
+        F.expr(
+            "CASE p_size WHEN 7 THEN concat('% ', p_name) WHEN 8 THEN '  ' ELSE"
+            f" concat(' ', p_name, '/', p_size, ',', array_join({values}, ','), ', ',"
+            " CASE WHEN p_partkey % 3 = 0 THEN 'lethal' ELSE 'viable' END) END"
+        ).alias("line"), F.lit(3).alias("section"), F.col("p_partkey").alias("at"),
+    )
+    lines = header.unionByName(data)
+    path = st.scratch_path(spark, label)
+    files.ordered_lines(lines, ["section", "at"]).write.text(path)
+    return read_arff(spark, path)
+
+
 @query
-def scan_fly_raw(spark, folder):
+def scan_arff_rough(spark, folder):
+    """Quoted names, padded values, comments, repeated genes, short and long rows."""
+    matrix = _rough_arff(spark, folder, "rough", 3)
+    return mx.term_cells(matrix).join(matrix.genes, "gene").select("gene", "status", "term", "value")
+
+
+@query
+def arff_diff(spark, folder):
+    """Two ARFF files with other attributes, short rows, repeated and missing genes."""
+    a = _rough_arff(spark, folder, "left", 3)
+    b = _rough_arff(spark, folder, "right", 5, changed="p_partkey % 4 = 0", rows="p_size <> 9")
+    return di.report(di.compare(a, b))
+
+
+def _written(spark, write, *args):
+    """Write with a sink; the lines of the folder it made."""
+    path = st.scratch_path(spark, "written")
+    write(*args, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def file_pairs(spark, folder):
+    return _written(spark, files.write_pairs, mx.labelled_pairs(_pairs(spark, folder)))
+
+
+@query
+def file_adjacency(spark, folder):
+    path = st.scratch_path(spark, "adjacency")
+    files.write_adjacency(on.adjacency(_edges(spark, folder)), path)
+    return spark.read.schema("id string, side string, other string").json(path)
+
+
+@query
+def file_nodes(spark, folder):
+    terms = on.nodes_of(_edges(spark, folder)).where(F.col("term").contains("GO"))
+    return _written(spark, files.write_nodes, terms)
+
+
+@query
+def file_attributes(spark, folder):
+    lines = on.attribute_lines(on.nodes_of(_edges(spark, folder, alternate_ids=False, live_only=False)))
+    return _written(spark, files.write_attributes, lines)
+
+
+@query
+def file_terms(spark, folder):
+    names = st.table(spark, folder, "part").select(F.expr(st.term("p_partkey")).alias("term"), F.col("p_name").alias("name"))
+    roots = st.roots(spark, folder)
+    return _written(spark, files.write_terms, on.named_terms(roots, names.where("name NOT LIKE 'r%'")))
+
+
+@query
+def file_report(spark, folder):
+    a = st.side_matrix(spark, folder, "F", without_type="PROMO")
+    b = st.side_matrix(spark, folder, "O", without_type="SMALL")
+    return _written(spark, files.write_report, di.compare(a, b))
+
+
+@query
+def file_summary(spark, folder):
+    return _written(spark, files.write_summary, lb.gene_summary(st.observations(spark, folder)))
+
+
+@query
+def file_raw(spark, folder):
+    return _written(spark, files.write_raw, _allele_records(spark, folder))
+
+
+def _allele_records(spark, folder):
     lines = st.table(spark, folder, "orders").select(
         F.expr(
             "CASE WHEN o_orderkey % 11 = 0 THEN concat('# note ', o_orderkey)"
@@ -608,5 +741,9 @@ def scan_fly_raw(spark, folder):
             " WHEN '4' THEN 'wing' ELSE 'viable, with y' END, 'ref') END"
         ).alias("line")
     )
-    records = read_allele_observations(spark, st.text_file(lines, "fly-raw", compression="none"))
-    return files.raw_columns(records)
+    return read_allele_observations(spark, st.text_file(lines, "fly-raw", compression="none"))
+
+
+@query
+def scan_fly_raw(spark, folder):
+    return files.raw_columns(_allele_records(spark, folder))

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_JOB: ContextVar[str] = ContextVar("job", default="")
+
+
+@contextmanager
+def job_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, also if the job fails.
+
+    What a job returns must not read them.
+    """
+    name = f"job-{uuid.uuid4().hex}"
+    token = _JOB.set(f"{name}/")
+    try:
+        yield
+    finally:
+        _JOB.reset(token)
+        _delete(spark, f"{_root(spark)}/{name}")
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/traitloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other table uses."""
-    application = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/traitloom/{application}/{label}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{_JOB.get()}{label}-{uuid.uuid4().hex}"
 
 
 def cut_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -51,9 +80,15 @@ def cut(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return table, measured["rows"]
 
 
+def cut_outside(df: DataFrame, label: str) -> DataFrame:
+    """The same, in the application's folder, where the end of a job leaves it."""
+    token = _JOB.set("")
+    try:
+        return cut(df, label)[0]
+    finally:
+        _JOB.reset(token)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete every scratch table of this application."""
-    application = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/traitloom/{application}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _root(spark))

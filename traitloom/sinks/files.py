@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.functions.text import python_bool
-from traitloom.operators.diff import ordered_report
+from traitloom.operators.diff import Comparison, report
 from traitloom.operators.matrix import Matrix, arff_header, arff_line, sparse_rows
+from traitloom.scratch import cut
+from traitloom.sources.lines import POSITION
 
 _MODE = "errorifexists"
 
@@ -73,7 +75,8 @@ def write_pairs(labelled: DataFrame, path: str, mode: str = _MODE) -> None:
 
 
 def write_adjacency(adjacency: DataFrame, path: str, mode: str = _MODE) -> None:
-    adjacency.write.mode(mode).json(path)
+    """One JSON object ``{"id", "side", "other"}`` for each neighbour of a term, by id."""
+    ordered(adjacency, ["id", "side", "other"]).write.mode(mode).json(path)
 
 
 def write_nodes(terms: DataFrame, path: str, mode: str = _MODE) -> None:
@@ -84,20 +87,46 @@ def write_attributes(lines: DataFrame, path: str, mode: str = _MODE) -> None:
     ordered_lines(lines, ["line"]).write.mode(mode).text(path)
 
 
-def _write_csv(df: DataFrame, path: str, mode: str) -> None:
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+def csv_cell(cell: Column) -> Column:
+    """A cell as it is; quoted if it holds a comma, a quote or a line break, and empty if null."""
+    text = F.coalesce(cell.cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike(r'[",\r\n]'), quoted).otherwise(text)
 
 
-def write_report(compared: DataFrame, path: str, mode: str = _MODE) -> None:
-    _write_csv(ordered_report(compared), path, mode)
+def csv_lines(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """``(section, *order, line)``: one header line in section 0, then a line for each row."""
+    keys = df.select(*order).schema
+    header = df.sparkSession.createDataFrame([(",".join(columns),)], "line string").select(
+        F.lit(0).alias("section"), *[F.lit(None).cast(key.dataType).alias(key.name) for key in keys], "line"
+    )
+    line = F.concat_ws(",", *[csv_cell(F.col(f"`{name}`")) for name in columns])
+    return header.unionByName(df.select(F.lit(1).alias("section"), *order, line.alias("line")))
+
+
+def _write_csv(df: DataFrame, columns: list[str], order: list[str], path: str, mode: str) -> None:
+    """Parts in name order are the file; a line break inside a cell stays one."""
+    ordered_lines(csv_lines(df, columns, order), ["section", *order]).write.mode(mode).text(path)
+
+
+REPORT_COLUMNS = ["Gene", "Label A", "Label B", "GO Terms Differ", "Status"]
+RAW_COLUMNS = ["gene", "allele", "context", "phenotype", "simple_pheno"]
+SUMMARY_COLUMNS = ["gene", "ever_lethal", "ever_viable", "summary"]
+
+
+def write_report(comparison: Comparison, path: str, mode: str = _MODE) -> None:
+    rows, _ = cut(report(comparison), "report")  # sorting looks at its rows twice
+    _write_csv(rows, REPORT_COLUMNS, ["rank", "Gene"], path, mode)
 
 
 def raw_columns(records: DataFrame) -> DataFrame:
-    return records.select("gene", "allele", "context", "phenotype", "simple_pheno")
+    return records.select(*RAW_COLUMNS)
 
 
 def write_raw(records: DataFrame, path: str, mode: str = _MODE) -> None:
-    _write_csv(raw_columns(records), path, mode)
+    """In the order of the records, as far as they say where they stood."""
+    order = [name for name in POSITION if name in records.columns]
+    _write_csv(records, RAW_COLUMNS, order or ["gene", "allele"], path, mode)
 
 
 def summary_columns(summary: DataFrame) -> DataFrame:
@@ -111,7 +140,7 @@ def summary_columns(summary: DataFrame) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = _MODE) -> None:
-    _write_csv(summary_columns(summary), path, mode)
+    _write_csv(summary_columns(summary), SUMMARY_COLUMNS, ["gene"], path, mode)
 
 
 def write_terms(named: DataFrame, path: str, mode: str = _MODE) -> None:

@@ -16,14 +16,17 @@ def read_lines(spark: SparkSession, path, separator: str | None = None) -> DataF
     """``value`` plus the columns of ``POSITION``.
 
     A split is read front to back, so within one file and split the generated
-    id grows with the line number.
+    id grows with the line number. Part files are in the order of their numbers,
+    whatever their digits, and files of other names in the order of these.
     """
     reader = spark.read
     if separator is not None:
         reader = reader.option("lineSep", separator)
+    path_of = F.col("_metadata.file_path")
+    number = F.lpad(F.regexp_extract(path_of, r"/part-(\d+)[^/]*$", 1), 12, "0")
     return reader.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("_file"),
+        F.concat(number, path_of).alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
@@ -47,9 +50,12 @@ def cells_of(line: Column) -> Column:
 
 def read_rows(spark: SparkSession, path) -> DataFrame:
     """``cells array<string>`` of each line that is not blank, plus ``POSITION``."""
+    lines = read_lines(spark, path)
+    if str(path).endswith(".gz"):
+        # one task reads such a file; what follows shall not be one task, too
+        lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
-        read_lines(spark, path)
-        .where(F.col("value") != "")
+        lines.where(F.col("value") != "")
         .select(cells_of(F.col("value")).alias("cells"), *POSITION)
     )
 

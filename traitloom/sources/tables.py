@@ -87,7 +87,7 @@ def read_allele_observations(spark: SparkSession, path) -> DataFrame:
     return (
         read_lines(spark, path)
         .where((strip(F.col("value")) != "") & ~F.col("value").startswith("#"))
-        .select(F.split(strip(F.col("value")), "\t", -1).alias("parts"))
+        .select(F.split(strip(F.col("value")), "\t", -1).alias("parts"), *POSITION)
         .where(F.size("parts") >= 4)
         .select(
             before(parts[0], "[").alias("gene"),
@@ -97,5 +97,6 @@ def read_allele_observations(spark: SparkSession, path) -> DataFrame:
             after(parts[2], "with").alias("context"),
             allele_status(parts[2]).alias("simple_pheno"),
             parts[3].alias("reference"),
+            *POSITION,
         )
     )
