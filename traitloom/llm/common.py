@@ -6,8 +6,11 @@ import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,22 +59,55 @@ def ship(spark: SparkSession) -> None:
 _SHIPPED: list = []
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2**22) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``most`` bytes of a text column; a longer text is one part."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
+    for start, stop in zip(cuts, cuts[1:]):
+        if stop > start:
+            yield batch.slice(start, stop - start)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs inside sends at most ``most`` rows to Python at a time, for rows that hold long lists."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_parts(rows: Callable[[pa.RecordBatch], dict], most: int) -> Callable[[pa.RecordBatch], Iterator[dict]]:
+    """``rows`` for at most ``most`` rows of a batch at a time, for rows that hold long lists."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for start in range(0, batch.num_rows, most):
+            yield rows(batch.slice(start, most))
+
+    return run
+
+
 def map_rows(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType
+    df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list] | Iterator[dict[str, list]]], schema: str | StructType
 ) -> DataFrame:
-    """``mapInArrow`` for a function that gives the columns of a batch's result."""
+    """``mapInArrow`` for a function that gives the columns of a batch's result, or of each of its parts."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     made = to_arrow_schema(schema)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = rows(batch)
-            arrays = [
-                column if isinstance(column := columns[field.name], pa.Array) else pa.array(column, type=field.type)
-                for field in made
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=made)
+            results = rows(batch)
+            for columns in [results] if isinstance(results, dict) else results:
+                arrays = [
+                    column if isinstance(column := columns[field.name], pa.Array) else pa.array(column, type=field.type)
+                    for field in made
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=made)
 
     return df.mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ kept per level of the context's count.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import map_rows, raw_words, typed
+from traitloom.llm.common import map_rows, raw_words, slices, typed
 from traitloom.scratch import cut, cut_measured
 
 SEED = 42
@@ -41,9 +42,9 @@ class Settings:
     longest_frequent: int = 64  # bytes of such a word
 
 
-def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
-    """A hash of unsigned 64-bit keys."""
-    x = keys + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+def mixed(keys: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    """A hash of unsigned 64-bit keys; the salt may be one for each key."""
+    x = keys + np.atleast_1d(salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -67,25 +68,37 @@ class LogBloom:
         return (mixed(keys, 3) % np.uint64(blocks)).astype(np.int64)
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, probe: int, block_bits: int) -> np.ndarray:
-        hashed = mixed(keys, 4 + level)
+    def probe(hashed: np.ndarray, number: int, block_bits: int) -> np.ndarray:
+        """A place in the block, from the hash of key and level."""
         step = (hashed >> np.uint64(32)) | np.uint64(1)
-        return (((hashed & _WIDE) + np.uint64(probe) * step) % np.uint64(block_bits)).astype(np.int64)
+        return (((hashed & _WIDE) + np.uint64(number) * step) % np.uint64(block_bits)).astype(np.int64)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(keys), dtype=np.int64)
+    def holds(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Whether each key is there with the given level."""
         blocks = len(self.bits) * 8 // self.block_bits
         begin = self.block_of(keys, blocks) * self.block_bits
+        hashed = mixed(keys, 4 + levels)
         alive = np.arange(len(keys))
-        for level in range(1, LEVELS):
-            for probe in range(self.probes):
-                at = begin[alive] + self.places(keys[alive], level, probe, self.block_bits)
-                alive = alive[(self.bits[at >> 3] >> (at & 7)) & 1 == 1]
-            found[alive] = level
-            if not len(alive):
-                break
+        for number in range(self.probes):
+            at = begin[alive] + self.probe(hashed[alive], number, self.block_bits)
+            alive = alive[(self.bits[at >> 3] >> (at & 7)) & 1 == 1]
+        found = np.zeros(len(keys), dtype=bool)
+        found[alive] = True
         return found
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level of each key. A key has all levels below its own, so that after
+        1, 2, 4, ... the place between the last that holds and the first that does not is halved."""
+        low = self.holds(keys, np.ones(len(keys), dtype=np.int64)).astype(np.int64)
+        high = np.where(low, LEVELS, 1)
+        open_ = np.nonzero(low)[0]
+        while len(open_):
+            tried = np.where(high[open_] == LEVELS, np.minimum(2 * low[open_], LEVELS - 1), (low[open_] + high[open_]) // 2)
+            there = self.holds(keys[open_], tried)
+            low[open_[there]], high[open_[~there]] = tried[there], tried[~there]
+            open_ = open_[high[open_] - low[open_] > 1]
+        return low
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         return level_counts(self.steps)[self.levels(keys)]
 
@@ -129,9 +142,9 @@ def build_filter(grams: DataFrame, settings: Settings) -> tuple[LogBloom, int]:
         levels = block["level"].to_numpy()
         bits = np.zeros(block_bits, dtype=bool)
         for level in range(1, int(levels.max()) + 1):
-            own = keys[levels >= level]
-            for probe in range(settings.probes):
-                bits[LogBloom.places(own, level, probe, block_bits)] = True
+            hashed = mixed(keys[levels >= level], 4 + level)
+            for number in range(settings.probes):
+                bits[LogBloom.probe(hashed, number, block_bits)] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
         return pd.DataFrame({"block": [block["block"].iloc[0]], "bits": [packed]})
 
@@ -170,19 +183,36 @@ def hashes(tokens: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(token, SEED) for token in tokens], dtype=np.uint64)
 
 
-def contexts(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The key before each token; a text begins after an end."""
-    before = np.roll(keys, 1)
-    before[begins[:-1][begins[:-1] < len(keys)]] = xxhash.xxh64_intdigest(END, SEED)
-    return before
+@dataclass(frozen=True)
+class Pairs:
+    """The different pairs of a token and the one before it, and the pair of each token in a row."""
+
+    first: np.ndarray  # numbers of tokens
+    second: np.ndarray
+    times: np.ndarray
+    of: np.ndarray | None
+
+    @staticmethod
+    def among(tokens: list[bytes], row: np.ndarray, begins: np.ndarray, places: bool = True) -> Pairs:
+        before = np.roll(row, 1)
+        if len(row):
+            before[begins[:-1]] = tokens.index(END)  # a text begins after an end
+        codes = before * len(tokens) + row
+        of = None
+        if places:
+            both, of, times = np.unique(codes, return_inverse=True, return_counts=True)
+        else:
+            both, times = np.unique(codes, return_counts=True)
+        return Pairs(both // max(1, len(tokens)), both % max(1, len(tokens)), times, of)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (token, n) over all texts; each batch is counted before it is shuffled."""
 
-    def counted(batch: pa.RecordBatch) -> dict:
-        tokens, row, _ = numbered(batch["text"].to_pylist())
-        return {"token": tokens, "n": np.bincount(row, minlength=len(tokens))}
+    def counted(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in slices(batch):
+            tokens, row, _ = numbered(part["text"].to_pylist())
+            yield {"token": tokens, "n": np.bincount(row, minlength=len(tokens))}
 
     partial = map_rows(typed(docs, text="string"), counted, "token binary, n bigint")
     return partial.groupBy("token").agg(F.sum("n").alias("n"))
@@ -192,13 +222,13 @@ def pair_counts(docs: DataFrame, words: LogBloom) -> DataFrame:
     """Rows (key, context, n): pairs of tokens by hash, with the level of the first token's count."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def counted(batch: pa.RecordBatch) -> dict:
-        tokens, row, begins = numbered(batch["text"].to_pylist())
-        own = hashes(tokens)
-        level = dict(zip(own.tolist(), shared.value.levels(own).tolist()))
-        first = contexts(own[row], begins)
-        keys, at, n = np.unique(pair_keys(first, own[row]), return_index=True, return_counts=True)
-        return {"key": keys.view(np.int64), "context": [level[x] for x in first[at].tolist()], "n": n}
+    def counted(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in slices(batch):
+            tokens, row, begins = numbered(part["text"].to_pylist())
+            own = hashes(tokens)
+            pairs = Pairs.among(tokens, row, begins, places=False)
+            keys = pair_keys(own[pairs.first], own[pairs.second])
+            yield {"key": keys.view(np.int64), "context": shared.value.levels(own)[pairs.first], "n": pairs.times}
 
     partial = map_rows(typed(docs, text="string"), counted, "key bigint, context int, n int")
     return partial.groupBy("key").agg(F.max("context").alias("context"), F.sum("n").alias("n"))
@@ -219,14 +249,14 @@ class Model:
     def one(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.tokens + 0.5 * (self.different + 1))
 
-    def probabilities(self, own: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of tokens (by hash) after their contexts; different pairs are asked for once."""
-        keys, back = np.unique(pair_keys(first, own), return_inverse=True)
-        both = self.pairs.counts(keys)[back]
-        level = self.words.levels(first)
-        before = np.maximum(level_counts(self.settings.steps)[level], both)
+    def probabilities(self, own: np.ndarray, pairs: Pairs) -> np.ndarray:
+        """Of each different pair: of its second token after its first; ``own`` are the tokens' hashes."""
+        both = self.pairs.counts(pair_keys(own[pairs.first], own[pairs.second]))
+        levels = self.words.levels(own)
+        counts = level_counts(self.settings.steps)[levels]
+        before = np.maximum(counts[pairs.first], both)
         seen = np.where(both >= self.settings.least_pairs, both - self.settings.discount, 0) / np.maximum(before, 1)
-        return seen + self.rest[level] * self.one(self.words.counts(own))
+        return seen + self.rest[levels[pairs.first]] * self.one(counts[pairs.second])
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
@@ -263,6 +293,32 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     return Model(words, filled, rest, tokens, different, exact, settings), counts
 
 
+def score_part(part: pa.RecordBatch, known: Model) -> dict:
+    """The columns that ``score_texts`` writes for some documents."""
+    tokens, row, begins = numbered(part["text"].to_pylist())
+    many, different = len(begins) - 1, max(1, len(tokens))
+    pairs = Pairs.among(tokens, row, begins)
+    logs = np.log10(known.probabilities(hashes(tokens), pairs))[pairs.of]
+    exact = np.array([known.frequent.get(token, -1) for token in tokens], dtype=np.int64)
+    bases = np.where(exact >= 0, np.log10(known.one(np.maximum(exact, 0))), 0.0)[row]
+    text = np.repeat(np.arange(many), np.diff(begins))
+    # words that are not frequent: each text's different ones, with their number
+    rare = exact[row] < 0
+    both, times = np.unique(text[rare] * different + row[rare], return_counts=True)
+    offsets = np.searchsorted(both, np.arange(many + 1) * different).astype(np.int32)
+    items = pa.StructArray.from_arrays(
+        [pa.array([tokens[i] for i in both % different], pa.binary()), pa.array(times, pa.int32())], ["token", "n"]
+    )
+    return {
+        "doc_id": part["doc_id"],
+        "n_tokens": np.diff(begins),
+        "known": np.bincount(text[~rare], minlength=many),
+        "base": np.bincount(text, weights=bases, minlength=many),
+        "score": np.bincount(text, weights=logs, minlength=many),
+        "rare": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
+    }
+
+
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -272,30 +328,9 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batch: pa.RecordBatch) -> dict:
-        known = shared.value
-        tokens, row, begins = numbered(batch["text"].to_pylist())
-        many = len(begins) - 1
-        own = hashes(tokens)[row]
-        logs = np.log10(known.probabilities(own, contexts(own, begins)))
-        exact = np.array([known.frequent.get(token, -1) for token in tokens], dtype=np.int64)
-        bases = np.where(exact >= 0, np.log10(known.one(np.maximum(exact, 0))), 0.0)[row]
-        text = np.repeat(np.arange(many), np.diff(begins))
-        # words that are not frequent: each text's different ones, with their number
-        rare = exact[row] < 0
-        both, n = np.unique(text[rare] * len(tokens) + row[rare], return_counts=True)
-        offsets = np.searchsorted(both, np.arange(many + 1) * len(tokens)).astype(np.int32)
-        items = pa.StructArray.from_arrays(
-            [pa.array([tokens[i] for i in both % max(1, len(tokens))], pa.binary()), pa.array(n, pa.int32())], ["token", "n"]
-        )
-        return {
-            "doc_id": batch["doc_id"],
-            "n_tokens": np.diff(begins),
-            "known": np.bincount(text[~rare], minlength=many),
-            "base": np.bincount(text, weights=bases, minlength=many),
-            "score": np.bincount(text, weights=logs, minlength=many),
-            "rare": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
-        }
+    def scored(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in slices(batch):
+            yield score_part(part, shared.value)
 
     partial = map_rows(
         typed(docs, doc_id="bigint", text="string"),
