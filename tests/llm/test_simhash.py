@@ -66,7 +66,7 @@ def test_trees_lose_no_link():
     for own, other in HALVES:
         shards = []
         parts = route(points, grow(points, own, other, 3, 16, shards))
-        assert len(shards) > 20 and max(len(rows) for _, rows in parts) < len(points) / 4
+        assert len(shards) > 20 and max(len(rows) for _, rows in parts) < len(points) / 3
         for _, rows in parts:
             local = joined(points[rows], 3)
             for at, first in enumerate(local):
