@@ -219,10 +219,12 @@ def listed(*kinds: str) -> Column:
 def sanitised(text: Column) -> Column:
     """``text`` with base spans generalised to their kind and disclosing terms to [TERM].
 
-    Spans that overlap become one, named after the first.
+    Spans that overlap become one, named after the first, of those the longest.
     """
     marks = F.array_sort(each_span(
-        lambda kind, x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark")),
+        lambda kind, x: F.struct(
+            x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark")
+        ),
         (*PATTERNS, "term"),
     ))
     return F.aggregate(
