@@ -18,10 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import map_rows
+from traitloom.llm.common import arrow_rows, in_parts, map_rows
 from traitloom.scratch import cut, cut_measured, scratch_path
 
 _PARTS = 2**20
@@ -157,8 +158,8 @@ def descend(graph: DataFrame, codes: DataFrame, settings: Settings) -> DataFrame
 
     def compared(batch: pa.RecordBatch) -> dict:
         met = batch["met"]
-        ends = met.offsets.to_numpy()
-        flat = met.values
+        ends = np.append(0, np.cumsum(pc.list_value_length(met).to_numpy()))
+        flat = met.flatten()
         members, fresh, least = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
         x = matrix(flat.field(3).to_pylist())
         out = ([], [], [])
@@ -177,7 +178,7 @@ def descend(graph: DataFrame, codes: DataFrame, settings: Settings) -> DataFrame
         ids, others, sims = (np.concatenate(values) if values else np.zeros(0) for values in out)
         return {"id": ids.astype(np.int64), "other": others.astype(np.int64), "sim": sims.astype(np.float32)}
 
-    found = map_rows(lists.select("met"), compared, "id bigint, other bigint, sim float")
+    found = map_rows(lists.select("met"), in_parts(compared, 512), "id bigint, other bigint, sim float")
     old = graph.withColumn("fresh", F.lit(0))
     return top_neighbours(old.unionByName(found.withColumn("fresh", F.lit(1))), many)
 
@@ -200,9 +201,9 @@ def neighbour_graph(codes: DataFrame, rows: int, settings: Settings) -> tuple[Da
 def walk(
     queries: DataFrame, graph: DataFrame, codes: DataFrame, pivot_ids: np.ndarray, pivots: np.ndarray, settings: Settings
 ) -> DataFrame:
-    """Rows (id, ids, sims): what a greedy search finds for each query (id, code), the nearest first.
+    """Rows (id, ids): what a greedy search finds for each query (id, code), the nearest first.
 
-    A query starts from its own neighbours in the graph, if it is in it, and from the nearest
+    A query starts from its own place in the graph, if it is in it, and from the nearest
     pivots. The graph is written in buckets with its codes, so that each round only moves
     the nodes to be expanded.
     """
@@ -228,10 +229,10 @@ def walk(
     pool = "ids array<bigint>, sims array<float>, done array<boolean>"
     none = "array<struct<other:bigint,sim:float>>"
     begin = map_rows(queries, started, f"id bigint, code binary, found {none}")
-    own = graph.groupBy("id").agg(F.collect_list(F.struct("other", "sim")).alias("own"))
-    state = begin.join(own, "id", "left").select(
+    own = F.array(F.struct(F.col("id").alias("other"), F.lit(2.0).cast("float").alias("sim")))
+    state = begin.select(
         "id", "code", F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<float>").alias("sims"),
-        F.array().cast("array<boolean>").alias("done"), F.concat("found", F.coalesce("own", F.array().cast(none))).alias("found"),
+        F.array().cast("array<boolean>").alias("done"), F.concat("found", own).alias("found"),
     )
 
     def merged(batch: pa.RecordBatch) -> dict:
@@ -240,7 +241,8 @@ def walk(
         for query, ids, sims, done, found in zip(*columns):
             ids, sims, done = np.array(ids, dtype=np.int64), np.array(sims), np.array(done, dtype=bool)
             done[np.nonzero(~done)[0][: settings.at_once]] = True  # they have just been expanded
-            new = {x["other"]: x["sim"] for x in found or () if x["other"] != query}
+            new = {x["other"]: x["sim"] for x in found or ()}
+            new.update({query: 2.0} if query in new else {})  # before all others
             for known in ids.tolist():
                 new.pop(known, None)
             ids = np.append(ids, np.array(list(new), dtype=np.int64))
@@ -253,7 +255,7 @@ def walk(
 
     left = F.sum(F.size(F.filter("done", lambda x: ~x)))
     merge = f"id bigint, code binary, {pool}"
-    state, seen = cut_measured(map_rows(state, merged, merge), "walk", left=left)
+    state, seen = cut_measured(map_rows(state, in_parts(merged, 64), merge), "walk", left=left)
 
     def shown(batch: pa.RecordBatch) -> dict:
         ids, others, scores = [], [], []
@@ -273,12 +275,12 @@ def walk(
         front = state.select(F.col("id").alias("query"), "code", least.alias("least"), F.explode(asked).alias("x"))
         opened = front.withColumn("node", F.col("x.node")).join(spark.table(name), F.col("node") == F.col("id"))
         found = map_rows(
-            opened.select("query", "code", "least", "others", "codes"), shown, "id bigint, other bigint, sim float"
+            opened.select("query", "code", "least", "others", "codes"), in_parts(shown, 512), "id bigint, other bigint, sim float"
         )
         found = found.groupBy("id").agg(F.collect_list(F.struct("other", "sim")).alias("found"))
-        state, seen = cut_measured(map_rows(state.join(found, "id", "left"), merged, merge), "walk", left=left)
+        state, seen = cut_measured(map_rows(state.join(found, "id", "left"), in_parts(merged, 64), merge), "walk", left=left)
     spark.sql(f"DROP TABLE {name}")
-    return state.select("id", "ids", "sims")
+    return state.select("id", F.filter("ids", lambda x: x != F.col("id")).alias("ids"))
 
 
 def nearest_neighbours(
@@ -291,9 +293,13 @@ def nearest_neighbours(
     double precision; ties go to the smaller id. What ``usable`` leaves out takes no part.
     """
     points, rows = cut(usable(vectors, id_, vector), "points")
-    codes, _ = cut(encoded(points), "codes")
-    graph, pivot_ids, pivots = neighbour_graph(codes, rows, settings)
-    found = walk(codes.where(asks), graph, codes, pivot_ids, pivots, settings)
+    # a row of the graph holds the codes of all its neighbours
+    with arrow_rows(vectors.sparkSession, 512):
+        codes, _ = cut(encoded(points), "codes")
+        graph, pivot_ids, pivots = neighbour_graph(codes, rows, settings)
+        # without the component that fills it up, a query's cosines are inner products
+        plain = F.concat(F.expr("substring(code, 1, length(code) - 2)"), F.lit(bytes(2)))
+        found = walk(codes.where(asks).select("id", plain.alias("code")), graph, codes, pivot_ids, pivots, settings)
     pairs = found.select(
         F.col("id").alias("query_id"), F.explode(F.slice("ids", 1, settings.spare * wanted)).alias("vec_id")
     )
