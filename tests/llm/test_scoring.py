@@ -7,7 +7,7 @@ from llm_fixtures import TABLES, docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from traitloom.llm.queries import op7_bloom_lm_scores
-from traitloom.llm.scoring import Settings, build_filter, level_counts, level_of, score_texts, train
+from traitloom.llm.scoring import BlockTable, Settings, build_filter, level_counts, level_of, score_texts, train
 
 
 def tokens(text):
@@ -89,3 +89,20 @@ def test_nulls_empty_long_repeats_and_clashing_columns(docs):
     empty, counts = train(docs([]))
     assert score_texts(docs([]), empty, counts).count() == 0
     assert score_texts(docs([(1, "new words")]), empty, counts).first().n_known == 0
+
+
+def test_rare_words_and_pairs_count_however_large_the_filters(docs):
+    """Words and pairs that are seen once; filters that are too large to be broadcast read like others."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)] + [(99, None)]
+    data = docs(rows)
+    scores = []
+    for settings in (Settings(), Settings(most_bits=2**14, block_bits=2**10)):
+        model, counts = train(data, settings)
+        table = settings.most_bits < 2**16
+        assert isinstance(model.words, BlockTable) == isinstance(model.pairs, BlockTable) == table
+        scores.append({row.doc_id: row.score for row in score_texts(data, model, counts).collect()})
+    for i, _ in rows[:-1]:
+        # each word follows the one before it with at least 1/4
+        assert min(found[i] for found in scores) > 60 * math.log10(0.25) - 3
+        assert math.isclose(scores[0][i], scores[1][i], rel_tol=0.05)
+    assert scores[0].keys() == scores[1].keys()

@@ -2,8 +2,9 @@
 
 The filter holds the counts of words and word pairs on a logarithmic scale: a key with
 count c is put in once for every level up to the level of c, and asking for level after
-level until one is missing gives the count back. Filters only grow with what the
-parameters allow, so they can be broadcast. Probabilities are pairs by absolute
+level until one is missing gives the count back. Filters hold all keys with all their
+levels and grow with them; one of up to ``most_bits`` is broadcast, a larger one is a
+table of blocks that keys are joined to. Probabilities are pairs by absolute
 discounting, with the word's own probability for the rest; how much rest there is, is
 kept per level of the context's count.
 """
@@ -11,8 +12,8 @@ kept per level of the context's count.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,21 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import map_rows, raw_words, slices, typed
-from traitloom.scratch import cut, cut_measured
+from traitloom.scratch import cut, cut_measured, cut_outside, free_shuffles, job_tables
 
 SEED = 42
 LEVELS = 128
+LOT = 8  # blocks of a table that are asked together
 END = b""
 _WIDE = np.uint64(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
 class Settings:
-    most_bits: int = 2**28  # of a filter
+    most_bits: int = 2**28  # of a filter that is broadcast
     block_bits: int = 2**20  # of the part of a filter that one task fills
     probes: int = 6
     steps: int = 2  # levels in which a count doubles
-    least_pairs: int = 2  # a pair that is seen less often is left to its word
+    least_pairs: int = 1  # a pair that is seen less often is left to its word
     discount: float = 0.75
     most_frequent: int = 200_000  # words whose exact counts go along, for the base score
     longest_frequent: int = 64  # bytes of such a word
@@ -56,12 +58,14 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LogBloom:
-    """A filled filter: counts of keys, never too small, too large with a small chance."""
+    """A filled filter, or a lot of its blocks: counts of keys, never too small, too large with a small chance."""
 
     bits: np.ndarray
     block_bits: int
     probes: int
     steps: int
+    first: int = 0  # block of the lot
+    of: int = 0  # blocks of the whole filter, where this is a lot
 
     @staticmethod
     def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -75,8 +79,8 @@ class LogBloom:
 
     def holds(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
         """Whether each key is there with the given level."""
-        blocks = len(self.bits) * 8 // self.block_bits
-        begin = self.block_of(keys, blocks) * self.block_bits
+        blocks = self.of or len(self.bits) * 8 // self.block_bits
+        begin = (self.block_of(keys, blocks) - self.first) * self.block_bits
         hashed = mixed(keys, 4 + levels)
         alive = np.arange(len(keys))
         for number in range(self.probes):
@@ -117,21 +121,28 @@ def level_counts(steps: int) -> np.ndarray:
     return np.array(made)
 
 
-def build_filter(grams: DataFrame, settings: Settings) -> tuple[LogBloom, int]:
-    """The filter of ``grams`` (key, level), and the least level that it holds.
+@dataclass(frozen=True)
+class BlockTable:
+    """A filter that is too large to be broadcast: written rows (lot, block, bits)."""
 
-    Its size follows from the number of keys and levels. Where that would pass
-    ``most_bits``, the keys of the lowest levels stay outside, and count as unseen.
-    """
-    at_level = dict(grams.groupBy("level").count().collect())
-    per_item = settings.probes / math.log(2)
-    least, entries = 1, sum(level * n for level, n in at_level.items())
-    while entries * per_item > settings.most_bits:
-        entries -= least * at_level.get(least, 0)
-        least += 1
-    needed = max(2**16, 2 ** math.ceil(math.log2(max(1, entries * per_item))))
-    block_bits = min(settings.block_bits, needed)
-    blocks = min(settings.most_bits, needed) // block_bits
+    rows: DataFrame
+    blocks: int
+    block_bits: int
+    probes: int
+    steps: int
+
+
+def bits_per_entry(settings: Settings) -> float:
+    return settings.probes / math.log(2)
+
+
+def level_sizes(grams: DataFrame) -> dict[int, int]:
+    """The number of keys of each level."""
+    return dict(grams.groupBy("level").count().collect())
+
+
+def filled_blocks(grams: DataFrame, blocks: int, block_bits: int, settings: Settings) -> DataFrame:
+    """Rows (block, bits) of a filter that holds ``grams`` (key, level)."""
 
     def dealt(batch: pa.RecordBatch) -> dict:
         keys = batch["key"].to_numpy().view(np.uint64)
@@ -148,15 +159,48 @@ def build_filter(grams: DataFrame, settings: Settings) -> tuple[LogBloom, int]:
         packed = np.packbits(bits, bitorder="little").tobytes()
         return pd.DataFrame({"block": [block["block"].iloc[0]], "bits": [packed]})
 
-    kept = map_rows(grams.where(F.col("level") >= least), dealt, "block bigint, key bigint, level int")
+    kept = map_rows(grams, dealt, "block bigint, key bigint, level int")
+    return kept.groupBy("block").applyInPandas(filled, "block bigint, bits binary")
+
+
+def build_filter(
+    grams: DataFrame, settings: Settings, at_level: dict[int, int] | None = None
+) -> tuple[LogBloom, int]:
+    """A filter of ``grams`` (key, level) that can be broadcast, and the least level that it holds.
+
+    Its size follows from the number of keys and levels. Where that would pass
+    ``most_bits``, the keys of the lowest levels stay outside, and count as unseen;
+    ``whole_filter`` makes a table then.
+    """
+    at_level = level_sizes(grams) if at_level is None else at_level
+    per_item = bits_per_entry(settings)
+    least, entries = 1, sum(level * n for level, n in at_level.items())
+    while entries * per_item > settings.most_bits:
+        entries -= least * at_level.get(least, 0)
+        least += 1
+    needed = max(2**16, 2 ** math.ceil(math.log2(max(1, entries * per_item))))
+    block_bits = min(settings.block_bits, needed)
+    blocks = min(settings.most_bits, needed) // block_bits
     # most_bits / 8 bytes at most come to the driver
-    parts = kept.groupBy("block").applyInPandas(filled, "block bigint, bits binary").collect()
+    parts = filled_blocks(grams.where(F.col("level") >= least), blocks, block_bits, settings).collect()
     bits = np.zeros(blocks * block_bits // 8, dtype=np.uint8)
     for block, packed in parts:
         bits[block * block_bits // 8 : (block + 1) * block_bits // 8] = np.frombuffer(packed, dtype=np.uint8)
     return LogBloom(bits, block_bits, settings.probes, settings.steps), least
 
 
+def whole_filter(grams: DataFrame, settings: Settings) -> LogBloom | BlockTable:
+    """The filter of all ``grams`` (key, level) with all their levels, broadcast or a table."""
+    at_level = level_sizes(grams)
+    bits = sum(level * n for level, n in at_level.items()) * bits_per_entry(settings)
+    if bits <= settings.most_bits:
+        return build_filter(grams, settings, at_level)[0]
+    blocks = math.ceil(bits / settings.block_bits)
+    rows = filled_blocks(grams, blocks, settings.block_bits, settings)
+    lots = rows.select(F.floor(F.col("block") / LOT).cast("bigint").alias("lot"), "block", "bits")
+    return BlockTable(cut_outside(lots, "filter"), blocks, settings.block_bits, settings.probes, settings.steps)
+
+
 class _Numbers(dict):
     """Numbers 0, 1, 2, ... for the keys in the order in which they are asked for."""
 
@@ -218,28 +262,126 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(docs: DataFrame, words: LogBloom) -> DataFrame:
-    """Rows (key, context, n): pairs of tokens by hash, with the level of the first token's count."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def text_parts(docs: DataFrame, **columns: str) -> DataFrame:
+    """Written rows of lists, the ``columns`` of some documents each, with their number ``part``."""
 
-    def counted(batch: pa.RecordBatch) -> Iterator[dict]:
+    def gathered(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch):
-            tokens, row, begins = numbered(part["text"].to_pylist())
-            own = hashes(tokens)
-            pairs = Pairs.among(tokens, row, begins, places=False)
-            keys = pair_keys(own[pairs.first], own[pairs.second])
-            yield {"key": keys.view(np.int64), "context": shared.value.levels(own)[pairs.first], "n": pairs.times}
+            yield {name: [part[name].to_pylist()] for name in columns}
+
+    schema = ", ".join(f"{name} array<{kind}>" for name, kind in columns.items())
+    parts = map_rows(typed(docs, **columns), gathered, schema)
+    # written once: the number of a part must not change between its uses
+    return cut(parts.withColumn("part", F.monotonically_increasing_id()), "parts")[0]
+
+
+def word_keys(texts: list[str | None]) -> np.ndarray:
+    return hashes(numbered(texts)[0])
+
+
+def keys_of_pairs(texts: list[str | None]) -> np.ndarray:
+    tokens, row, begins = numbered(texts)
+    own, pairs = hashes(tokens), Pairs.among(tokens, row, begins, places=False)
+    return pair_keys(own[pairs.first], own[pairs.second])
+
+
+def by_lot(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lots of keys, and an order of the keys by lot."""
+    lots = LogBloom.block_of(keys, blocks) // LOT
+    return lots, np.argsort(lots, kind="stable")
+
+
+def with_levels(
+    parts: DataFrame, name: str, held: LogBloom | BlockTable, keys_of: Callable[[list[str | None]], np.ndarray]
+) -> DataFrame:
+    """``parts`` with ``name``: the levels of ``keys_of`` of each part's texts, a list of bytes by lot.
+
+    Keys go to the blocks of the filter, not blocks to the texts. Null for a filter that is broadcast.
+    """
+    if isinstance(held, LogBloom):
+        return parts.withColumn(name, F.lit(None).cast("array<binary>"))
+    blocks, block_bits, probes, steps = held.blocks, held.block_bits, held.probes, held.steps
+
+    def asked(batch: pa.RecordBatch) -> Iterator[dict]:
+        for number, texts in zip(batch["part"].to_pylist(), batch["text"]):
+            keys = keys_of(texts.as_py())
+            lots, order = by_lot(keys, blocks)
+            found, begins = np.unique(lots[order], return_index=True)
+            keys, bounds = keys[order], [*begins.tolist(), len(order)]
+            sent = [keys[start:stop].tobytes() for start, stop in zip(bounds, bounds[1:])]
+            yield {"lot": found, "part": np.full(len(found), number), "keys": sent}
+
+    def told(asks: pa.Table, rows: pa.Table) -> pa.Table:
+        made: dict[str, list] = {"part": [], "lot": [], "levels": []}
+        if asks.num_rows:
+            lot = asks["lot"][0].as_py()
+            bits = np.zeros(LOT * block_bits // 8, dtype=np.uint8)
+            for block, packed in zip(rows["block"].to_pylist(), rows["bits"].to_pylist()):
+                at = (block - lot * LOT) * block_bits // 8
+                bits[at : at + block_bits // 8] = np.frombuffer(packed, dtype=np.uint8)
+            filled = LogBloom(bits, block_bits, probes, steps, lot * LOT, blocks)
+            for batch in asks.to_batches():
+                for some in slices(batch, "keys"):
+                    keys = some["keys"].to_pylist()
+                    levels = filled.levels(np.frombuffer(b"".join(keys), dtype=np.uint64)).astype(np.uint8).tobytes()
+                    bounds = np.cumsum([0, *(len(key) // 8 for key in keys)]).tolist()
+                    made["levels"] += [levels[start:stop] for start, stop in zip(bounds, bounds[1:])]
+                    made["part"] += some["part"].to_pylist()
+                    made["lot"] += [lot] * len(keys)
+        kinds = {"part": pa.int64(), "lot": pa.int64(), "levels": pa.binary()}
+        return pa.table({column: pa.array(made[column], kind) for column, kind in kinds.items()})
+
+    asks = map_rows(parts.select("part", "text"), asked, "lot bigint, part bigint, keys binary")
+    answers = asks.groupBy("lot").cogroup(held.rows.groupBy("lot")).applyInArrow(
+        told, "part bigint, lot bigint, levels binary"
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("lot", "levels"))), lambda x: x["levels"])
+    return parts.join(answers.groupBy("part").agg(listed.alias(name)), "part", "left")
+
+
+def levels_told(keys: np.ndarray, told: list[bytes], blocks: int) -> np.ndarray:
+    """The levels of ``keys`` in their order, from the lists of ``with_levels``."""
+    levels = np.empty(len(keys), dtype=np.int64)
+    levels[by_lot(keys, blocks)[1]] = np.frombuffer(b"".join(told), dtype=np.uint8)
+    return levels
+
+
+def pair_counts(docs: DataFrame, words: LogBloom | BlockTable) -> DataFrame:
+    """Rows (key, context, n): pairs of tokens by hash, with the level of the first token's count."""
+
+    def count(texts: list[str | None], levels_of: Callable[[np.ndarray], np.ndarray]) -> dict:
+        tokens, row, begins = numbered(texts)
+        own = hashes(tokens)
+        pairs = Pairs.among(tokens, row, begins, places=False)
+        keys = pair_keys(own[pairs.first], own[pairs.second])
+        return {"key": keys.view(np.int64), "context": levels_of(own)[pairs.first], "n": pairs.times}
 
-    partial = map_rows(typed(docs, text="string"), counted, "key bigint, context int, n int")
+    schema = "key bigint, context int, n int"
+    if isinstance(words, LogBloom):
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+
+        def counted(batch: pa.RecordBatch) -> Iterator[dict]:
+            for part in slices(batch):
+                yield count(part["text"].to_pylist(), shared.value.levels)
+
+        partial = map_rows(typed(docs, text="string"), counted, schema)
+    else:
+        blocks = words.blocks
+
+        def counted_parts(batch: pa.RecordBatch) -> Iterator[dict]:
+            for texts, told in zip(batch["text"], batch["words"]):
+                yield count(texts.as_py(), lambda own: levels_told(own, told.as_py(), blocks))
+
+        partial = map_rows(with_levels(text_parts(docs, text="string"), "words", words, word_keys), counted_parts, schema)
     return partial.groupBy("key").agg(F.max("context").alias("context"), F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """What is broadcast to score texts; ``rest`` is by the level of the context's count."""
+    """What scores texts; ``rest`` is by the level of the context's count. It is broadcast but for filters that are tables."""
 
-    words: LogBloom
-    pairs: LogBloom
+    words: LogBloom | BlockTable | None
+    pairs: LogBloom | BlockTable | None
     rest: np.ndarray
     tokens: int
     different: int
@@ -249,11 +391,17 @@ class Model:
     def one(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.tokens + 0.5 * (self.different + 1))
 
-    def probabilities(self, own: np.ndarray, pairs: Pairs) -> np.ndarray:
-        """Of each different pair: of its second token after its first; ``own`` are the tokens' hashes."""
-        both = self.pairs.counts(pair_keys(own[pairs.first], own[pairs.second]))
-        levels = self.words.levels(own)
-        counts = level_counts(self.settings.steps)[levels]
+    def probabilities(
+        self, own: np.ndarray, pairs: Pairs, levels: np.ndarray | None = None, both: np.ndarray | None = None
+    ) -> np.ndarray:
+        """Of each different pair: of its second token after its first; ``own`` are the tokens' hashes.
+
+        ``levels`` of tokens and ``both`` of pairs are given where the filter is a table.
+        """
+        counted = level_counts(self.settings.steps)
+        both = counted[self.pairs.levels(pair_keys(own[pairs.first], own[pairs.second])) if both is None else both]
+        levels = self.words.levels(own) if levels is None else levels
+        counts = counted[levels]
         before = np.maximum(counts[pairs.first], both)
         seen = np.where(both >= self.settings.least_pairs, both - self.settings.discount, 0) / np.maximum(before, 1)
         return seen + self.rest[levels[pairs.first]] * self.one(counts[pairs.second])
@@ -264,19 +412,21 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     counts, sums = cut_measured(word_counts(docs), "words", tokens=F.sum("n"))
     tokens, different = sums["tokens"] or 0, sums["rows"]
     grams = counts.select(F.xxhash64("token").alias("key"), level_of(F.col("n"), settings.steps).alias("level"))
-    words, _ = build_filter(grams, settings)
-    pairs, _ = cut(pair_counts(docs, words), "pairs")
-    often = F.col("n") >= settings.least_pairs
-    kept = pairs.where(often).select("key", level_of(F.col("n"), settings.steps).alias("level"))
-    filled, least = build_filter(kept, settings)
-    # only pairs that the filter holds take from the rest of their contexts
-    held = often & (level_of(F.col("n"), settings.steps) >= least)
-    shares = pairs.groupBy("context").agg(
-        F.sum("n").alias("all"), F.sum(F.when(held, F.col("n") - settings.discount).otherwise(0.0)).alias("seen")
-    )
-    rest = np.ones(LEVELS)
-    for level, all_, seen in shares.collect():
-        rest[level] = 1 - seen / all_
+    words = whole_filter(grams, settings)
+    # the pairs take most of the disk; only their filter goes on
+    with job_tables(docs.sparkSession):
+        pairs, _ = cut(pair_counts(docs, words), "pairs")
+        free_shuffles(docs.sparkSession)
+        often = F.col("n") >= settings.least_pairs
+        kept = pairs.where(often).select("key", level_of(F.col("n"), settings.steps).alias("level"))
+        filled = whole_filter(kept, settings)
+        shares = pairs.groupBy("context").agg(
+            F.sum("n").alias("all"), F.sum(F.when(often, F.col("n") - settings.discount).otherwise(0.0)).alias("seen")
+        )
+        rest = np.ones(LEVELS)
+        for level, all_, seen in shares.collect():
+            rest[level] = 1 - seen / all_
+    free_shuffles(docs.sparkSession)
     by_level = dict(
         counts.where(F.length("token") <= settings.longest_frequent)
         .groupBy(level_of(F.col("n"), settings.steps)).count().collect()
@@ -293,21 +443,29 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     return Model(words, filled, rest, tokens, different, exact, settings), counts
 
 
-def score_part(part: pa.RecordBatch, known: Model) -> dict:
-    """The columns that ``score_texts`` writes for some documents."""
+def score_part(
+    part: pa.RecordBatch, known: Model, words: Callable | None = None, both: Callable | None = None
+) -> dict:
+    """The columns that ``score_texts`` writes for some documents.
+
+    ``words`` and ``both`` give the levels of keys of tokens and pairs where the filter is a table.
+    """
     tokens, row, begins = numbered(part["text"].to_pylist())
     many, different = len(begins) - 1, max(1, len(tokens))
     pairs = Pairs.among(tokens, row, begins)
-    logs = np.log10(known.probabilities(hashes(tokens), pairs))[pairs.of]
+    own = hashes(tokens)
+    levels = words(own) if words else None
+    both_levels = both(pair_keys(own[pairs.first], own[pairs.second])) if both else None
+    logs = np.log10(known.probabilities(own, pairs, levels, both_levels))[pairs.of]
     exact = np.array([known.frequent.get(token, -1) for token in tokens], dtype=np.int64)
     bases = np.where(exact >= 0, np.log10(known.one(np.maximum(exact, 0))), 0.0)[row]
     text = np.repeat(np.arange(many), np.diff(begins))
     # words that are not frequent: each text's different ones, with their number
     rare = exact[row] < 0
-    both, times = np.unique(text[rare] * different + row[rare], return_counts=True)
-    offsets = np.searchsorted(both, np.arange(many + 1) * different).astype(np.int32)
+    each, times = np.unique(text[rare] * different + row[rare], return_counts=True)
+    offsets = np.searchsorted(each, np.arange(many + 1) * different).astype(np.int32)
     items = pa.StructArray.from_arrays(
-        [pa.array([tokens[i] for i in both % different], pa.binary()), pa.array(times, pa.int32())], ["token", "n"]
+        [pa.array([tokens[i] for i in each % different], pa.binary()), pa.array(times, pa.int32())], ["token", "n"]
     )
     return {
         "doc_id": part["doc_id"],
@@ -326,15 +484,31 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     the table of all counts. A null text is empty and has the one token of its end. Rows
     that repeat are scored each. Other columns are neither read nor returned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    tables = {name: held.blocks for name in ("words", "pairs") if isinstance(held := getattr(model, name), BlockTable)}
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, **dict.fromkeys(tables)))
+    columns = {"doc_id": "bigint", "text": "string"}
 
     def scored(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch):
             yield score_part(part, shared.value)
 
+    def scored_parts(batch: pa.RecordBatch) -> Iterator[dict]:
+        for at in range(batch.num_rows):
+            part = pa.RecordBatch.from_arrays([batch[name][at].values for name in columns], list(columns))
+            asked = [
+                (lambda keys, name=name: levels_told(keys, batch[name][at].as_py(), tables[name])) if name in tables else None
+                for name in ("words", "pairs")
+            ]
+            yield score_part(part, shared.value, *asked)
+
+    if tables:
+        parts = with_levels(text_parts(docs, **columns), "words", model.words, word_keys)
+        asked, score = with_levels(parts, "pairs", model.pairs, keys_of_pairs), scored_parts
+    else:
+        asked, score = typed(docs, **columns), scored
     partial = map_rows(
-        typed(docs, doc_id="bigint", text="string"),
-        scored,
+        asked,
+        score,
         "doc_id bigint, n_tokens bigint, known bigint, base double, score double,"
         " rare array<struct<token:binary,n:int>>",
     )

@@ -7,6 +7,7 @@ names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -92,3 +93,12 @@ def cut_outside(df: DataFrame, label: str) -> DataFrame:
 def purge(spark: SparkSession) -> None:
     """Delete every scratch table of this application."""
     _delete(spark, _root(spark))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
