@@ -87,6 +87,15 @@ def test_terms_that_give_an_entity_away(docs):
     assert safe[11] == "the lone word Nowak, [EMAIL] of nothing" and safe[10] == rows[4][1]
 
 
+def test_a_disclosing_term_is_found_anywhere_in_its_entitys_documents(docs):
+    filler = [(100 + i, f"the words from number {i} says hello and a note of things for anyone at all") for i in range(60)]
+    rows = [(i, f"the note {i} from Kowalska, kowal@ex.org says hello of {i} things") for i in range(4)]
+    far = "kowal@ex.org " + "says hello and a note of things for anyone at all " * 5 + "KOWALSKA, Kowalska"
+    found = {row.doc_id: row for row in pii.disclosures(docs(filler + rows + [(10, far)]), ["doc_id"]).select("row.doc_id", "term").collect()}
+    assert [far[x.start : x.end] for x in found[10].term] == ["KOWALSKA", "Kowalska"]
+    assert all(len(found[i].term) == 1 for i in range(4)) and not found[100].term
+
+
 def test_overlapping_spans_become_one(docs):
     text = "x 4111111111111111 and 12.34.56.78@host.org end"
     assert [row.text for row in pii.sanitise(docs([(1, text)])).collect()] == ["x [CARD] and [EMAIL] end"]

@@ -185,16 +185,18 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, rule: Disclosure) -> Data
 def disclosures(docs: DataFrame, carry: list[str], rule: Disclosure = Disclosure()) -> DataFrame:
     """One row per document: row (its columns ``carry``), text (null without spans), and spans by kind.
 
-    Kinds are email, ip, card, phone, and term: the places in an entity's documents of the
-    words around it that disclose it. A term inside a base span is no span of its own. Null
+    Kinds are email, ip, card, phone, and term: all places in an entity's documents of the
+    words that disclose it, next to it or not. A term inside a base span is no span of its own. Null
     texts are empty. Rows that repeat are searched each, and count as documents each, but
     texts that are equal count once for ``least_texts``.
     """
     found = found_entities(docs, carry)
     near, _ = cut(entity_terms(found, rule), "near-terms")
-    revealing = disclosing_terms(docs, near, rule)
-    # a document's list holds words from its own windows only
-    by_doc = near.join(revealing, ["entity", "term"]).groupBy("at").agg(
+    revealing, _ = cut(disclosing_terms(docs, near, rule), "disclosing-terms")
+    # a document's list holds words of its own only, from anywhere in its text
+    words = found.where("any").select("at", F.explode(terms_of(F.col("text"), rule.shortest)).alias("term"))
+    holds = near.select("at", "entity").distinct()
+    by_doc = words.join(revealing, "term").join(holds, ["at", "entity"], "left_semi").groupBy("at").agg(
         F.array_sort(F.collect_set("term")).alias("terms")
     )
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
