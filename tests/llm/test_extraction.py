@@ -53,6 +53,21 @@ def test_nothing_to_extract(page):
     assert [x for x in main_blocks(page) if x not in ("<",)] == []
 
 
+@pytest.mark.parametrize("before", [
+    "<script><!-- var a = 1;</script>", "<script>var a = '<!--';</script>", '<p title="<!--"></p>', "<!-- a --!>", "<!-->",
+    "<style><!-- p {} </style>",
+])
+def test_comment_signs_that_open_no_comment(before):
+    assert main_blocks(f"<body>{before}<article><p>{LONG}</p></article></body>") == [LONG.strip()]
+
+
+def test_markup_that_the_end_cuts_off():
+    assert main_blocks("<p>a</p><p>b<!-- c <p>d</p>") == ["a", "b"]
+    assert main_blocks("<p>a</p><p>b<a href='x") == ["a", "b"]
+    assert main_blocks("<p>a</p><script>if (1 <b") == ["a"]
+    assert main_blocks("<p>1 < 2</p>x <") == ["1 < 2", "x <"]
+
+
 def test_plain_text_and_misnested_tags():
     assert main_blocks("just words &amp; more") == ["just words & more"]
     assert main_blocks("<p><b>a<p>b</b></div>c") == ["a", "b", "c"]

@@ -46,6 +46,8 @@ SIGNS = frozenset(
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 _TOKENS = re.compile(r"[a-z]+")
+_TAG = re.compile(r"</?[a-zA-Z]")
+_COMMENT_END = re.compile(r"--!?>")
 
 
 @dataclass
@@ -75,6 +77,18 @@ class Blocks(HTMLParser):
         self.blocks: list[Block] = []
         self.fresh = True
 
+    def finish(self):
+        """Read what is left at the end, but for a comment or a tag that the end cuts off."""
+        left = self.rawdata
+        if self.cdata_elem is None and (left.startswith("<!--") or _TAG.match(left) and ">" not in left):
+            self.rawdata = ""
+        self.close()
+
+    def parse_comment(self, i, report=1):
+        """A comment ends with ``-->`` or ``--!>``; ``<!-->`` and ``<!--->`` are whole."""
+        end = _COMMENT_END.search(self.rawdata, i + 2)
+        return end.end() if end else -1
+
     def handle_starttag(self, tag, attrs):
         if tag in INLINE or tag in VOID:
             if tag == "br":
@@ -164,15 +178,6 @@ def path_scores(blocks: list[Block], smooth: float = 1.0) -> np.ndarray:
     return np.sqrt(even[0] * (1 + even[1]))
 
 
-def _whole_markup(html: str) -> str:
-    """``html`` without a comment or a tag that its end cuts off."""
-    at = html.rfind("<!--")
-    if at >= 0 and html.find("-->", at) < 0:
-        html = html[:at]
-    at = html.rfind("<")
-    return html[:at] if at >= 0 and html.find(">", at) < 0 and re.match(r"/?[a-zA-Z]", html[at + 1 : at + 3]) else html
-
-
 def main_blocks(html: str | None, spread: float = 0.5, most: float = 0.9) -> list[str]:
     """The blocks of the main text in page order, white space turned into single blanks.
 
@@ -181,8 +186,8 @@ def main_blocks(html: str | None, spread: float = 0.5, most: float = 0.9) -> lis
     element around it.
     """
     page = Blocks()
-    page.feed(_whole_markup(html or ""))
-    page.close()
+    page.feed(html or "")
+    page.finish()
     blocks = []
     for block in page.blocks:
         block.text = " ".join("".join(block.parts).split())
