@@ -53,6 +53,17 @@ def test_nothing_to_extract(page):
     assert [x for x in main_blocks(page) if x not in ("<",)] == []
 
 
+@pytest.mark.parametrize("opened, closed", [
+    ('<div class="content no-sidebar">', "</div>"), ('<article class="post has-comments">', "</article>"),
+    ('<form id="aspnetForm">', "</form>"), ('<div class="widget"><section id="share">', "</section></div>"),
+])
+def test_a_sign_does_not_take_the_article_away(opened, closed):
+    comments = f'<div class="comments"><p>{LONG}</p></div>'
+    page = f"""<body>{opened}<div class="article-header"><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p>
+    <div class="share">Share it</div><p>{LONG}<span class="ad">ad</span></p>{closed}<div class="search">Find</div>{comments}</body>"""
+    assert main_blocks(page) == ["Title", *[LONG.strip()] * 3]
+
+
 @pytest.mark.parametrize("before", [
     "<script><!-- var a = 1;</script>", "<script>var a = '<!--';</script>", '<p title="<!--"></p>', "<!-- a --!>", "<!-->",
     "<style><!-- p {} </style>",

@@ -5,7 +5,8 @@ Per path the lengths and the punctuation of its blocks are added up and divided
 their number; these ratios are smoothed over neighbouring blocks, fused, and compared
 with their spread. The selected paths show where the article is: the smallest
 element that holds nearly all of their text. Its blocks are the result, without
-those under elements that say what else they are.
+those under elements that are never text, and without those under elements whose names
+or form say what else they are, unless these hold most of the selected text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ CLOSES_ITSELF = {
 }
 SCOPES = frozenset("html body article aside div footer header main nav ol section table td th ul form".split())
 NEVER = frozenset(
-    "head title script style noscript template nav footer aside form menu dialog select button textarea iframe"
+    "head title script style noscript template nav footer aside menu dialog select button textarea iframe"
     " object svg math canvas audio video datalist".split()
 )
 ARTICLES = frozenset(("article", "main"))
@@ -46,6 +47,8 @@ SIGNS = frozenset(
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 _TOKENS = re.compile(r"[a-z]+")
+_STATE = re.compile(r"\b(?:no|non|has|with|without)[-_]+[a-z]+")  # what an element has is not what it is
+NAMES = frozenset("article post entry story content title".split())  # their headers are no page's
 _TAG = re.compile(r"</?[a-zA-Z]")
 _COMMENT_END = re.compile(r"--!?>")
 
@@ -55,17 +58,23 @@ class Element:
     tag: str
     path: str
     parent: Element | None
-    other: bool  # it says that it is no part of an article
+    other: bool  # it is no part of an article
     header: bool = False
+    signed: Element | None = None  # the nearest that says so by a sign, itself or around it
     held: float = 0.0
+    vetoed: bool = False
 
 
 @dataclass
 class Block:
     element: Element
-    parts: list[str] = field(default_factory=list)
+    parts: list[tuple[str, Element | None]] = field(default_factory=list)  # with the nearest signed element
     text: str = ""
 
+    def read(self) -> str:
+        """The text of the parts that no sign vetoes."""
+        return " ".join("".join(data for data, signed in self.parts if signed is None or not signed.vetoed).split())
+
 
 class Blocks(HTMLParser):
     """The blocks of a page, but for those that say that they are no article, with their elements; unclosed and misnested tags are mended as they come."""
@@ -123,9 +132,12 @@ class Blocks(HTMLParser):
         if top.other:
             return
         if self.fresh:
-            self.blocks.append(Block(top))
+            element = top
+            while element.tag in INLINE:
+                element = element.parent
+            self.blocks.append(Block(element))
             self.fresh = False
-        self.blocks[-1].parts.append(data)
+        self.blocks[-1].parts.append((data, top.signed))
 
     def _enter(self, tag, attrs):
         parent, given = self.open[-1], dict(attrs)
@@ -133,11 +145,14 @@ class Blocks(HTMLParser):
         tokens = set(_TOKENS.findall(names))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (
             given.get("style") or "").replace(" ", "").lower()
-        sign = tag not in ("html", "body", "main") and bool(tokens & SIGNS)
-        other = parent.other or tag in NEVER or hidden or sign or (given.get("role") or "").lower() in ROLES
+        signs = SIGNS & set(_TOKENS.findall(_STATE.sub(" ", names))) - ({"header"} if tokens & NAMES else set())
+        sign = tag == "form" or tag not in ("html", "body", "main") and bool(signs)
+        other = parent.other or tag in NEVER or hidden or (given.get("role") or "").lower() in ROLES
         header = parent.header or tag == "header"
         path = parent.path if tag in INLINE else f"{parent.path}/{tag}" + "".join(f".{x}" for x in sorted(tokens))
-        self.open.append(Element(tag, path, parent, other, header))
+        made = Element(tag, path, parent, other, header, parent.signed)
+        made.signed = made if sign else parent.signed
+        self.open.append(made)
 
     def _leave(self, tag, far=False):
         """Close the nearest open ``tag``; without ``far`` only up to the element that holds it."""
@@ -178,25 +193,82 @@ def path_scores(blocks: list[Block], smooth: float = 1.0) -> np.ndarray:
     return np.sqrt(even[0] * (1 + even[1]))
 
 
-def main_blocks(html: str | None, spread: float = 0.5, most: float = 0.9) -> list[str]:
+def _article(element: Element | None) -> Element | None:
+    """The outermost article or main element around ``element``, or itself."""
+    found = None
+    while element is not None:
+        found = element if element.tag in ARTICLES else found
+        element = element.parent
+    return found
+
+
+def veto_signed(blocks: list[Block], chosen: list[Block], share: float) -> None:
+    """Veto the signed elements that hold less than ``share`` of the selected text, with all in them.
+
+    A page with one article or main element without a sign around it says itself where its
+    text is; signed elements outside that are vetoed too. Where nothing of the selected text
+    would be left, the signs say nothing.
+    """
+    held: dict[int, int] = {}
+    total = 0
+    for block in chosen:
+        for data, element in block.parts:
+            size = len("".join(data.split()))
+            total += size
+            while element is not None:
+                held[id(element)] = held.get(id(element), 0) + size
+                element = element.parent.signed
+
+    articles = {id(found): found for block in blocks if (found := _article(block.element)) and not found.signed}
+    alone = next(iter(articles.values())) if len(articles) == 1 else None
+
+    def veto(of: list[Block]) -> None:
+        for block in of:
+            for _, element in block.parts:
+                while element is not None and not element.vetoed:
+                    around, vetoed = element, False
+                    while around is not None:
+                        vetoed |= held.get(id(around), 0) < share * total
+                        vetoed |= alone is not None and _article(around) is not alone
+                        around = around.parent.signed
+                    element.vetoed = vetoed
+                    element = element.parent.signed
+
+    veto(chosen)
+    if any(block.read() for block in chosen):
+        veto(blocks)
+    else:
+        for block in chosen:
+            for _, element in block.parts:
+                while element is not None:
+                    element.vetoed, element = False, element.parent.signed
+
+
+def main_blocks(html: str | None, spread: float = 0.5, most: float = 0.9, signed: float = 2 / 3) -> list[str]:
     """The blocks of the main text in page order, white space turned into single blanks.
 
     A path is selected from ``spread`` standard deviations of the scores on; the article
     is the smallest element with ``most`` of the selected text, or an article or main
-    element around it.
+    element around it. Elements that say that they are something else are left out where
+    they hold less than ``signed`` of the selected text.
     """
     page = Blocks()
     page.feed(html or "")
     page.finish()
     blocks = []
     for block in page.blocks:
-        block.text = " ".join("".join(block.parts).split())
+        block.text = block.read()
         if block.text and not _in_header(block):
             blocks.append(block)
     if not blocks:
         return []
     scores = path_scores(blocks)
     chosen = [block for block, score in zip(blocks, scores) if score >= spread * scores.std()]
+    veto_signed(blocks, chosen, signed)
+    for block in blocks:
+        if any(element is not None for _, element in block.parts):
+            block.text = block.read()
+    blocks, chosen = ([block for block in some if block.text] for some in (blocks, chosen))
     total = float(sum(len(block.text) for block in chosen))
     for block in chosen:
         element = block.element
@@ -213,10 +285,7 @@ def main_blocks(html: str | None, spread: float = 0.5, most: float = 0.9) -> lis
         for at, element in enumerate(reversed(chain)):
             if at > depth and element.tag in SCOPES and element.held >= most * total:
                 best, depth = element, at
-    element, article = best, best
-    while element is not None:
-        article = element if element.tag in ARTICLES else article
-        element = element.parent
+    article = _article(best) or best
     kept = []
     for block in blocks:
         element = block.element
