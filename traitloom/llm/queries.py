@@ -9,6 +9,7 @@ from traitloom.llm import pii, scoring, sql, toxicity
 from traitloom.llm.common import crc_fold, table
 from traitloom.llm.extraction import extract_main_text
 from traitloom.llm.licenses import license_scan
+from traitloom.llm.middles import digest, fill_in_middle, restore
 from traitloom.llm.mixing import mix_sources, word_count
 from traitloom.llm.neighbours import nearest_neighbours
 from traitloom.llm.packing import best_fit_packing
@@ -94,6 +95,15 @@ def op10_disclosed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, fim = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back, text = restore(made.select("doc_id", f"{fim}.*"), "output", "form")
+    return back.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(F.col(text)).alias("restored_sha256"),
+    )
+
+
 LLM_QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_components": op2_simhash_components,
@@ -105,8 +115,10 @@ LLM_QUERIES = {
     "op8_license_notices": op8_license_notices,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_disclosed_entities": op10_disclosed_entities,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 LLM_ORACLE = {
     "op1_quality_rules": sql.QUALITY_RULES,
     "op3_source_mix": sql.SOURCE_MIX,
+    "op11_fill_in_middle": sql.FILL_IN_MIDDLE,
 }

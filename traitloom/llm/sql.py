@@ -148,3 +148,31 @@ SELECT s.doc_id, s.size, s.source_size, s.target,
                      WHEN s.border IS NULL THEN 0 ELSE least(3, s.whole + (s.bucket < s.border)::INT) END AS taken
 FROM split s LEFT JOIN filled f USING (r)
 """
+
+FILL_IN_MIDDLE = r"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+drawn AS (
+  SELECT doc_id, t, w, len(w) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(w) + 1) AS a,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(w) + 1) AS b, ('0x' || substr(h, 17, 8))::BIGINT AS h3,
+         ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM tokens
+),
+cut AS (
+  SELECT doc_id, t, n,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(w[1:least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(w[greatest(a, b) + 1:n], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
