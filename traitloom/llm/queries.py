@@ -15,6 +15,7 @@ from traitloom.llm.neighbours import nearest_neighbours
 from traitloom.llm.packing import best_fit_packing
 from traitloom.llm.quality import quality_rules
 from traitloom.llm.simhash import simhash_components
+from traitloom.llm.turns import damaged, repair_conversations
 from traitloom.scratch import cut
 
 
@@ -104,6 +105,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
 LLM_QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_components": op2_simhash_components,
@@ -116,6 +121,7 @@ LLM_QUERIES = {
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_disclosed_entities": op10_disclosed_entities,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 LLM_ORACLE = {
     "op1_quality_rules": sql.QUALITY_RULES,
