@@ -10,6 +10,7 @@ from traitloom.llm.common import crc_fold, table
 from traitloom.llm.extraction import extract_main_text
 from traitloom.llm.licenses import license_scan
 from traitloom.llm.middles import digest, fill_in_middle, restore
+from traitloom.llm.minhash import minhash_components
 from traitloom.llm.mixing import mix_sources, word_count
 from traitloom.llm.neighbours import nearest_neighbours
 from traitloom.llm.packing import best_fit_packing
@@ -105,6 +106,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
 
@@ -121,10 +126,12 @@ LLM_QUERIES = {
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_disclosed_entities": op10_disclosed_entities,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_minhash_components": op12_minhash_components,
     "op13_conversation_repair": op13_conversation_repair,
 }
 LLM_ORACLE = {
     "op1_quality_rules": sql.QUALITY_RULES,
     "op3_source_mix": sql.SOURCE_MIX,
     "op11_fill_in_middle": sql.FILL_IN_MIDDLE,
+    "op12_minhash_components": sql.MINHASH_COMPONENTS,
 }

@@ -176,3 +176,29 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(t) AS restored_sha256
 FROM cut
 """
+
+MINHASH_COMPONENTS = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM docs WHERE len(w) > 0)
+),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r
+  JOIN sizes p ON p.r = a.r JOIN sizes q ON q.r = b.r
+  WHERE 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n)
+  GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))
+),
+reached AS (
+  SELECT r AS x, r AS y FROM docs
+  UNION
+  SELECT m.x, l.y FROM reached m JOIN links l ON l.x = m.y
+),
+named AS (SELECT x AS r, min(d.doc_id) AS component_id FROM reached JOIN docs d ON d.r = y GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(d.doc_id = component_id, false) AS kept
+FROM docs d JOIN named USING (r) LEFT JOIN sizes USING (r)
+"""
