@@ -130,13 +130,17 @@ def _shared(nodes: DataFrame, side: str) -> DataFrame:
 
 
 def live_nodes(nodes: DataFrame) -> DataFrame:
-    """The nodes that share a half on either side, with their shared halves only."""
+    """The nodes that share a half on either side; halves that no other node has are 0."""
     sides = [
-        _shared(nodes, side).groupBy("id").agg(F.sort_array(F.collect_list("key")).alias(f"{side}_"))  # at most ``halves`` keys
+        _shared(nodes, side).groupBy("id").agg(F.collect_list("key").alias(f"{side}_"))  # at most ``halves`` keys
         for side in ("a", "b")
     ]
-    both = sides[0].join(sides[1], "id")
-    return nodes.join(both, "id").select("id", "doc_id", "t", "n", F.col("a_").alias("a"), F.col("b_").alias("b"), "signature")
+    both = nodes.join(sides[0].join(sides[1], "id"), "id")
+
+    def only(side: str):
+        return F.transform(side, lambda key: F.when(F.array_contains(f"{side}_", key), key).otherwise(0)).alias(side)
+
+    return both.select("id", "doc_id", "t", "n", only("a"), only("b"), "signature")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -176,10 +180,10 @@ def centre_pairs(live: DataFrame, side: str, settings: Settings) -> DataFrame:
 
     Asked are the nodes of least component of each half, one for each.
     """
-    rows, _ = cut(live.select("id", "root", "n", F.explode(side).alias("key")), "halves")
+    rows, _ = cut(live.select("id", "root", "n", F.explode(F.array_remove(side, 0)).alias("key")), "halves")
     centres = rows.groupBy("key").agg(F.min(F.struct("root", "id", "n")).alias("centre"), F.max("root").alias("hi"))
     centres = centres.where("centre.root < hi").select("key", "centre")
-    met = spread_join(rows.drop("hi"), centres, "key", salt_by=["id"], settled=True).where(
+    met = spread_join(rows, centres, "key", salt_by=["id"], settled=True).where(
         (F.col("root") != F.col("centre.root")) & _near_sizes(F.col("n"), F.col("centre.n"), settings)
     )
     counts = met.groupBy("id", F.col("centre.id").alias("y")).agg(F.count(F.lit(1)).alias("halves"))
@@ -198,73 +202,120 @@ def _open(rows: DataFrame) -> DataFrame:
     ).where("lo < hi").select("key", "many")
 
 
-def table_pairs(live: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (x, y) of different components that meet in a table and whose minhashes may be similar enough.
+def tables_of(live: DataFrame, settings: Settings) -> DataFrame:
+    """Rows (half, half_b, lo, hi, part) and a node: what is compared in one task, one group for each (half, half_b, lo, hi).
 
-    Rows with one first half are compared in one task if they are few, table by table. Those of a
-    first half with many rows are dealt by table, and where that is large, too, by pairs of its parts. Each
-    pair comes from the first half and the first table that it shares only.
+    Nodes with one first half are compared in one task if they are few; half_b is null then. Those of a
+    first half with many nodes are dealt by table, and where that is large, too, by pairs of its parts.
     """
-    rows, _ = cut(live.select(*live.columns, F.explode("a").alias("half")), "tables")
+    rows, _ = cut(live.withColumn("half", F.explode(F.array_remove("a", 0))), "tables")
     keyed = rows.withColumn("key", F.col("half"))
     halves, _ = cut(_open(keyed), "open")
     met = spread_join(keyed, halves, "key", salt_by=["id"], settled=True)
     few = met.where(F.col("many") <= settings.most).withColumn("parts", F.lit(1)).withColumn("half_b", F.lit(None).cast("bigint"))
-    tables = met.where(F.col("many") > settings.most).drop("many", "key").withColumn("half_b", F.explode("b"))
-    tables = tables.withColumn("key", F.xxhash64("half", "half_b"))
-    tables, _ = cut(tables, "tables")
+    tables = met.where(F.col("many") > settings.most).drop("many", "key").withColumn("half_b", F.explode(F.array_remove("b", 0)))
+    tables, _ = cut(tables.withColumn("key", F.xxhash64("half", "half_b")), "tables")
     large = spread_join(tables, _open(tables), "key", salt_by=["id"], settled=True).withColumn(
         "parts", F.ceil(F.col("many") / settings.most).cast("int")
     )
     dealt = few.unionByName(large.select(few.columns)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(
+    return dealt.select(
         "half", "half_b", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
         "part", "id", "root", "n", "a", "b", "signature",
     )
-    least = settings.signature * (settings.percent - settings.margin) / 100
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        half, half_b = group["half"].iloc[0], group["half_b"].iloc[0]
-        crossing = group["lo"].iloc[0] != group["hi"].iloc[0]
-        ids, roots, sizes, part = (group[c].to_numpy() for c in ("id", "root", "n", "part"))
-        signatures = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(len(group), -1)
-        first, second = group["a"].tolist(), group["b"].tolist()
-        members: dict[int, list[int]] = {}
-        for i, keys in enumerate(second):
-            for key in keys:
-                members.setdefault(int(key), []).append(i)
-        wanted = members.items() if pd.isna(half_b) else [(int(half_b), members[int(half_b)])]
-        found: set[tuple[int, int]] = set()
-        for key, places in wanted:
-            places = np.array(places)
-            if len(places) < 2 or roots[places].min() == roots[places].max():
-                continue
-            places = places[np.argsort(sizes[places], kind="stable")]
-            for start in range(0, len(places), 128):
-                left = places[start : start + 128]
-                top = 100 * sizes[left[-1]]
-                for begin in range(start, len(places), 128):
-                    right = places[begin : begin + 128]
-                    if settings.percent * sizes[right[0]] > top:
-                        break
-                    x, y = np.nonzero(roots[left][:, None] != roots[right][None, :])
-                    x, y = left[x], right[y]
-                    small, big = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-                    good = (x != y) & (100 * small >= settings.percent * big)
-                    if crossing:
-                        good &= part[x] != part[y]
-                    x, y = x[good], y[good]
-                    alike = (signatures[x] == signatures[y]).sum(axis=1) >= least
-                    for i, j in zip(x[alike], y[alike]):
-                        if not pd.isna(half_b) and np.intersect1d(second[i], second[j])[0] != key:
-                            continue
-                        if np.intersect1d(first[i], first[j])[0] == half:
-                            found.add((max(ids[i], ids[j]), min(ids[i], ids[j])))
-        return pd.DataFrame(sorted(found), columns=["x", "y"], dtype="int64")
 
+GROUP = ["half", "half_b", "lo", "hi"]
+
+
+def near_places(group: pd.DataFrame, settings: Settings, block: int = 192):
+    """Pairs of places in a group, in blocks: of other components, in a common table, with minhashes alike enough.
+
+    Each pair comes from the first half and the first table that it shares only.
+    """
+    half, half_b, crossing = group["half"].iloc[0], group["half_b"].iloc[0], group["lo"].iloc[0] != group["hi"].iloc[0]
+    order = np.argsort(group["n"].to_numpy(), kind="stable")
+    roots, sizes, part = (group[c].to_numpy()[order] for c in ("root", "n", "part"))
+    signatures = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(len(group), -1)[order]
+    first, second = (np.stack(group[c].tolist()).astype(np.int64)[order] for c in ("a", "b"))
+    lane = int(np.argmax(first[0] == half))
+    lane_b = None if pd.isna(half_b) else int(np.argmax(second[0] == half_b))
+    least = settings.signature * (settings.percent - settings.margin) / 100
+    for start in range(0, len(order), block):
+        left = np.arange(start, min(start + block, len(order)))
+        for begin in range(start, len(order), block):
+            right = np.arange(begin, min(begin + block, len(order)))
+            if settings.percent * sizes[right[0]] > 100 * sizes[left[-1]]:
+                break
+            good = (roots[left][:, None] != roots[right][None, :]) & (left[:, None] < right[None, :])
+            good &= settings.percent * sizes[right][None, :] <= 100 * sizes[left][:, None]
+            if crossing:
+                good &= part[left][:, None] != part[right][None, :]
+            x, y = np.nonzero(good)
+            x, y = left[x], right[y]
+            if lane:
+                new = ~((first[x, :lane] == first[y, :lane]) & (first[x, :lane] != 0)).any(axis=1)
+                x, y = x[new], y[new]
+            met = (second[x] == second[y]) & (second[x] != 0)
+            fits = met.any(axis=1) if lane_b is None else met[:, lane_b] & ~met[:, :lane_b].any(axis=1)
+            x, y = x[fits], y[fits]
+            alike = (signatures[x] == signatures[y]).sum(axis=1) >= least
+            yield order[x[alike]], order[y[alike]]
+
+
+def table_links(live: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (x, y) that join the components of nodes which meet in a table, for each group a forest of them.
+
+    First each group names the nodes that have a partner whose minhashes are alike enough. Only these get their
+    sets, and the groups compare them in full.
+    """
+    dealt = tables_of(live, settings)
     ship(live.sparkSession)
-    return dealt.groupBy("half", "half_b", "lo", "hi").applyInPandas(compare, "x bigint, y bigint")
+
+    def named(group: pd.DataFrame) -> pd.DataFrame:
+        found: set[int] = set()
+        for x, y in near_places(group, settings):
+            found.update(x.tolist(), y.tolist())
+        return group.iloc[sorted(found)][[*GROUP, "part", "id"]]
+
+    kinds = "half bigint, half_b bigint, lo int, hi int, part int, id bigint"
+    asked, rows = cut(dealt.groupBy(GROUP).applyInPandas(named, kinds), "asked")
+    nodes = live.select("id", "root", "n", "a", "b", "signature")
+    if not rows:
+        return live.select(F.col("id").alias("x"), F.col("id").alias("y")).limit(0)
+
+    def sets(batch: pa.RecordBatch) -> dict:
+        return {"id": batch["id"], "set": [shingles(text, settings.width).tobytes() for text in batch["text"].to_pylist()]}
+
+    wanted = texts.join(asked.select("id").distinct(), "id", "left_semi")
+    with arrow_rows(live.sparkSession, 512):
+        full, _ = cut(map_rows(wanted, sets, "id bigint, set binary"), "sets")
+
+    def forest(group: pd.DataFrame) -> pd.DataFrame:
+        ids, roots, own = group["id"].to_numpy(), group["root"].to_numpy(), group["set"].tolist()
+        above: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in above:
+                root = above[root]
+            return root
+
+        links = []
+        for x, y in near_places(group, settings):
+            for i, j in zip(x, y):
+                a, b = top(roots[i]), top(roots[j])
+                if a == b:
+                    continue
+                left, right = np.frombuffer(own[i], dtype=np.uint64), np.frombuffer(own[j], dtype=np.uint64)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                if 100 * common >= settings.percent * (len(left) + len(right) - common):
+                    above[max(a, b)] = min(a, b)
+                    links.append((ids[i], ids[j]))
+        return pd.DataFrame(links, columns=["x", "y"], dtype="int64")
+
+    groups = asked.join(nodes, "id").join(full, "id").groupBy(GROUP)
+    return cut(groups.applyInPandas(forest, "x bigint, y bigint"), "links")[0]
 
 
 def linked_sets(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -288,8 +339,7 @@ def linked_sets(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFr
                 new = links.count()
                 found += new
                 stars = joined_by(stars, links) if new else stars
-    pairs, many = cut(table_pairs(_with_roots(live, stars), settings), "pairs")
-    return joined_by(stars, linked(pairs.distinct(), texts, settings)) if many else stars
+    return joined_by(stars, table_links(_with_roots(live, stars), texts, settings))
 
 
 def minhash_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
