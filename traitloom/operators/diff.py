@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.operators.matrix import Matrix, term_cells
+from traitloom.operators.bitmaps import bit_of, named, word_of
+from traitloom.operators.matrix import Matrix
 from traitloom.operators.ordering import dense_index
 from traitloom.operators.skew import spread_join
 from traitloom.scratch import cut
@@ -39,38 +40,73 @@ def _sides(a: Matrix, b: Matrix) -> DataFrame:
     return dense_index(terms, ["term"], "idx")[0]
 
 
-def compared_cells(a: Matrix, b: Matrix, sides: DataFrame) -> DataFrame:
-    """``(gene, idx, term, differs)``: cells that differ, and one-sided ones that do not.
+def _placed(matrix: Matrix, sides: DataFrame) -> DataFrame:
+    """``(gene, place, value)``: the listed cells by the common numbers of the terms."""
+    numbers = matrix.vocab.select("idx", F.col("term").cast("string").alias("term")).join(
+        sides.select("term", F.col("idx").alias("place")), "term"
+    )
+    return spread_join(matrix.cells, numbers.select("idx", "place"), "idx", salt_by=["gene"]).select("gene", "place", "value")
+
+
+def compared_words(a: Matrix, b: Matrix, sides: DataFrame) -> DataFrame:
+    """``(gene, word, changed, excepted)``: bitmaps of the terms that differ though both vocabularies
+    have them, and of those that do not differ though only one has them.
 
-    Only listed cells are looked at: what is not listed is ``'0'`` where the vocabulary has
-    the term, and ``'NA'`` where it has not. The rows are grouped by gene and term, so no gene
-    is hot.
+    Each side has one bitmap for ``'1'``, one for ``'NA'`` and one for any other value; what is not
+    listed is ``'0'`` where the vocabulary has the term and ``'NA'`` where it has not. Cells are
+    united by gene and word before the shuffle, then one side is XORed with the other. Only
+    cells that hold another value on both sides are compared one by one.
     """
-    cells = term_cells(a).select("gene", "term", F.col("value").alias("va"), F.lit(None).alias("vb")).unionByName(
-        term_cells(b).select("gene", "term", F.lit(None).alias("va"), F.col("value").alias("vb"))
+    placed = {"a": _placed(a, sides), "b": _placed(b, sides)}
+    kinds = {"one": F.col("value") == "1", "na": F.col("value") == "NA", "odd": ~F.col("value").isin("1", "NA")}
+    none = F.lit(0).cast("bigint")
+    names = [f"{kind}_{side}" for side in placed for kind in kinds] + ["same"]
+
+    def words(rows: DataFrame, **bits) -> DataFrame:
+        return rows.select("gene", word_of("place").alias("word"), *[bits.get(name, none).alias(name) for name in names])
+
+    each = [
+        words(rows, **{f"{kind}_{side}": F.when(test, bit_of("place")).otherwise(none) for kind, test in kinds.items()})
+        for side, rows in placed.items()
+    ]
+    odd_a, odd_b = (
+        rows.where(kinds["odd"]).select("gene", "place", F.col("value").alias(f"v{side}")) for side, rows in placed.items()
     )
-    paired = cells.groupBy("gene", F.col("term").cast("string").alias("term")).agg(
-        F.max("va").alias("va"), F.max("vb").alias("vb")
+    each.append(words(odd_a.join(odd_b, ["gene", "place"]).where("va = vb"), same=bit_of("place")))
+    united = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("gene", "word").agg(
+        *[F.bit_or(name).alias(name) for name in names]
+    )
+    has = [F.bit_or(F.when(F.col("sides").bitwiseAND(side) > 0, bit_of("idx")).otherwise(none)).alias(name) for side, name in ((1, "in_a"), (2, "in_b"))]
+    masks = sides.groupBy(word_of("idx").alias("word")).agg(*has)
+    known = spread_join(united, masks, "word", salt_by=["gene"])
+    differs = F.expr(
+        "((one_a ^ one_b) | ((na_a | ~in_a) ^ (na_b | ~in_b)) | odd_a | odd_b) & ~same"
     )
-    known = spread_join(paired, sides, "term", salt_by=["gene"])
+    alone = F.expr("in_a ^ in_b")
+    return known.select(
+        "gene", "word", differs.bitwiseAND(F.bitwise_not(alone)).alias("changed"), alone.bitwiseAND(F.bitwise_not(differs)).alias("excepted")
+    ).where("changed <> 0 OR excepted <> 0")
 
-    def value(name: str, side: int):
-        unlisted = F.when(F.col("sides").bitwiseAND(side) > 0, "0").otherwise("NA")
-        return F.coalesce(name, unlisted)
 
-    differs = value("va", 1) != value("vb", 2)
-    return known.select("gene", "idx", "term", differs.alias("differs"), (F.col("sides") != 3).alias("alone")).where(
-        F.col("differs") != F.col("alone")
-    ).drop("alone")
+def compared_cells(words: DataFrame, sides: DataFrame) -> DataFrame:
+    """``(gene, idx, term, differs)`` of the bits in ``compared_words``."""
+    both = F.array(
+        F.struct(F.lit(True).alias("differs"), F.col("changed").alias("bits")),
+        F.struct(F.lit(False).alias("differs"), F.col("excepted").alias("bits")),
+    )
+    rows = words.select("gene", "word", F.inline(both)).where("bits <> 0")
+    entries = sides.select(F.struct("idx", "term").alias("entry"), "idx")
+    return named(rows, entries, "entry", "idx", settled=True).select("gene", "entry.idx", "entry.term", "differs")
 
 
 def compare(a: Matrix, b: Matrix) -> Comparison:
     """Compare the genes of ``a`` with those of ``b``; genes only in ``b`` are ignored."""
     sides = _sides(a, b)
     one_sided = sides.where("sides <> 3").select("idx", "term")
-    cells, _ = cut(compared_cells(a, b, sides), "compared-cells")
-    counts = cells.groupBy("gene").agg(
-        F.count_if("differs").alias("changed"), F.count_if(~F.col("differs")).alias("excepted")
+    words, _ = cut(compared_words(a, b, sides), "compared-words")
+    cells = compared_cells(words, sides)
+    counts = words.groupBy("gene").agg(
+        *[F.sum(F.bit_count(name)).alias(name) for name in ("changed", "excepted")]
     )
     genes = (
         a.genes.select("gene", F.col("status").alias("label_a"))

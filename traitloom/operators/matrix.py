@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from traitloom.functions.text import dash_quotes
 from traitloom.operators.annotate import genes_of
+from traitloom.operators.bitmaps import bitmaps, named, united
 from traitloom.operators.ontology import vocabulary
+from traitloom.operators.ordering import dense_index
 from traitloom.operators.skew import spread_join
 
 # The text around the attributes and the rows of an ARFF file.
@@ -33,6 +35,23 @@ def _marked(annotated: DataFrame, mark: str | None) -> DataFrame:
     return annotated if mark is None else annotated.where(F.col("term").contains(mark))
 
 
+def _inherited(
+    direct: DataFrame, by: Sequence[str], closure: DataFrame, name: str, settled: bool
+) -> DataFrame:
+    """``(*by, name)``: distinct, what the closure (term, ancestor, name) names for each key's direct terms.
+
+    Ancestors are numbered by how many terms they have, so that those most shared stand in few words.
+    The bitmap of each term is made once; a key's bitmaps are united before the shuffle, which
+    carries one row for each key and word.
+    """
+    counted = closure.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"), F.any_value(name).alias("named"))
+    ranked, _ = dense_index(counted.withColumn("n", -F.col("n")), ["n", "ancestor"], "place")
+    numbered = spread_join(closure.select("term", "ancestor"), ranked.select("ancestor", "place"), "ancestor", salt_by=["term"])
+    of_term = bitmaps(numbered, ["term"])
+    inherited = united(spread_join(direct, of_term, "term", salt_by=["gene"], few_salt_by=["word"], settled=settled), by)
+    return named(inherited, ranked.select(F.col("named").alias(name), "place"), name, "place")
+
+
 def term_pairs(
     annotated: DataFrame,
     closure: DataFrame,
@@ -48,13 +67,11 @@ def term_pairs(
     says that ``annotated`` is a written table.
     """
     direct = _marked(annotated, mark).select("gene", "status", "term")
-    pairs = spread_join(
-        direct, closure, "term", salt_by=["gene"], few_salt_by=["ancestor"], settled=settled
-    ).select("gene", "status", F.col("ancestor").alias("term"))
     if obsolete is not None:
-        kept = spread_join(direct, obsolete, "term", "left_semi", ["gene"], settled=settled)
-        pairs = pairs.unionByName(kept)
-    return pairs.distinct()
+        kept = obsolete.where(F.col("term").isNotNull())
+        closure = closure.unionByName(kept.select("term", F.col("term").alias("ancestor")))
+    closure = closure.withColumn("inherited", F.col("ancestor"))
+    return _inherited(direct, ["gene", "status"], closure, "inherited", settled).withColumnRenamed("inherited", "term")
 
 
 def labelled_pairs(pairs: DataFrame) -> DataFrame:
@@ -94,23 +111,18 @@ def encode(
 
     Without ``closure`` only direct terms are set. Every annotated gene has a
     row, also one with no term in the vocabulary. The places are looked up for
-    the closure, which is far smaller than the gene-term pairs made from it.
+    the closure, whose bitmaps by term are then united by gene.
     ``settled`` says that ``annotated`` is a written table.
     """
     direct = _marked(annotated, mark).select("gene", "term")
     kept = used_terms(terms, direct, closure) if prune else terms.select("term").distinct()
     vocab, _ = vocabulary(kept)
-    places = vocab
     if closure is not None:
-        places = spread_join(
-            closure, vocab.withColumnRenamed("term", "ancestor"), "ancestor", salt_by=["term"]
-        ).select("term", "idx")
-    cells = (
-        spread_join(direct, places, "term", salt_by=["gene"], few_salt_by=["idx"], settled=settled)
-        .select("gene", "idx")
-        .distinct()
-        .withColumn("value", F.lit("1"))
-    )
+        placed = spread_join(closure, vocab.withColumnRenamed("term", "ancestor"), "ancestor", salt_by=["term"])
+        cells = _inherited(direct, ["gene"], placed, "idx", settled)
+    else:
+        cells = spread_join(direct, vocab, "term", salt_by=["gene"], settled=settled).select("gene", "idx").distinct()
+    cells = cells.withColumn("value", F.lit("1"))
     return Matrix(genes=genes_of(annotated), cells=cells, vocab=vocab)
 
 

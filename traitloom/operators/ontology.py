@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.operators.bitmaps import bit_of, carried, named, places, word_of
 from traitloom.operators.ordering import dense_index
 from traitloom.operators.skew import spread_join
 from traitloom.scratch import cut, cut_measured
@@ -175,23 +177,63 @@ def closure(
             return reduce(DataFrame.unionByName, rounds)
 
 
+@dataclass(frozen=True)
+class Reached:
+    """Terms and which of the sources lead to them, as bitmaps over the numbers of the sources."""
+
+    marks: DataFrame  # at, word, bits
+    sources: DataFrame  # source, place
+
+    @property
+    def terms(self) -> DataFrame:
+        """``term``: everything that some source leads to."""
+        return self.marks.select(F.col("at").alias("term")).distinct()
+
+
+def reached_from(edges: DataFrame, seeds: DataFrame, upward: bool, stride: int = 8) -> Reached:
+    """What the distinct seeds (term) lead to over one edge or more; a seed itself through a cycle only.
+
+    A seed's bit travels over the edges, so that nothing else is touched and no pairs are made.
+    """
+    steps, _ = cut(_steps(edges, upward), "steps")
+    wanted = seeds.select(F.col("term").alias("source")).where(F.col("source").isNotNull()).distinct()
+    sources, _ = dense_index(wanted, ["source"], "place")
+    start = sources.select(F.col("source").alias("at"), word_of("place").alias("word"), bit_of("place").alias("bits"))
+    return Reached(carried(steps, start, stride), sources)
+
+
 def ancestors(edges: DataFrame, seeds: DataFrame | None = None, **options) -> DataFrame:
     """``(term, ancestor)`` of each node among the seeds, the term itself included."""
     nodes = nodes_of(edges)
     if seeds is not None:
         nodes = nodes.join(seeds.select("term").distinct(), "term", "left_semi")
-    pairs = closure(edges, seeds, upward=True, **options)
+    nodes, _ = cut(nodes, "nodes")
+    found = reached_from(edges, nodes, upward=True, **options)
+    pairs = named(found.marks, found.sources, "source", "place", settled=True)
     return (
-        pairs.where(F.col("term") != F.col("reached"))
-        .select("term", F.col("reached").alias("ancestor"))
+        pairs.where(F.col("source") != F.col("at"))
+        .select(F.col("source").alias("term"), F.col("at").alias("ancestor"))
         .unionByName(nodes.select("term", F.col("term").alias("ancestor")))
     )
 
 
 def descendants(edges: DataFrame, roots: DataFrame, **options) -> DataFrame:
     """``(root, term)``: what each root leads down to; a root only through a cycle."""
-    return closure(edges, roots, upward=False, **options).select(
-        F.col("term").alias("root"), F.col("reached").alias("term")
+    found = reached_from(edges, roots, upward=False, **options)
+    return named(found.marks, found.sources, "source", "place", settled=True).select(
+        F.col("source").alias("root"), F.col("at").alias("term")
+    )
+
+
+def counts_below(found: Reached, roots: DataFrame) -> DataFrame:
+    """``(root, descendants)`` for every root, 0 for those without any, counted from the bitmaps."""
+    counts = places(found.marks).groupBy("place").agg(F.count(F.lit(1)).alias("descendants"))
+    known = found.sources.join(counts, "place").select(F.col("source").alias("root"), "descendants")
+    return (
+        roots.select(F.col("term").alias("root"))
+        .distinct()
+        .join(known, "root", "left")
+        .select("root", F.coalesce("descendants", F.lit(0)).alias("descendants"))
     )
 
 

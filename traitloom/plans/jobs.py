@@ -24,12 +24,12 @@ from traitloom.operators.ontology import (
     adjacency,
     ancestors,
     attribute_lines,
-    descendant_counts,
-    descendants,
+    counts_below,
     edges_of,
     named_terms,
     nodes_of,
     obsolete_of,
+    reached_from,
     with_descendants,
 )
 from traitloom.operators.skew import spread_join
@@ -223,11 +223,11 @@ def expand_terms(
     stanzas, _ = cut(with_prefix(read_stanzas(spark, ontology), prefix), "stanzas")
     # this list keeps obsolete terms and ignores alternate ids
     edges, parsed = cut(edges_of(stanzas, alternate_ids=False, live_only=False), "edges")
-    pairs, _ = cut(descendants(edges, root_terms), "descendants")
-    terms, total = cut(with_descendants(pairs, root_terms), "terms")
+    found = reached_from(edges, root_terms, upward=False)
+    terms, total = cut(with_descendants(found.terms, root_terms), "terms")
     files.write_terms(named_terms(terms, term_names(stanzas)), output, mode)
     totals = [("*", total), ("terms parsed", stanzas.count()), ("edges parsed", parsed)]
-    return descendant_counts(pairs, root_terms).unionByName(
+    return counts_below(found, root_terms).unionByName(
         spark.createDataFrame(totals, "root string, descendants bigint")
     )
 

@@ -235,9 +235,9 @@ def descendants(spark, folder):
 def descendant_counts(spark, folder):
     """Descendants per root, and the number of distinct terms under the root ``*``."""
     roots = st.roots(spark, folder)
-    pairs, _ = cut(on.descendants(_edges(spark, folder), roots), "descendants")
-    total = on.with_descendants(pairs, roots).agg(F.count(F.lit(1)).alias("descendants"))
-    return on.descendant_counts(pairs, roots).unionByName(total.withColumn("root", F.lit("*")))
+    found = on.reached_from(_edges(spark, folder), roots, upward=False)
+    total = on.with_descendants(found.terms, roots).agg(F.count(F.lit(1)).alias("descendants"))
+    return on.counts_below(found, roots).unionByName(total.withColumn("root", F.lit("*")))
 
 
 def _checked(spark, folder):
@@ -622,8 +622,8 @@ def scan_lethal_terms(spark, folder):
         F.col("id").alias("term")
     )
     read, _ = cut(with_prefix(read_stanzas(spark, obo), "WBPhenotype:"), "stanzas")
-    pairs = on.descendants(on.edges_of(read, alternate_ids=False, live_only=False), root_terms)
-    return on.named_terms(on.with_descendants(pairs, root_terms), term_names(read))
+    found = on.reached_from(on.edges_of(read, alternate_ids=False, live_only=False), root_terms, upward=False)
+    return on.named_terms(on.with_descendants(found.terms, root_terms), term_names(read))
 
 
 @query
