@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from llm_fixtures import TABLES, docs  # noqa: F401
 
-from traitloom.llm.packing import WORD_BPE, best_fit_packing, encoder, plan_packing, token_pieces
+from traitloom.llm.packing import WORD_BPE, TextEncoder, best_fit_packing, encoder, plan_packing, token_pieces
 
 ODD = [
     "it's I'LL <|endoftext|> x<|startoftext|>y",
@@ -82,3 +82,15 @@ def test_nulls_empty_long_repeats_and_clashing_columns(docs):
     check(found, 4096, [1, 1, 4096, 4096, 809, 2, 3, 3])
     assert token_pieces(docs([(1, None)])).first().ids == [1]
     assert best_fit_packing(docs([])).count() == 0
+
+
+def test_every_low_code_point():
+    """Controls and all characters below U+0250, alone and between letters, as the tokenizer has them."""
+    tokenizer, own = Tokenizer.from_file(WORD_BPE), TextEncoder(WORD_BPE)
+    wrong = []
+    for code in range(0x250):
+        for text in (chr(code), f"a{chr(code)}b", f"A{chr(code)} {chr(code)}9"):
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            if np.frombuffer(own.encode(text), dtype="<u4").tolist() != ids:
+                wrong.append((hex(code), text))
+    assert not wrong

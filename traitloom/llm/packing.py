@@ -73,7 +73,7 @@ class TextEncoder:
         self.bytes = {byte: chr(byte) for byte in shown} | {byte: chr(256 + i) for i, byte in enumerate(hidden)}
 
     def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join(map(self.bytes.__getitem__, part.encode()))
+        shown = part if part.isascii() and part.isprintable() else "".join(map(self.bytes.__getitem__, part.encode()))
         tokens = self.tokenizer.model.tokenize(shown)
         return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
 
