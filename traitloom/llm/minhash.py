@@ -205,14 +205,14 @@ def _open(rows: DataFrame) -> DataFrame:
 def tables_of(live: DataFrame, settings: Settings) -> DataFrame:
     """Rows (half, half_b, lo, hi, part) and a node: what is compared in one task, one group for each (half, half_b, lo, hi).
 
-    Nodes with one first half are compared in one task if they are few; half_b is null then. Those of a
+    Nodes with one first half are compared in one task if they are few; half_b is 0 then. Those of a
     first half with many nodes are dealt by table, and where that is large, too, by pairs of its parts.
     """
     rows, _ = cut(live.withColumn("half", F.explode(F.array_remove("a", 0))), "tables")
     keyed = rows.withColumn("key", F.col("half"))
     halves, _ = cut(_open(keyed), "open")
     met = spread_join(keyed, halves, "key", salt_by=["id"], settled=True)
-    few = met.where(F.col("many") <= settings.most).withColumn("parts", F.lit(1)).withColumn("half_b", F.lit(None).cast("bigint"))
+    few = met.where(F.col("many") <= settings.most).withColumn("parts", F.lit(1)).withColumn("half_b", F.lit(0).cast("bigint"))
     tables = met.where(F.col("many") > settings.most).drop("many", "key").withColumn("half_b", F.explode(F.array_remove("b", 0)))
     tables, _ = cut(tables.withColumn("key", F.xxhash64("half", "half_b")), "tables")
     large = spread_join(tables, _open(tables), "key", salt_by=["id"], settled=True).withColumn(
@@ -229,18 +229,40 @@ def tables_of(live: DataFrame, settings: Settings) -> DataFrame:
 GROUP = ["half", "half_b", "lo", "hi"]
 
 
-def near_places(group: pd.DataFrame, settings: Settings, block: int = 192):
+def in_batches(rows: DataFrame, many: int, each: int, run, schema: str) -> DataFrame:
+    """``run`` for the rows of every GROUP. Small groups share a task's call, about ``each`` rows of them."""
+    batches = max(1, -(-many // each))
+    keyed = rows.withColumn("batch", F.pmod(F.xxhash64(*GROUP), F.lit(batches)))
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def split(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(GROUP)
+        keys = np.stack([batch[c].to_numpy(dtype=np.int64) for c in GROUP])
+        borders = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), len(batch)]
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        made = []
+        for start, stop in zip(borders, borders[1:]):
+            if stop - start > 1:
+                made += run({c: x[start:stop] for c, x in columns.items()})
+        return pd.DataFrame(made, columns=names)
+
+    return keyed.groupBy("batch").applyInPandas(split, schema)
+
+
+def near_places(group: dict, settings: Settings, block: int = 192):
     """Pairs of places in a group, in blocks: of other components, in a common table, with minhashes alike enough.
 
     Each pair comes from the first half and the first table that it shares only.
     """
-    half, half_b, crossing = group["half"].iloc[0], group["half_b"].iloc[0], group["lo"].iloc[0] != group["hi"].iloc[0]
-    order = np.argsort(group["n"].to_numpy(), kind="stable")
-    roots, sizes, part = (group[c].to_numpy()[order] for c in ("root", "n", "part"))
-    signatures = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(len(group), -1)[order]
-    first, second = (np.stack(group[c].tolist()).astype(np.int64)[order] for c in ("a", "b"))
+    if group["root"].min() == group["root"].max():
+        return
+    half, half_b, crossing = group["half"][0], group["half_b"][0], group["lo"][0] != group["hi"][0]
+    order = np.argsort(group["n"], kind="stable")
+    roots, sizes, part = (group[c][order] for c in ("root", "n", "part"))
+    signatures = np.frombuffer(b"".join(group["signature"]), dtype=np.uint8).reshape(len(order), -1)[order]
+    first, second = (np.stack(group[c]).astype(np.int64)[order] for c in ("a", "b"))
     lane = int(np.argmax(first[0] == half))
-    lane_b = None if pd.isna(half_b) else int(np.argmax(second[0] == half_b))
+    lane_b = None if half_b == 0 else int(np.argmax(second[0] == half_b))
     least = settings.signature * (settings.percent - settings.margin) / 100
     for start in range(0, len(order), block):
         left = np.arange(start, min(start + block, len(order)))
@@ -270,17 +292,17 @@ def table_links(live: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     First each group names the nodes that have a partner whose minhashes are alike enough. Only these get their
     sets, and the groups compare them in full.
     """
-    dealt = tables_of(live, settings)
+    dealt, many = cut(tables_of(live, settings), "dealt")
     ship(live.sparkSession)
 
-    def named(group: pd.DataFrame) -> pd.DataFrame:
+    def named(group: dict) -> list[tuple]:
         found: set[int] = set()
         for x, y in near_places(group, settings):
             found.update(x.tolist(), y.tolist())
-        return group.iloc[sorted(found)][[*GROUP, "part", "id"]]
+        return [tuple(group[c][i] for c in (*GROUP, "part", "id")) for i in sorted(found)]
 
     kinds = "half bigint, half_b bigint, lo int, hi int, part int, id bigint"
-    asked, rows = cut(dealt.groupBy(GROUP).applyInPandas(named, kinds), "asked")
+    asked, rows = cut(in_batches(dealt, many, 2 * settings.most, named, kinds), "asked")
     nodes = live.select("id", "root", "n", "a", "b", "signature")
     if not rows:
         return live.select(F.col("id").alias("x"), F.col("id").alias("y")).limit(0)
@@ -292,8 +314,8 @@ def table_links(live: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     with arrow_rows(live.sparkSession, 512):
         full, _ = cut(map_rows(wanted, sets, "id bigint, set binary"), "sets")
 
-    def forest(group: pd.DataFrame) -> pd.DataFrame:
-        ids, roots, own = group["id"].to_numpy(), group["root"].to_numpy(), group["set"].tolist()
+    def forest(group: dict) -> list[tuple]:
+        ids, roots, own = group["id"], group["root"], group["set"]
         above: dict[int, int] = {}
 
         def top(root: int) -> int:
@@ -312,10 +334,10 @@ def table_links(live: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
                 if 100 * common >= settings.percent * (len(left) + len(right) - common):
                     above[max(a, b)] = min(a, b)
                     links.append((ids[i], ids[j]))
-        return pd.DataFrame(links, columns=["x", "y"], dtype="int64")
+        return links
 
-    groups = asked.join(nodes, "id").join(full, "id").groupBy(GROUP)
-    return cut(groups.applyInPandas(forest, "x bigint, y bigint"), "links")[0]
+    groups = asked.join(nodes, "id").join(full, "id")
+    return cut(in_batches(groups, rows, settings.most // 2, forest, "x bigint, y bigint"), "links")[0]
 
 
 def linked_sets(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
