@@ -54,6 +54,33 @@ def test_repeated_changed_and_long(copies):
     assert text[found[0]["start"] : found[0]["end"]] == mit.upper().rstrip(".")
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 5, 10, 40, 150, 300])
+@pytest.mark.parametrize("between", ["\n", " and some other words of ours stand here in the middle "])
+@pytest.mark.parametrize("name, place", [(name, i) for name, texts in TEMPLATES.items() for i in range(len(texts))])
+def test_all_copies_one_after_the_other(name, place, between, copies):
+    """Against exact search: every copy is found at its place, and nothing else beside them."""
+    notice = TEMPLATES[name][place]
+    text = between.join([notice] * copies)
+    exact = re.sub(r"\W+$", "", notice)
+    want = [(match.start(), match.end()) for match in re.finditer(re.escape(exact), text)]
+    assert len(want) == copies
+    found = scan(text, NOTICES, Limits())
+    assert [(x["start"], x["end"]) for x in found if x["license"] == name] == want
+    assert len(found) == copies
+
+
+@pytest.mark.parametrize("copies", [3, 30, 300])
+def test_changed_copies_one_after_the_other(copies):
+    words = TEMPLATES["MIT"][2].split()
+    texts = []
+    for i in range(copies):
+        at = 7 + i * 5 % (len(words) - 14)
+        texts.append(" ".join([*words[:at], *(["inserted"] if i % 2 else []), *words[at + (i % 3 == 0) :]]))
+    found = scan(" ".join(texts), NOTICES, Limits())
+    assert len(found) == copies and {x["license"] for x in found} == {"MIT"}
+    assert min(x["coverage"] for x in found) > 0.9
+
+
 def test_similar_notices_go_to_the_better_one():
     text = "This work is licensed under the GNU General Public License, version 2. Licensed under CC BY-NC 4.0!"
     assert [x["license"] for x in scan(text, NOTICES, Limits())] == ["GPL-2.0", "CC-BY-NC-4.0"]

@@ -135,23 +135,47 @@ def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def windows(notice: list[str], words: list[str], at: dict[str, list[int]], limits: Limits) -> list[tuple[int, int]]:
-    """Parts of the text in which the notice can be.
+def beginnings(notice: list[str], at: dict[str, list[int]], limits: Limits) -> list[int]:
+    """Places, in order, at which the notice can begin.
 
     More words than a match may lack are seeds, the rarest in the text first, so that every
     match has one of them; where a seed stands says where the notice would begin.
     """
     lacking = len(notice) - int(-(-limits.coverage * len(notice) // 1))
     order = sorted(range(len(notice)), key=lambda i: (len(at.get(notice[i], ())), i))
-    begins = sorted(place - i for i in order[: lacking + 1] for place in at.get(notice[i], ()))
-    slack = len(notice) // 2 + 3
-    parts: list[list[int]] = []
+    return sorted({place - i for i in order[: lacking + 1] for place in at.get(notice[i], ())})
+
+
+def aligned(notice: list[str], words: list[str], a: int, b: int, limits: Limits) -> tuple[int, int, int] | None:
+    """(first, last, aligned words) of a match within words[a:b]."""
+    pairs = align(notice, words[a:b])
+    if not pairs:
+        return None
+    first, last = a + pairs[0][1], a + pairs[-1][1]
+    near = len(pairs) >= limits.density * (last - first + 1)
+    return (first, last, len(pairs)) if near and len(pairs) >= limits.coverage * len(notice) else None
+
+
+def matches_of(notice: list[str], words: list[str], begins: list[int], limits: Limits) -> list[tuple[int, int, int]]:
+    """Matches (first, last, aligned words) from left to right, each looked for where it would begin.
+
+    Where copies follow each other no word is unique in a wide window, so each window is hardly
+    longer than the notice and starts after the match before it.
+    """
+    many, slack, least = Counter(notice), len(notice) // 5 + 1, limits.coverage * len(notice)
+    found, free = [], 0
     for begin in begins:
-        if parts and begin - parts[-1][1] <= slack // 2:
-            parts[-1][1] = begin
-        else:
-            parts.append([begin, begin])
-    return [(max(0, a - slack), min(len(words), b + len(notice) + slack)) for a, b in parts]
+        wide, start = max(free, begin - slack), max(free, begin)
+        stop = min(len(words), begin + len(notice) + slack)
+        if stop - wide < least or (Counter(words[wide:stop]) & many).total() < least:
+            continue
+        # the place itself, then with room for words that were put in or left out
+        tries = [(start, min(stop, start + len(notice))), (start, stop), (wide, stop)]
+        tried = [match for a, b in tries if (match := aligned(notice, words, a, b, limits))]
+        if tried:
+            found.append(max(tried, key=lambda match: (match[2], match[0] - match[1])))
+            free = found[-1][1] + 1
+    return found
 
 
 def scan(text: str | None, notices: list[tuple[str, list[str]]], limits: Limits) -> list[dict]:
@@ -174,29 +198,16 @@ def scan(text: str | None, notices: list[tuple[str, list[str]]], limits: Limits)
             at.setdefault(word, []).append(i)
     found = []
     for name, notice in likely:
-        todo = windows(notice, words, at, limits)
-        while todo:
-            a, b = todo.pop()
-            pairs = align(notice, words[a:b])
-            if not pairs:
-                continue
-            first, last = a + pairs[0][1], a + pairs[-1][1]
-            coverage, density = len(pairs) / len(notice), len(pairs) / (last - first + 1)
-            if coverage >= limits.coverage and density >= limits.density:
-                found.append((-len(pairs) * coverage, first, last, name, coverage))
-                todo += [(a, first), (last + 1, b)]  # it may be there again
-            elif b - a > 1.3 * len(notice) + 8:
-                # among copies of the notice words are not unique, or parts of two copies get
-                # aligned: look at each half, with an overlap
-                middle, reach = (a + b) // 2, len(notice) // 2 + 3
-                todo += [(a, middle + reach), (middle - reach, b)]
-    kept: list[tuple] = []
-    for match in sorted(found):
-        if all(match[2] < other[1] or other[2] < match[1] for other in kept):
-            kept.append(match)
+        for first, last, many in matches_of(notice, words, beginnings(notice, at, limits), limits):
+            found.append((-many * many / len(notice), first, last, name, many / len(notice)))
+    kept: list[tuple[int, int, str, float]] = []
+    for _, *match in sorted(found):
+        spot = bisect_left(kept, tuple(match))
+        if (not spot or kept[spot - 1][1] < match[0]) and (spot == len(kept) or match[1] < kept[spot][0]):
+            kept.insert(spot, tuple(match))
     return [
         {"license": name, "start": places[first][0], "end": places[last][1], "coverage": coverage}
-        for _, first, last, name, coverage in sorted(kept, key=lambda match: match[1])
+        for first, last, name, coverage in kept
     ]
 
 
