@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from llm_fixtures import TABLES, docs  # noqa: F401
@@ -49,6 +50,23 @@ def test_many_buckets(docs):
     assert all(abs(taken[s] - targets[s]) <= 2 for s in targets)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_one_very_long_document(docs, seed):
+    rows = [(0, "w " * 20_000, "en", "a")] + [(i, "w " * (9 + i % 3), "en", "a") for i in range(1, 2500)]
+    rows += [(None, "v " * (3 + i % 50), "en", "b") for i in range(2600)]
+    weigh = lambda sources: dict.fromkeys(sources, 1)
+    data = docs(rows)
+    mixed, _, targets = mix_sources(data, F.array("source"), word_count(F.col("text")), weigh, seed=seed)
+    found = mixed.select("row.source", "size", "copies").collect()
+    assert len(found) == len(rows)
+    for source, target in targets.items():
+        missing = target - sum(row.size * row.copies for row in found if row.source == source)
+        least = min(row.copies for row in found if row.source == source)
+        # no document is left that would still fit
+        open_ = [row.size for row in found if row.source == source and row.copies == least]
+        assert -1 <= missing <= min(open_)
+
+
 def test_nulls_empty_repeats_and_clashing_columns(docs):
     rows = [(1, "a b", "en", None), (None, "a b c", "en", None), (2, None, "en", "x"), (3, "", "en", "y"), (3, "", "en", "y")]
     rows += [(4, "q r s t", "en", "x")] * 5

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traitloom.llm.common import WORD
+from traitloom.scratch import cut
 
 BUCKET = 256  # documents in a bucket of the seeded order, about
+MOST_BUCKETS = 2**16  # of one pattern, or of one size
 
 
 def share_targets(sizes: dict[str | None, int], weights: dict[str | None, float], most: float = 3) -> dict:
@@ -108,17 +110,24 @@ def mix_sources(
     driver gets one row for each pattern, so the patterns are bounded by the mixing
     table that names the sources, not by the documents.
 
+    What a pattern lacks after as many whole copies as fit is taken in buckets of the
+    seeded order until one does not fit. The rest is filled from the documents of that
+    and all later buckets, the longest that fit first and those of one size in seeded
+    order, so that in the end no document is left that would still fit.
+
     A document without words is taken at most as often as any other. Documents
-    that repeat are taken each on its own; ties in the seeded order go by doc_id and size.
-    A document's place in the order is the md5 of the seed and its doc_id.
+    that repeat are taken each on its own. A document's place in the order is the md5 of
+    the seed and its doc_id, or its hash if that is null; ties go by that hash.
     """
     pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(sources)).alias("s")), {"ignoreNullFields": "false"})
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    given = F.xxhash64(*[F.col(f"`{name}`") for name in docs.columns]).cast("string")
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), given))))
     rows = docs.select(
         F.struct("*").alias("row"), size.alias("size"), pattern.alias("pattern"),
         F.array_sort(F.array_distinct(sources)).alias("members"), place.alias("place"),
     )
-    stats = rows.groupBy("pattern").agg(
+    slim, _ = cut(rows.drop("row"), "mix-sizes")
+    stats = slim.groupBy("pattern").agg(
         F.any_value("members"), F.sum("size"), F.count(F.lit(1))
     ).collect()
     supply = {name: (tuple(members), words) for name, members, words, _ in sorted(stats)}
@@ -130,50 +139,92 @@ def mix_sources(
     targets = share_targets(sizes, weigh(sizes), most) if total else dict.fromkeys(sizes, 0.0)
     flow = route(supply, {source: int(x + 0.5) for source, x in targets.items()}, most)
     plan = [
-        (name, int(amount // words) if words else 0, int(amount % words) if words else 0, -(-count // BUCKET))
+        (name, int(amount // words) if words else 0, int(amount % words) if words else 0, _buckets(count))
         for name, _, words, count in stats
         for amount in [sum(flow[name].values())]
     ]
     spark = docs.sparkSession
     # one row for each pattern, as collected above
     planned = F.broadcast(spark.createDataFrame(plan, "pattern string, whole int, rest bigint, buckets bigint"))
-    high = F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint")
-    dealt = rows.drop("members").join(planned, "pattern").withColumn(
-        "bucket", F.floor(high * F.col("buckets") / F.lit(2.0**32)).cast("bigint")
-    )
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.drop("members").join(planned, "pattern").withColumn("bucket", _nth_part("place", 1, F.col("buckets")))
+
     # the first bucket, in the seeded order, that does not fit any more
     upto = Window.partitionBy("pattern").orderBy("bucket")
     border = (
-        dealt.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("words"))
+        dealt(slim).groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("words"))
         .withColumn("upto", F.sum("words").over(upto))
         .where(F.col("upto") > F.col("rest"))
         .groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left")), "bucket").alias("border"))
         .select("pattern", "border.*").collect()
     )
     borders = F.broadcast(spark.createDataFrame(border, "pattern string, border bigint, left bigint"))
-    split = dealt.join(borders, "pattern", "left")
-    # beside the border whole buckets are taken or not; patterns whose rest is 0 end at their first bucket
-    plain = split.where(F.col("border").isNull() | (F.col("bucket") != F.col("border"))).select(
-        "row", "size", "pattern",
-        (F.col("whole") + (F.col("bucket") < F.col("border")).cast("int")).alias("copies"),
+    marks = F.broadcast(_fill(dealt(slim).join(borders, "pattern")))
+    split = (
+        dealt(rows).join(borders, "pattern", "left").join(marks, ["pattern", "size"], "left")
+        .withColumn("nest", F.when(F.col("bucket") >= F.col("border"), _nth_part("place", 9, F.col("nests"))))
     )
-    plain = plain.withColumn("copies", F.least(F.coalesce("copies", F.lit(0)), F.lit(most)))
-    # in the border bucket, in order, all that still fit
-    item = F.struct("place", F.col("row.doc_id").alias("doc_id"), "size", "row")
+    at_edge = F.coalesce(F.col("nest") == F.col("edge"), F.lit(False))
+    # whole buckets and whole nests are taken or not; patterns whose rest is 0 end at their first bucket
+    more = (F.col("bucket") < F.col("border")) | F.coalesce(F.col("nest") < F.col("edge"), F.lit(False))
+    plain = split.where(~at_edge).select(
+        "row", "size", "pattern", F.coalesce(F.col("whole") + more.cast("int"), F.lit(0)).alias("copies")
+    )
+    order = Window.partitionBy("pattern", "size").orderBy(F.substring("place", 9, 24), "hash")
     filled = (
-        split.where(F.col("bucket") == F.col("border"))
-        .groupBy("pattern", "whole", "left").agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .withColumn("taken", F.aggregate(
-            "items", F.struct(F.col("left").alias("left"), F.array().cast("array<int>").alias("taken")),
-            lambda state, x: F.struct(
-                (state["left"] - F.when(x["size"] <= state["left"], x["size"]).otherwise(0)).alias("left"),
-                F.array_append(
-                    state["taken"], ((x["size"] > 0) & (x["size"] <= state["left"])).cast("int")
-                ).alias("taken"),
-            ),
-            lambda state: state["taken"],
-        ))
-        .select("pattern", "whole", F.explode(F.arrays_zip("items", "taken")).alias("x"))
-        .select("x.items.row", "x.items.size", "pattern", (F.col("whole") + F.col("x.taken")).alias("copies"))
+        split.where(at_edge).withColumn("hash", F.xxhash64("row"))
+        .withColumn("copies", F.col("whole") + (F.row_number().over(order) <= F.col("keep")).cast("int"))
+        .select("row", "size", "pattern", "copies")
+    )
+    taken = plain.unionByName(filled).withColumn("copies", F.least("copies", F.lit(most)))
+    return taken, sizes, targets
+
+
+def _buckets(count):
+    """How many buckets ``count`` documents are dealt to."""
+    return min(-(-count // BUCKET), MOST_BUCKETS)
+
+
+def _nth_part(place: str, start: int, parts: Column) -> Column:
+    """Which of ``parts`` equal ranges the 8 digits from ``start`` of a place lie in."""
+    high = F.conv(F.substring(place, start, 8), 16, 10).cast("bigint")
+    return F.floor(high * parts / F.lit(2.0**32)).cast("bigint")
+
+
+def _fill(split: DataFrame) -> DataFrame:
+    """What fills the patterns' ``left``: rows (pattern, size, nests, edge, keep).
+
+    Of the documents of a size, dealt to ``nests`` by their place, those below the nest
+    ``edge`` are taken, and the first ``keep`` of that nest. One task of the plan sees the
+    lengths of a pattern and their numbers, so at most as many as the longest text has words.
+    The result has few rows: n different sizes take n * n / 2 words of the left at least.
+    """
+    rest = split.where(
+        (F.col("bucket") >= F.col("border")) & F.col("size").between(1, F.col("left"))
+    ).select("pattern", "size", "left", "place")
+
+    def longest_first(lengths):
+        lengths = lengths.sort_values("size", ascending=False)
+        left, takes = int(lengths["left"].iloc[0]), []
+        for size, many in zip(lengths["size"].tolist(), lengths["many"].tolist()):
+            takes.append(min(many, left // size))
+            left -= takes[-1] * size
+        return lengths.assign(take=takes)[["pattern", "size", "many", "take"]]
+
+    lengths = rest.groupBy("pattern", "size").agg(F.any_value("left").alias("left"), F.count(F.lit(1)).alias("many"))
+    takes = (
+        lengths.groupBy("pattern").applyInPandas(longest_first, "pattern string, size bigint, many bigint, take bigint")
+        .where(F.col("take") > 0)
+        .withColumn("nests", F.least(F.ceil(F.col("many") / BUCKET), F.lit(MOST_BUCKETS)).cast("bigint"))
+    )
+    takes, _ = cut(takes, "mix-lengths")
+    upto = Window.partitionBy("pattern", "size").orderBy("nest")
+    return (
+        rest.join(F.broadcast(takes), ["pattern", "size"])
+        .groupBy("pattern", "size", "nests", "take", _nth_part("place", 9, F.col("nests")).alias("nest"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        .where((F.col("before") < F.col("take")) & (F.col("before") + F.col("n") >= F.col("take")))
+        .select("pattern", "size", "nests", F.col("nest").alias("edge"), (F.col("take") - F.col("before")).alias("keep"))
     )
-    return plain.unionByName(filled), sizes, targets

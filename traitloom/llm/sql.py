@@ -90,7 +90,7 @@ FROM ruled
 SOURCE_MIX = rf"""
 WITH RECURSIVE docs AS (
   SELECT row_number() OVER () AS r, doc_id, source, len({WORDS.format(text="text")})::BIGINT AS size,
-         md5('7:' || coalesce(doc_id::VARCHAR, '')) AS place
+         md5('7:' || doc_id::VARCHAR) AS place
   FROM documents
 ),
 sources AS (
@@ -113,7 +113,7 @@ targets AS (
 plan AS (
   SELECT *, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS amount,
          CASE WHEN source_size > 0 THEN amount // source_size ELSE 0 END AS whole,
-         CASE WHEN source_size > 0 THEN amount % source_size ELSE 0 END AS rest, (n + 255) // 256 AS buckets
+         CASE WHEN source_size > 0 THEN amount % source_size ELSE 0 END AS rest, least((n + 255) // 256, 65536) AS buckets
   FROM targets
 ),
 dealt AS (
@@ -130,23 +130,27 @@ borders AS (
   FROM upto WHERE upto > rest GROUP BY source
 ),
 split AS (
-  SELECT d.*, b.border, b.room,
-         CASE WHEN bucket = border THEN row_number() OVER (PARTITION BY d.source, bucket ORDER BY place, doc_id, size) END AS nth
+  SELECT d.*, b.border, b.room, b.room IS NOT NULL AND bucket >= border AND size BETWEEN 1 AND room AS open
   FROM dealt d LEFT JOIN borders b ON d.source IS NOT DISTINCT FROM b.source
 ),
+lengths AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS turn
+  FROM (SELECT source, size, any_value(room) AS room, count(*) AS many FROM split WHERE open GROUP BY source, size)
+),
 filled AS (
-  SELECT r, source, nth, CASE WHEN size BETWEEN 1 AND room THEN 1 ELSE 0 END AS taken,
-         CASE WHEN size <= room THEN room - size ELSE room END AS room
-  FROM split WHERE nth = 1
+  SELECT source, size, turn, least(many, room // size) AS take, room - size * least(many, room // size) AS room
+  FROM lengths WHERE turn = 1
   UNION ALL
-  SELECT s.r, s.source, s.nth, CASE WHEN s.size BETWEEN 1 AND f.room THEN 1 ELSE 0 END,
-         CASE WHEN s.size <= f.room THEN f.room - s.size ELSE f.room END
-  FROM filled f JOIN split s ON s.source IS NOT DISTINCT FROM f.source AND s.nth = f.nth + 1
+  SELECT l.source, l.size, l.turn, least(l.many, f.room // l.size), f.room - l.size * least(l.many, f.room // l.size)
+  FROM filled f JOIN lengths l ON l.source IS NOT DISTINCT FROM f.source AND l.turn = f.turn + 1
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source, size, open ORDER BY substr(place, 9), doc_id) AS nth FROM split
 )
 SELECT s.doc_id, s.size, s.source_size, s.target,
-       s.size * CASE WHEN f.r IS NOT NULL THEN s.whole + f.taken
-                     WHEN s.border IS NULL THEN 0 ELSE least(3, s.whole + (s.bucket < s.border)::INT) END AS taken
-FROM split s LEFT JOIN filled f USING (r)
+       s.size * CASE WHEN s.border IS NULL THEN 0
+                     ELSE least(3, s.whole + (s.bucket < s.border OR (s.open AND s.nth <= coalesce(f.take, 0)))::INT) END AS taken
+FROM ranked s LEFT JOIN filled f ON s.open AND f.source IS NOT DISTINCT FROM s.source AND f.size = s.size
 """
 
 FILL_IN_MIDDLE = r"""
