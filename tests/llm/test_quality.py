@@ -41,9 +41,26 @@ def test_nulls_empty_repeats_and_clashing_columns(docs):
     assert len(found) == 6
     by_id = {row.doc_id: row for row in found}
     assert by_id[1].n_words == by_id[2].n_words == 0 and by_id[1].base_failed and by_id[2].base_failed
-    assert by_id[4].char_distance is None
+    # a null language has no reference of its own: the document is compared with the whole corpus of 2080 words
+    assert by_id[4].char_distance == by_id[4].word_distance == 0.0
+    assert judged(docs(rows), Rules(min_reference_words=2081))[4].char_distance is None
 
 
 def test_empty_table_and_rare_language(docs):
     assert quality_rules(docs([])).count() == 0
-    assert language_references(docs([(1, "few words", "xx", "a")])) == {}
+    assert language_references(docs([(1, "few words", "xx", "a")])).count() == 0
+
+
+def test_references_by_join_give_the_same(docs):
+    rows = [(i, PROSE[i * 7 :], ["en", "fr", "xx", None][i % 4], "a") for i in range(40)]
+    rows += [(50, "only a few words of a rare language " * 10, "rare", "a")]
+    rows += [(51, " ".join(f"zq{i}%% #{i * i}" for i in range(300)), "rare too", "a")]
+    for least in (100, 2000, 10**6):
+        found = [
+            sorted(map(tuple, quality_rules(docs(rows), Rules(min_reference_words=least, most_carried=most)).collect()))
+            for most in (1000, 0)
+        ]
+        assert found[0] == found[1] and len(found[0]) == 42
+    # a rare language is judged, by the whole corpus
+    by_id = judged(docs(rows), Rules(min_reference_words=2000))
+    assert by_id[51].char_distance is not None and not by_id[51].kept

@@ -2,7 +2,8 @@
 
 Every language gets a reference that is counted over all its documents: a
 histogram of character classes and one of its most common words. A document is
-compared with the reference of its language by the Jensen-Shannon distance. A
+compared with the reference of its language by the Jensen-Shannon distance, or with
+that of the whole corpus where its language has too few words for one. A
 short text is far from any reference by chance alone, so that the distance it
 is allowed grows with one over the root of its number of words, and below
 ``min_words`` the base rules decide alone.
@@ -38,7 +39,7 @@ class Rules:
     common_words: int = 100  # words of a language's reference
     longest_common: int = 32  # code points of a word that can be a common word
     min_reference_words: int = 2000  # words a language needs for a reference
-    min_share: int = 1000  # a reference needs one in so many of all words, so there are at most so many
+    most_carried: int = 1000  # references that go along with the tasks; more are joined to the documents
     char_limit: float = 0.22
     char_slack: float = 0.5  # divided by the root of the number of words
     word_limit: float = 0.18
@@ -109,7 +110,7 @@ def language_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         classes: dict = {}
         totals: Counter = Counter()
         for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-            if text is None or lang is None:
+            if text is None:
                 continue
             found = raw_words(text.lower())
             totals[lang] += len(found)
@@ -131,67 +132,95 @@ def language_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return partial.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple]:
-    """{lang: (class counts, {common word: place}, their counts and the rest)}.
+def language_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Rows (lang, classes, common, counts): the references; that of the whole corpus has a null lang.
 
-    Its size is bounded: a language needs one in ``min_share`` of all words, and has
-    ``common_words`` words of at most ``longest_common`` code points. Documents of
-    other languages, or without one, have no reference and are judged by the base
-    rules.
+    classes are counts in the order of CLASSES; common the most common words, at most
+    ``common_words`` of at most ``longest_common`` code points; counts theirs and that of all
+    other words. A language with fewer than ``min_reference_words`` words has no reference, nor
+    has such a corpus.
     """
     counts, _ = cut(language_counts(docs, rules), "language-counts")
+    whole = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string"))
+    both = counts.where(F.col("lang").isNotNull()).unionByName(whole)
     place = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    top = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= rules.common_words)
-    per_lang = Window.partitionBy("lang")
+    top = both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= rules.common_words)
+
+    def of(kind, *columns):
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*columns))))
+
+    known = F.map_from_entries(of("class", "item", "n"))
+    words = of("word", "place", "item", "n")
     total = F.sum(F.when(F.col("kind") == "words", F.col("n")))
-    rows = (
-        top.withColumn("words", total.over(per_lang))
-        .where(
-            (F.col("words") >= rules.min_reference_words)
-            & (F.col("words") * rules.min_share >= counts.agg(total).scalar())
-        )
-        .drop("place", "words")
-        .collect()
-    )
-    found: dict[str, dict] = {}
-    for lang, kind, item, n in rows:
-        found.setdefault(lang, {"class": {}, "word": {}, "words": {}})[kind][item] = n
-    made = {}
-    for lang, kinds in found.items():
-        ordered = sorted(kinds["word"], key=lambda word: (-kinds["word"][word], word))
-        common = [kinds["word"][word] for word in ordered]
-        made[lang] = (
-            np.array([kinds["class"].get(name, 0) for name in CLASSES]),
-            {word.encode("utf-8", "surrogatepass"): i for i, word in enumerate(ordered)},
-            np.array([*common, kinds["words"][""] - sum(common)]),
+    return (
+        top.groupBy("lang").agg(known.alias("known"), words.alias("words"), total.alias("total"))
+        .where(F.col("total") >= rules.min_reference_words)
+        .select(
+            "lang",
+            F.array(*[F.coalesce(F.col("known")[name], F.lit(0)) for name in CLASSES]).alias("classes"),
+            F.col("words.item").alias("common"),
+            F.array_append(
+                F.col("words.n"), F.col("total") - F.aggregate("words.n", F.lit(0).cast("bigint"), lambda a, n: a + n)
+            ).alias("counts"),
         )
-    return made
+    )
+
+
+def _prepared(classes: list[int], common: list[str], counts: list[int]) -> tuple:
+    places = {word.encode("utf-8", "surrogatepass"): i for i, word in enumerate(common)}
+    return np.array(classes), places, np.array(counts)
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document: doc_id, n_words, base counts, distances and verdict.
 
-    char_distance and word_distance are rounded to 6 places, and null where there is
-    no reference (its language is null, rare, or has few words) or the text has fewer
-    than ``min_words`` words; such a document is kept if the base rules pass. Null and
-    empty texts have no words and fail. Rows that repeat are judged each. Other columns
-    are neither read nor returned.
+    A document whose language is null or has no reference is compared with the whole corpus.
+    char_distance and word_distance are rounded to 6 places, and null where even the corpus
+    has too few words or the text has fewer than ``min_words``; such a document is kept if the
+    base rules pass. Null and empty texts have no words and fail. Rows that repeat are judged
+    each. Other columns are neither read nor returned.
+
+    Up to ``most_carried`` references, of some 2 KB each, go along with the tasks. More are
+    joined to the documents by language; the result is the same.
     """
-    references = language_references(docs, rules)
+    found, many = cut(language_references(docs, rules), "references")
+    asked = typed(docs, doc_id="bigint", text="string", lang="string")
+    names = ("classes", "common", "counts")
+    # one row, of which there always is at most one
+    corpus = found.where(F.col("lang").isNull()).first()
+    corpus = _prepared(*(corpus[name] for name in names)) if corpus else None
+    carried = {}
+    if many <= rules.most_carried:
+        carried = {row.lang: _prepared(*(row[name] for name in names)) for row in found.collect()}
+    else:
+        asked = asked.join(found.where(F.col("lang").isNotNull()), "lang", "left")
+
+    def references(batch: pa.RecordBatch) -> list[tuple | None]:
+        langs = batch["lang"].to_pylist()
+        if carried:
+            return [carried.get(lang, corpus) for lang in langs]
+        if "classes" not in batch.schema.names:
+            return [None] * len(langs)
+        made: dict = {}
+        for at, lang in enumerate(langs):
+            if lang not in made:
+                known = batch["classes"][at].is_valid
+                made[lang] = _prepared(*(batch[name][at].as_py() for name in names)) if known else corpus
+        return [made[lang] for lang in langs]
 
     def judged(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {name: [] for name in (
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "base_failed", "kept", "char_distance", "word_distance",
         )}
-        for doc_id, text, lang in zip(*(batch[name].to_pylist() for name in ("doc_id", "text", "lang"))):
+        for doc_id, text, reference in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), references(batch)):
             words = raw_words(text)
             n = len(words)
             counts = base_counts(text, words)
             failed = n < rules.min_words or 100 * counts[3] > rules.max_repeat_percent * n
             by_class = by_word = None
-            if n >= rules.min_words and lang in references:
-                classes, places, common = references[lang]
+            if n >= rules.min_words and reference:
+                classes, places, common = reference
                 own = np.zeros(len(common))
                 for word, k in Counter(raw_words(text.lower())).items():
                     own[places.get(word, -1)] += k
@@ -206,7 +235,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return out
 
     return map_rows(
-        typed(docs, doc_id="bigint", text="string", lang="string"),
+        asked,
         judged,
         "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,"
         " n_repeat_words bigint, base_failed boolean, kept boolean, char_distance double, word_distance double",

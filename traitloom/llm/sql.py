@@ -35,13 +35,21 @@ classes AS (
   FROM docs
 ),
 own_class AS (SELECT r, lang, unnest([1, 2, 3, 4, 5, 6]) AS k, unnest(list_append(h, n - list_sum(h))) AS n FROM classes),
-ref_class AS (SELECT lang, k, sum(n) AS n FROM own_class WHERE lang IS NOT NULL GROUP BY ALL),
+-- the reference of the whole corpus stands under 'all:', those of the languages under 'l:' and their name
+ref_class AS (
+  SELECT 'l:' || lang AS lang, k, sum(n) AS n FROM own_class WHERE lang IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'all:', k, sum(n) FROM own_class GROUP BY ALL
+),
+each_count AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lw) AS word FROM docs) GROUP BY ALL),
 counts AS (
-  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lw) AS word FROM docs WHERE lang IS NOT NULL)
-  GROUP BY ALL
+  SELECT 'l:' || lang AS lang, word, n FROM each_count WHERE lang IS NOT NULL
+  UNION ALL SELECT 'all:', word, sum(n)::BIGINT FROM each_count GROUP BY word
 ),
 totals AS (SELECT lang, sum(n) AS n FROM counts GROUP BY lang),
-langs AS (SELECT lang, n FROM totals WHERE n >= 2000 AND n * 1000 >= (SELECT sum(n) FROM totals)),
+langs AS (SELECT lang, n FROM totals WHERE n >= 2000),
+named AS (
+  SELECT d.* EXCLUDE (lang), coalesce(l.lang, 'all:') AS lang FROM docs d LEFT JOIN langs l ON l.lang = 'l:' || d.lang
+),
 common AS (
   SELECT lang, word, c.n FROM counts c SEMI JOIN langs USING (lang) WHERE length(word) <= 32
   QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c.n DESC, word) <= 100
@@ -50,10 +58,10 @@ ref_word AS (
   SELECT lang, word, n FROM common
   UNION ALL SELECT lang, NULL, any_value(l.n) - sum(c.n) FROM common c JOIN langs l USING (lang) GROUP BY lang
 ),
-judged AS (SELECT r, d.lang, len(w) AS n FROM docs d SEMI JOIN langs USING (lang) WHERE len(w) >= 50),
+judged AS (SELECT r, d.lang, len(w) AS n FROM named d SEMI JOIN langs USING (lang) WHERE len(w) >= 50),
 hits AS (
   SELECT d.r, c.word, count(*) AS n
-  FROM (SELECT r, lang, unnest(lw) AS word FROM docs SEMI JOIN judged USING (r)) d
+  FROM (SELECT r, lang, unnest(lw) AS word FROM named SEMI JOIN judged USING (r)) d
   LEFT JOIN common c ON c.lang = d.lang AND c.word = d.word GROUP BY ALL
 ),
 word_sides AS (
@@ -63,7 +71,7 @@ word_sides AS (
 ),
 class_sides AS (
   SELECT j.r, o.n / sum(o.n) OVER (PARTITION BY j.r) AS p, f.n / sum(f.n) OVER (PARTITION BY j.r) AS q
-  FROM judged j JOIN own_class o USING (r) JOIN ref_class f ON f.lang = o.lang AND f.k = o.k
+  FROM judged j JOIN own_class o USING (r) JOIN ref_class f ON f.lang = j.lang AND f.k = o.k
 ),
 distances AS (
   SELECT r, side, round(sqrt(greatest(0.0, sum(
