@@ -50,6 +50,50 @@ def test_label_model_counts_copies_of_a_voter_once():
     assert posterior[alone].mean() < 0.5
 
 
+def test_parts_are_counted_over_all_labelled_texts(spark):
+    """Against plain counting, over the whole table."""
+    texts = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet")
+    toxic = {row.doc_id: row.toxic for row in labels.collect() if row.doc_id % 3}
+    want = {("", ""): [0, 0]}
+    for doc_id, text in texts.collect():
+        if toxic.get(doc_id) is None:
+            continue
+        words = {word for word in toxicity.LETTERS.findall((text or "").lower())}
+        parts = {("word", word) for word in words}
+        parts |= {(f"start{n}", word[:n]) for word in words for n in range(4, 9) if len(word) > n}
+        for key in parts | {("", "")}:
+            want.setdefault(key, [0, 0])[toxic[doc_id]] += 1
+    found = toxicity.part_counts(texts, labels, lambda doc_id: doc_id % 3 != 0).collect()
+    assert {(row.kind, row.part): [row.clean, row.toxic] for row in found} == want
+
+
+def test_chance_bound():
+    rng = np.random.default_rng(5)
+    chance = rng.exponential(1, 20_000)
+    levels = lambda strengths: list(zip(*np.unique(np.floor(strengths * 10).astype(int), return_counts=True)))
+    assert (chance >= toxicity.chance_bound(levels(chance), len(chance), 0.05)).sum() <= 3
+    both = np.append(chance, rng.normal(40, 5, 300))
+    bound = toxicity.chance_bound(levels(both), len(both), 0.05)
+    assert 5 < bound < 9 and (chance >= bound).sum() <= 0.1 * (both >= bound).sum()
+    assert toxicity.chance_bound([], 0, 0.05) == float("inf")
+
+
+def test_rare_words_share_a_voter_and_none_is_lost(spark, docs):
+    """Many toxic words, each in few texts: more than there are voters, and too few in the sample to be weighed."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    bad = [f"{a}{b}{c}uq" for a in letters[:6] for b in letters[:10] for c in letters[:10]][:500]
+    calm = corpus(3000)
+    rows = [(i, text if i % 10 else f"{text} {bad[i // 10 % 60]}") for i, text in calm if not (i % 10 == 0 and i > 2990)]
+    settings = toxicity.Settings(most_labelled=600, most_voters=8)
+    labels = labels_of(spark, [(i, 1, int(i % 10 == 0)) for i, _ in rows])
+    model = toxicity.train(docs(rows), labels, ANY, settings)
+    assert all(word in model.lexicon["word"] for word in bad[:60])
+    assert len(set(model.lexicon["word"].values())) < 60
+    scored, score = toxicity.score_texts(docs([(i, f"bal bel {word} bol") for i, word in enumerate(bad[:60])]), model, ["doc_id"])
+    assert all(row[score] >= 0.5 for row in scored.collect())
+
+
 def test_scores_of_the_table(spark):
     rows = op9_weak_toxicity(spark, TABLES).collect()
     assert len(rows) == spark.read.parquet(f"{TABLES}/documents.parquet").count()

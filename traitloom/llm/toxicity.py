@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
-Many weak voters look at a text: one for each word or word beginning that labelled
-rows show to be suspicious (the lexicon), and some patterns. A generative model of the
-votes estimates how often each voter fires on either side and which voters repeat
-each other, and gives every text of the sample a posterior label. A linear classifier
-is trained on these and scores all documents.
+The lexicon holds the words and word beginnings that all labelled rows together show to
+be suspicious. Many weak voters look at a text: one for each of the strongest entries,
+one for each group of the others, and some patterns. A generative model of the votes
+estimates how often each voter fires on either side and which voters repeat each other,
+and gives every text of a sample a posterior label. A linear classifier is trained on
+these and scores all documents.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Collection
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,9 @@ _PARTS = 2**20
 @dataclass(frozen=True)
 class Settings:
     most_labelled: int = 20_000  # labelled rows that the model is fitted on, about
-    most_voters: int = 256  # of the lexicon
-    least_support: int = 3  # toxic texts that a voter of the lexicon fires on
+    most_voters: int = 256  # entries of the lexicon with a voter of their own; the others share
+    least_support: int = 3  # toxic texts that an entry of the lexicon is in
+    false_share: float = 0.05  # of the entries of a kind, that may be there by chance
     least_strength: float = 6.0  # its G statistic, against the many words that are tried
     least_odds: float = 3.0  # its log odds between toxic and clean texts
     rounds: int = 10  # of the label model
@@ -41,13 +45,13 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """The lexicon, {kind: {text: voter}}, and the classifier's weights; at most a few hundred numbers."""
+    """The lexicon, {kind: {text: voter}}, and the classifier's weights, a few hundred numbers."""
 
     lexicon: dict[str, dict[str, int]]
     weights: np.ndarray  # one for each voter, the patterns, the log of the hits, and one for all
 
 
-def text_parts(words: Iterable[str]) -> dict[str, set[str]]:
+def text_parts(words: Collection[str]) -> dict[str, set[str]]:
     """What the lexicon can hold of a text: its words, and the beginnings of its words."""
     return {
         kind: set(words) if size is None else {word[:size] for word in words if len(word) > size}
@@ -60,7 +64,7 @@ class Jury:
 
     def __init__(self, lexicon: dict[str, dict[str, int]]):
         self.lexicon = lexicon
-        self.many = sum(map(len, lexicon.values()))
+        self.many = 1 + max((voter for entries in lexicon.values() for voter in entries.values()), default=-1)
         heads = (entry for kind, entries in lexicon.items() if KINDS[kind] for entry in entries)
         self.heads = {entry[: min(filter(None, KINDS.values()))] for entry in heads}
         self.shortest = min(filter(None, KINDS.values()))
@@ -86,40 +90,76 @@ class Jury:
         return fired
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, trains, settings: Settings) -> DataFrame:
-    """Rows (text, toxic) of about ``most_labelled`` labelled documents that ``trains`` admits.
+def known_labels(labels: DataFrame, trains) -> DataFrame:
+    """Rows (doc_id, toxic) of the ids that ``trains`` admits.
 
-    They are chosen by the hash of their id. A document with several labels is toxic if
-    one says so; labels without an id or a verdict are passed over.
+    A document with several labels is toxic if one says so; labels without an id or a
+    verdict are passed over.
     """
-    known = (
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & trains(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, trains, settings: Settings) -> DataFrame:
+    """Rows (text, toxic) of about ``most_labelled`` labelled documents, chosen by the hash of their id."""
+    known = known_labels(labels, trains)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) * known.count() < settings.most_labelled * _PARTS
     # its size is bounded by most_labelled
     chosen = F.broadcast(known.where(share))
     return cut(typed(docs, doc_id="bigint", text="string").join(chosen, "doc_id").select("text", "toxic"), "labelled")[0]
 
 
-def learn_lexicon(sample: DataFrame, settings: Settings) -> dict[str, dict[str, int]]:
-    """The words and word beginnings that tell toxic texts apart best, by the G statistic."""
+def part_counts(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
+    """Rows (kind, part, clean, toxic): in how many labelled texts of either side a part is, over all of them.
+
+    The row with an empty kind counts the texts themselves.
+    """
 
     def counted(batch: pa.RecordBatch) -> dict[str, list]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-            for kind, parts in text_parts(LETTERS.findall((text or "").lower())).items():
-                seen[min(toxic, 1)].update((kind, part) for part in parts)
+            side = seen[min(toxic, 1)]
+            side["", ""] += 1
+            for kind, parts in text_parts(set(LETTERS.findall((text or "").lower()))).items():
+                side.update(zip(repeat(kind), parts))
         keys = list(seen[0].keys() | seen[1].keys())
         return {
             "kind": [kind for kind, _ in keys], "part": [part for _, part in keys],
             "clean": [seen[0][key] for key in keys], "toxic": [seen[1][key] for key in keys],
         }
 
-    totals = dict(sample.groupBy("toxic").count().collect())
-    toxic_all, all_ = sum(n for label, n in totals.items() if label), sum(totals.values())
-    counts = map_rows(sample, counted, "kind string, part string, clean bigint, toxic bigint")
-    counts = counts.groupBy("kind", "part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    labelled = typed(docs, doc_id="bigint", text="string").join(known_labels(labels, trains), "doc_id")
+    counts = map_rows(labelled.select("text", "toxic"), counted, "kind string, part string, clean bigint, toxic bigint")
+    return counts.groupBy("kind", "part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def chance_bound(levels: list[tuple[int, int]], tried: int, false_share: float) -> float:
+    """The strength from which on at most ``false_share`` of the entries are there by chance.
+
+    levels: (ten times the strength, entries); an entry that tells nothing apart is as strong as
+    x with a chance of at most exp(-x). The weakest level that is strong enough for the number
+    of entries down to it is the bound (Benjamini and Hochberg's step-up rule).
+    """
+    bound, many = math.inf, 0
+    for level, entries in sorted(levels, reverse=True):
+        many += entries
+        if math.exp(-level / 10) * tried <= false_share * many:
+            bound = level / 10
+    return bound
+
+
+def learn_lexicon(counts: DataFrame, settings: Settings) -> dict[str, dict[str, int]]:
+    """The words and word beginnings that tell toxic texts apart, by the G statistic: {kind: {text: voter}}.
+
+    Every entry that is no matter of chance stays. The ``most_voters`` strongest have voters of
+    their own, if they are in enough texts of the sample to be weighed there; the others share
+    one for each kind and size of their odds.
+    """
+    counts, _ = cut(counts.where((F.col("toxic") >= settings.least_support) | (F.col("kind") == "")), "parts")
+    whole = counts.where(F.col("kind") == "").first()
+    toxic_all, all_ = (whole.toxic, whole.toxic + whole.clean) if whole else (0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic_all + 1.0)) - F.log((F.col("clean") + 0.5) / (all_ - toxic_all + 1.0))
     here = F.col("toxic") + F.col("clean")
 
@@ -128,14 +168,34 @@ def learn_lexicon(sample: DataFrame, settings: Settings) -> dict[str, dict[str,
 
     share = toxic_all / max(all_, 1)
     strength = F.round(gain(F.col("toxic"), here * share) + gain(F.col("clean"), here * (1 - share)), 6)
+    rated = (
+        counts.where((F.col("kind") != "") & (F.col("toxic") >= settings.least_support))
+        .withColumn("odds", odds).withColumn("strength", strength)
+    )
+    # stronger than 100 is beyond any number of tries, so there are at most 1000 levels of a kind
+    level = F.when(F.col("odds") > 0, F.least(F.floor(F.col("strength") * 10), F.lit(1000))).otherwise(0).alias("level")
+    levels: dict[str, list] = {kind: [] for kind in KINDS}
+    for row in rated.groupBy("kind", level).agg(F.count(F.lit(1)).alias("entries")).collect():
+        levels[row.kind].append((row.level, row.entries))
+    bounds = {
+        kind: max(settings.least_strength, chance_bound(found, sum(n for _, n in found), settings.false_share))
+        for kind, found in levels.items()
+    }
+    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("kind")]
     best = (
-        counts.where((F.col("toxic") >= settings.least_support) & (odds >= settings.least_odds))
-        .withColumn("strength", strength).where(F.col("strength") >= settings.least_strength)
-        .orderBy(F.desc("strength"), "kind", "part").limit(settings.most_voters).collect()
+        rated.where((F.col("odds") >= settings.least_odds) & (F.col("strength") >= bound))
+        .orderBy(F.desc("strength"), "kind", "part").select("kind", "part", "odds", "toxic").collect()
     )
+    weighed = settings.least_support * max(1.0, all_ / settings.most_labelled)
+    own = [row for row in best if row.toxic >= weighed][: settings.most_voters]
     lexicon: dict[str, dict[str, int]] = {kind: {} for kind in KINDS}
-    for at, row in enumerate(best):
+    for at, row in enumerate(own):
         lexicon[row.kind][row.part] = at
+    groups: dict[tuple, int] = {}
+    for row in best:
+        if row.part not in lexicon[row.kind]:
+            group = row.kind, min(int(row.odds - settings.least_odds), 2)
+            lexicon[row.kind][row.part] = groups.setdefault(group, len(own) + len(groups))
     return lexicon
 
 
@@ -182,10 +242,11 @@ def linear_classifier(features: np.ndarray, posterior: np.ndarray, ridge: float)
 def train(docs: DataFrame, labels: DataFrame, trains, settings: Settings = Settings()) -> Model:
     """Fit the model on the labelled documents that ``trains``, a condition on doc_id, admits.
 
-    Without any labelled documents every score is 0.
+    The lexicon is counted over all of them, the classifier is fitted on a sample. Without any
+    labelled documents, as with empty tables, every score is 0.
     """
+    lexicon = learn_lexicon(part_counts(docs, labels, trains), settings)
     sample = labelled_sample(docs, labels, trains, settings)
-    lexicon = learn_lexicon(sample, settings)
     jury = Jury(lexicon)
 
     def voted(batch: pa.RecordBatch) -> dict[str, list]:
@@ -205,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, trains, settings: Settings = Setti
 def score_texts(docs: DataFrame, model: Model, carry: list[str]) -> tuple[DataFrame, str]:
     """The columns ``carry`` of all documents and their score; also the score's name.
 
-    A null text is scored as an empty one. Rows that repeat are scored each.
+    A null text is scored as an empty one. Rows that repeat are scored each;
+    without documents there are no scores.
     """
     kept = docs.select(*[F.col(f"`{name}`") for name in carry])
     text, score = free_name(kept, "text_"), free_name(kept, "score")
