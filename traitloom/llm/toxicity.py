@@ -19,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,15 +115,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, trains, settings: Settin
 def part_counts(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
     """Rows (kind, part, clean, toxic): in how many labelled texts of either side a part is, over all of them.
 
-    The row with an empty kind counts the texts themselves.
+    The row with an empty kind counts the texts themselves. Labels grow with the documents, so
+    that they meet by a shuffle at every size; of a text only its different words travel, packed.
     """
 
+    def packed(batch: pa.RecordBatch) -> dict[str, list]:
+        pack = zstandard.ZstdCompressor().compress
+        words = (sorted(set(LETTERS.findall((text or "").lower()))) for text in batch["text"].to_pylist())
+        return {"doc_id": batch["doc_id"], "words": [pack(" ".join(each).encode()) for each in words]}
+
     def counted(batch: pa.RecordBatch) -> dict[str, list]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for words, toxic in zip(batch["words"].to_pylist(), batch["toxic"].to_pylist()):
             side = seen[min(toxic, 1)]
             side["", ""] += 1
-            for kind, parts in text_parts(set(LETTERS.findall((text or "").lower()))).items():
+            for kind, parts in text_parts(unpack(words).decode().split()).items():
                 side.update(zip(repeat(kind), parts))
         keys = list(seen[0].keys() | seen[1].keys())
         return {
@@ -130,8 +138,10 @@ def part_counts(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
             "clean": [seen[0][key] for key in keys], "toxic": [seen[1][key] for key in keys],
         }
 
-    labelled = typed(docs, doc_id="bigint", text="string").join(known_labels(labels, trains), "doc_id")
-    counts = map_rows(labelled.select("text", "toxic"), counted, "kind string, part string, clean bigint, toxic bigint")
+    texts = typed(docs, doc_id="bigint", text="string").where(F.col("doc_id").isNotNull() & trains(F.col("doc_id")))
+    words = map_rows(texts, packed, "doc_id bigint, words binary")
+    labelled = words.join(known_labels(labels, trains).hint("merge"), "doc_id").select("words", "toxic")
+    counts = map_rows(labelled, counted, "kind string, part string, clean bigint, toxic bigint")
     return counts.groupBy("kind", "part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
