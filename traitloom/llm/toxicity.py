@@ -13,9 +13,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Collection
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +51,11 @@ class Model:
     weights: np.ndarray  # one for each voter, the patterns, the log of the hits, and one for all
 
 
-def text_parts(words: Collection[str]) -> dict[str, set[str]]:
+def text_parts(words: Collection[str], kinds: Iterable[str] = tuple(KINDS)) -> dict[str, set[str]]:
     """What the lexicon can hold of a text: its words, and the beginnings of its words."""
     return {
-        kind: set(words) if size is None else {word[:size] for word in words if len(word) > size}
-        for kind, size in KINDS.items()
+        kind: set(words) if (size := KINDS[kind]) is None else {word[:size] for word in words if len(word) > size}
+        for kind in kinds
     }
 
 
@@ -124,19 +123,20 @@ def part_counts(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
         words = (sorted(set(LETTERS.findall((text or "").lower()))) for text in batch["text"].to_pylist())
         return {"doc_id": batch["doc_id"], "words": [pack(" ".join(each).encode()) for each in words]}
 
-    def counted(batch: pa.RecordBatch) -> dict[str, list]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+    def counted(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for words, toxic in zip(batch["words"].to_pylist(), batch["toxic"].to_pylist()):
-            side = seen[min(toxic, 1)]
-            side["", ""] += 1
-            for kind, parts in text_parts(unpack(words).decode().split()).items():
-                side.update(zip(repeat(kind), parts))
-        keys = list(seen[0].keys() | seen[1].keys())
-        return {
-            "kind": [kind for kind, _ in keys], "part": [part for _, part in keys],
-            "clean": [seen[0][key] for key in keys], "toxic": [seen[1][key] for key in keys],
-        }
+        toxic = [min(label, 1) for label in batch["toxic"].to_pylist()]
+        yield {"kind": [""], "part": [""], "clean": [toxic.count(0)], "toxic": [toxic.count(1)]}
+        # one kind after the other, so that a task holds the parts of one only
+        for kind in KINDS:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for words, label in zip(batch["words"], toxic):
+                seen[label].update(text_parts(unpack(words.as_py()).decode().split(), [kind])[kind])
+            parts = list(seen[0].keys() | seen[1].keys())
+            yield {
+                "kind": [kind] * len(parts), "part": parts,
+                "clean": [seen[0][part] for part in parts], "toxic": [seen[1][part] for part in parts],
+            }
 
     texts = typed(docs, doc_id="bigint", text="string").where(F.col("doc_id").isNotNull() & trains(F.col("doc_id")))
     words = map_rows(texts, packed, "doc_id bigint, words binary")
