@@ -81,10 +81,11 @@ def test_terms_that_give_an_entity_away(docs):
     found = {row.doc_id: row for row in pii.disclosures(docs(filler + rows), ["doc_id"]).select("row.doc_id", "text", "term").collect()}
     for i in range(4):
         assert [rows[i][1][x.start : x.end] for x in found[i].term] == ["Kowalska"]
-    assert all(not found[i].term for i in (10, 11, 100))
+    assert [rows[4][1][x.start : x.end] for x in found[10].term] == ["Kowalska"]  # names the entity without its address
+    assert all(not found[i].term for i in (11, 100))
     safe = {row.doc_id: row.text for row in pii.sanitise(docs(filler + rows)).collect()}
     assert "[EMAIL]" in safe[0] and "Kowalska" not in safe[0] and "[TERM]" in safe[0] and safe[0].startswith("the note 0 from [TERM], [EMAIL] says")
-    assert safe[11] == "the lone word Nowak, [EMAIL] of nothing" and safe[10] == rows[4][1]
+    assert safe[11] == "the lone word Nowak, [EMAIL] of nothing" and safe[10] == "the [TERM] of another text"
 
 
 def test_a_disclosing_term_is_found_anywhere_in_its_entitys_documents(docs):
@@ -101,6 +102,32 @@ def test_overlapping_spans_become_one(docs):
     assert [row.text for row in pii.sanitise(docs([(1, text)])).collect()] == ["x [CARD] and [EMAIL] end"]
 
 
+def test_many_spans_in_one_text(spark, docs):
+    """Places, and the sanitised text, as a plain version gives them; ever so many of them take no square of time."""
+    text = "".join(f"né {i} a{i}@b.cd, x9{i}.1.2.3 " for i in range(20_000))
+    row = pii.disclosures(docs([(1, text)]), ["doc_id"]).select(*pii.PATTERNS).first()
+    assert {kind: [(x.start, x.end) for x in row[kind]] for kind in PLAIN} == plain_spans(text)
+    safe = re.sub(r"a\d+@b\.cd", "[EMAIL]", text)
+    parts = [(m.start(), m.end()) for m in re.finditer(PLAIN["ip"], safe) if good("ip", m.group())]
+    for start, end in reversed(parts):
+        safe = safe[:start] + "[IP]" + safe[end:]
+    assert pii.sanitise(docs([(1, text)])).first().text == safe
+
+
+def test_terms_that_meet_a_base_span(spark):
+    """A term is left out if any base span, also a long one that began before others, shares a place with it."""
+    cases = [
+        ([(0, 3), (3, 6), (7, 9), (30, 33)], [(3, 7), (8, 20)]), ([(5, 8)], [(0, 20), (1, 2)]), ([(5, 8)], []), ([], [(0, 1)]),
+        ([(i * 7 % 1000, i * 7 % 1000 + 3) for i in range(300)], [(i * 11, i * 11 + i % 5) for i in range(1, 90)]),
+    ]
+    kind = "array<struct<start:int,end:int,value:string>>"
+    rows = [([(a, b, "t") for a, b in terms], [(a, b, "b") for a, b in base]) for terms, base in cases]
+    data = spark.createDataFrame(rows, f"terms {kind}, base {kind}")
+    for (terms, base), row in zip(cases, data.select(pii.outside(data.terms, data.base).alias("free")).collect()):
+        want = [(a, b) for a, b in terms if not any(c < b and a < d for c, d in base)]
+        assert sorted((x.start, x.end) for x in row.free) == sorted(want)
+
+
 @pytest.mark.parametrize("extra", [[], ["at", "email", "term", "any", "row", "entity"]])
 def test_nulls_empty_repeats_and_clashing_columns(docs, extra):
     rows = [(1, None), (2, ""), (None, "a@b.cd"), (3, "a@b.cd"), (3, "a@b.cd"), (4, "none")]

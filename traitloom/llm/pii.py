@@ -63,36 +63,95 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """The items in blocks of the square root of their number.
+
+    Spark's arrays and strings are copied when something is appended and read from their start
+    when a place is looked up; by blocks that stays far from the square of their length.
+    """
+    step = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), step), lambda at: at <= F.size(items))
+    return F.transform(starts, lambda at: F.slice(items, at, step))
+
+
+def _greater(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _running(numbers: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of the numbers, what ``merge`` (a sum or the greatest) makes of all up to it, from 0 on."""
+    none = F.array().cast("array<int>")
+
+    def along(items: Column, first: Column) -> Column:
+        return F.aggregate(
+            items,
+            F.struct(first.alias("last"), none.alias("all")),
+            lambda done, x: F.struct(
+                merge(done["last"], x).alias("last"), F.array_append(done["all"], merge(done["last"], x)).alias("all")
+            ),
+            lambda done: done["all"],
+        )
+
+    def by_block(blocks: Column) -> Column:
+        last = along(F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), merge)), F.lit(0))
+        return F.flatten(F.zip_with(blocks, F.concat(F.array(F.lit(0)), last), lambda block, first: F.when(
+            block.isNull(), none).otherwise(along(block, first))))
+
+    return _bound(_bound(numbers, _blocks), by_block)
+
+
 def spans(text: Column, pattern: Column | str) -> Column:
     """All matches, left to right: array of (start, end, value) in code points, end exclusive.
 
     What lies between the matches gives their places.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans")
-    )
-    return F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value")),
-        start,
-        lambda done, x: F.struct(
-            (done["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(
-                x["value"].isNotNull(),
-                F.array_append(
-                    done["spans"],
-                    F.struct(
-                        (done["at"] + x["gap"]).alias("start"),
-                        (done["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                        x["value"].alias("value"),
-                    ),
-                ),
-            ).otherwise(done["spans"]).alias("spans"),
-        ),
-        lambda done: done["spans"],
+    found = F.struct(
+        F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap)).alias("gaps"),
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("values"),
     )
 
+    def placed(found: Column) -> Column:
+        ends = _running(
+            F.zip_with(found["gaps"], found["values"], lambda gap, value: gap + F.coalesce(F.length(value), F.lit(0))),
+            lambda a, b: a + b,
+        )
+        each = F.zip_with(found["values"], ends, lambda value, end: F.struct(
+            (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")
+        ))
+        return F.filter(each, lambda x: x["value"].isNotNull())
+
+    return _bound(found, placed)
+
+
+def outside(terms: Column, base: Column) -> Column:
+    """The terms that share no place with a base span.
+
+    A term meets one if of the base spans that begin before its end, one ends after its start.
+    """
+    events = F.array_sort(F.concat(
+        F.transform(terms, lambda x: F.struct(
+            x["end"].alias("at"), F.lit(0).alias("order"), x["start"].alias("from"), F.lit(0).alias("reach"), x["value"].alias("value"))),
+        F.transform(base, lambda x: F.struct(
+            x["start"].alias("at"), F.lit(1).alias("order"), x["start"].alias("from"), x["end"].alias("reach"), F.lit("").alias("value"))),
+    ))
+
+    def free(events: Column) -> Column:
+        reached = _running(F.transform(events, lambda x: x["reach"]), _greater)
+        each = F.zip_with(events, reached, lambda x, reach: F.struct(
+            x["from"].alias("start"), x["at"].alias("end"), x["value"].alias("value"),
+            ((x["order"] == 0) & (reach <= x["from"])).alias("free"),
+        ))
+        kept = F.filter(each, lambda x: x["free"])
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
+    return _bound(events, free)
+
 
 def base_spans(text: Column, kind: str) -> Column:
     """Valid matches of one kind; texts without its telling character are not searched."""
@@ -124,29 +183,59 @@ def terms_of(text: Column, shortest: int) -> Column:
 
 
 def found_entities(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Write, for every document: ``row`` (its columns ``carry``), at (its number), the spans of each kind, and
-    the text where there is any span."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    """Write, for every document: ``row`` (its columns ``carry``), at (its number), text (null stays null),
+    the spans of each kind, and whether there is any."""
     row = F.struct(*[F.col(f"`{name}`") for name in carry])
-    marked = docs.select(row.alias("row"), text.alias("text")).select(
-        "row", F.monotonically_increasing_id().alias("at"), "text",
-        *[base_spans(F.col("text"), kind).alias(kind) for kind in PATTERNS],
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.select(row.alias("row"), F.col("text").cast("string").alias("text")).select(
+        "row", F.monotonically_increasing_id().alias("at"), "text", *[base_spans(text, kind).alias(kind) for kind in PATTERNS]
     )
-    marked = marked.withColumn("any", F.greatest(*[F.size(kind) for kind in PATTERNS]) > 0)
-    return cut(marked.withColumn("text", F.when(F.col("any"), F.col("text"))), "entities")[0]
+    return cut(marked.withColumn("any", F.greatest(*[F.size(kind) for kind in PATTERNS]) > 0), "entities")[0]
+
+
+def _cuts(text: Column, reach: int) -> Column:
+    """The text in pieces of ``step`` code points, each with ``reach`` more on either side."""
+
+    def cuts(step: Column) -> Column:
+        def piece(k: Column) -> Column:
+            origin = F.greatest(k * step - reach, F.lit(0))
+            return F.substring(text, origin + 1, (k + 1) * step + reach - origin)
+
+        many = F.floor(F.length(text) / step).cast("int")
+        return F.struct(step.alias("step"), F.transform(F.sequence(F.lit(0), many), piece).alias("pieces"))
+
+    return _bound(F.greatest(F.lit(4 * reach), F.ceil(F.sqrt(F.length(text))).cast("int")), cuts)
+
+
+def _part(cuts: Column, reach: int, place: Column, shift: Column, size: Column) -> Column:
+    """``size`` code points of the cut text from ``place + shift`` on, none of them over ``reach`` away from ``place``."""
+    k = F.floor(place / cuts["step"]).cast("int")
+    origin = F.greatest(k * cuts["step"] - reach, F.lit(0))
+    return F.substring(F.get(cuts["pieces"], k), place + shift - origin + 1, size)
 
 
 def entity_terms(found: DataFrame, rule: Disclosure) -> DataFrame:
     """Rows (at, same, entity, term): the words around each entity of each document."""
-    entity = F.explode(each_span(lambda kind, x: F.struct(
-        F.concat(F.lit(f"{kind}:"), _same_form(kind, x["value"])).alias("entity"), x["start"].alias("start"), x["end"].alias("end"),
-    )))
-    each = found.where("any").select("at", "text", F.xxhash64("text").alias("same"), entity.alias("x"))
-    before = F.col("x.start") - rule.reach
-    left = F.substring(F.col("text"), F.greatest(before, F.lit(0)) + 1, F.least(F.col("x.start"), F.lit(rule.reach)))
-    right = F.substring(F.col("text"), F.col("x.end") + 1, F.lit(rule.reach))
+    text = F.col("text")
+
+    def beside(cuts: Column) -> Column:
+        def around(kind: str, x: Column) -> Column:
+            before = F.least(x["start"], F.lit(rule.reach))
+            return F.struct(
+                F.concat(F.lit(f"{kind}:"), _same_form(kind, x["value"])).alias("entity"),
+                (x["start"] > rule.reach).alias("cut"),
+                _part(cuts, rule.reach, x["start"], -before, before).alias("left"),
+                _part(cuts, rule.reach, x["end"], F.lit(0), F.lit(rule.reach)).alias("right"),
+            )
+
+        return each_span(around)
+
+    each = found.where("any").select(
+        "at", F.xxhash64("text").alias("same"), F.explode(_bound(_cuts(text, rule.reach), beside)).alias("x")
+    )
+    left, right = F.col("x.left"), F.col("x.right")
     # a word that the reach cuts in two is not looked at
-    left = F.when(before > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    left = F.when(F.col("x.cut"), F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
     right = F.when(F.length(right) == rule.reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
     words = [F.filter(F.split(F.lower(side), r"\P{L}+"), lambda x: x != "") for side in (left, right)]
     near = F.concat(
@@ -183,33 +272,27 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, rule: Disclosure) -> Data
 
 
 def disclosures(docs: DataFrame, carry: list[str], rule: Disclosure = Disclosure()) -> DataFrame:
-    """One row per document: row (its columns ``carry``), text (null without spans), and spans by kind.
+    """One row per document: row (its columns ``carry``), text (a null stays null), and spans by kind.
 
-    Kinds are email, ip, card, phone, and term: all places in an entity's documents of the
-    words that disclose it, next to it or not. A term inside a base span is no span of its own. Null
-    texts are empty. Rows that repeat are searched each, and count as documents each, but
+    Kinds are email, ip, card, phone, and term: all places, in any document, of the words
+    that disclose an entity; who names such a word gives the entity away also without it. A
+    term that shares a place with a base span is no span of its own. Null texts are empty and have no spans; an
+    empty table gives no rows. Rows that repeat are searched each, and count as documents each, but
     texts that are equal count once for ``least_texts``.
     """
     found = found_entities(docs, carry)
     near, _ = cut(entity_terms(found, rule), "near-terms")
-    revealing, _ = cut(disclosing_terms(docs, near, rule), "disclosing-terms")
-    # a document's list holds words of its own only, from anywhere in its text
-    words = found.where("any").select("at", F.explode(terms_of(F.col("text"), rule.shortest)).alias("term"))
-    holds = near.select("at", "entity").distinct()
-    by_doc = words.join(revealing, "term").join(holds, ["at", "entity"], "left_semi").groupBy("at").agg(
-        F.array_sort(F.collect_set("term")).alias("terms")
-    )
+    revealing, _ = cut(disclosing_terms(found, near, rule).select("term").distinct(), "disclosing-terms")
+    # a document's list holds words of its own only; written, so that Spark knows its size before it moves texts
+    words = found.select("at", F.explode(terms_of(F.col("text"), rule.shortest)).alias("term"))
+    by_doc, _ = cut(
+        words.join(revealing, "term").groupBy("at").agg(F.array_sort(F.collect_set("term")).alias("terms")), "document-terms"
+    )
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    clean = found.where(~F.col("any")).select("row", "text", *PATTERNS, none.alias("term"))
-    asked = found.where("any").join(by_doc, "at", "left")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    inside = F.concat(*PATTERNS)
-    terms = F.filter(
-        spans(F.col("text"), pattern),
-        lambda x: ~F.exists(inside, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])),
-    )
-    return clean.unionByName(
-        asked.select("row", "text", *PATTERNS, F.when(F.size("terms") > 0, terms).otherwise(none).alias("term"))
+    terms = outside(spans(F.col("text"), pattern), F.concat(*PATTERNS))
+    return found.join(by_doc, "at", "left").select(
+        "row", "text", *PATTERNS, F.when(F.size("terms") > 0, terms).otherwise(none).alias("term")
     )
 
 
@@ -229,26 +312,30 @@ def sanitised(text: Column) -> Column:
         ),
         (*PATTERNS, "term"),
     ))
-    return F.aggregate(
-        marks,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("made")),
-        lambda done, x: F.struct(
-            F.greatest(done["at"], x["end"]).alias("at"),
-            F.when(
-                x["start"] >= done["at"],
-                F.concat(done["made"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), x["mark"]),
-            ).otherwise(done["made"]).alias("made"),
-        ),
-        lambda done: F.concat(done["made"], F.substring(text, done["at"] + 1, F.length(text))),
-    )
+
+    def cleaned(marks: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), _running(F.transform(marks, lambda x: x["end"]), _greater))
+        each = F.zip_with(marks, ends, lambda x, before: F.struct(
+            before.alias("before"), x["start"].alias("start"), x["mark"].alias("mark")
+        ))
+        kept = F.filter(each, lambda x: x["start"] >= x["before"])
+
+        def joined(block: Column) -> Column:
+            first, last = block[0]["before"], F.element_at(block, -1)["start"]
+            return _bound(F.substring(text, first + 1, last - first), lambda part: F.array_join(F.transform(block, lambda x: F.concat(
+                F.substring(part, x["before"] - first + 1, x["start"] - x["before"]), x["mark"])), ""))
+
+        made = F.array_join(F.transform(_bound(kept, _blocks), joined), "")
+        return F.concat(made, F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return F.when(F.size(marks) > 0, _bound(marks, cleaned)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
     """The same documents with sanitised texts; texts without spans stay as they are, null too."""
     columns = docs.columns
-    safe = disclosures(docs, columns, rule)
-    new = F.when(F.col("text").isNotNull(), sanitised(F.col("text"))).otherwise(F.col("row.text"))
     made = free_name(docs, "made")
-    return safe.select("row.*", new.alias(made)).select(
+    safe = disclosures(docs, [name for name in columns if name != "text"] or columns, rule)
+    return safe.select("row.*", sanitised(F.col("text")).alias(made)).select(
         *[F.col(made).alias(name) if name == "text" else F.col(f"`{name}`") for name in columns]
     )
