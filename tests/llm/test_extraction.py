@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from llm_fixtures import TABLES
@@ -79,6 +80,24 @@ def test_markup_that_the_end_cuts_off():
     assert main_blocks("<p>1 < 2</p>x <") == ["1 < 2", "x <"]
 
 
+def test_title_lead_and_short_sections_beside_the_container():
+    """What says as much as the container, or leads up to it, is kept without an article element, too."""
+    long = LONG.strip()
+    page = f"""<body><div class="menu"><a href=x>Home</a></div><h1>Title</h1><p>{LONG}</p>
+    <div class="content">{f"<p>{LONG}</p>" * 12}</div><div class="box"><a href=1>More</a></div></body>"""
+    assert main_blocks(page) == ["Title", *[long] * 13]
+    page = f"<body><section><h2>A</h2>{f'<p>{LONG}</p>' * 12}</section><section><h2>B</h2><p>{LONG}</p></section></body>"
+    assert main_blocks(page) == ["A", *[long] * 12, "B", long]
+
+
+def test_deep_pages_take_no_square_of_time():
+    assert main_blocks("<div>w " * 2000) == ["w"] * 2000
+    start = time.process_time()
+    assert len(main_blocks("<div class='a'>w </i>" * 20_000 + "</p>" * 20_000)) == 20_000
+    assert len(main_blocks("<div class='share'>w " * 20_000)) == 6667  # as far in as an element holds two thirds
+    assert time.process_time() - start < 20
+
+
 def test_plain_text_and_misnested_tags():
     assert main_blocks("just words &amp; more") == ["just words & more"]
     assert main_blocks("<p><b>a<p>b</b></div>c") == ["a", "b", "c"]
