@@ -43,6 +43,14 @@ def test_direct_pruned_encoding(spark, annotated, terms):
     assert lines_of(unpruned)[0] == "g1,0,0,1,0,1,lethal"
 
 
+def test_repeated_vocabulary_rows_are_not_broadcast(spark, annotated, terms):
+    repeated = terms.crossJoin(spark.range(1000)).select("term")
+    used = mx.used_terms(repeated, annotated, None)
+    assert tuples(used) == [("GO:1",), ("GO:3",), ("GO:5",)]
+    # both sides of the join are made distinct
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [term") == 2
+
+
 def test_propagated_encoding(spark, annotated, terms, closure):
     matrix = mx.encode(annotated, terms, closure, prune=False, mark="GO")
     assert lines_of(matrix) == ["g1,1,1,1,1,1,lethal", "g2,1,0,0,0,0,viable", "o-c,0,0,0,0,0,viable"]
