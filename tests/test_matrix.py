@@ -67,6 +67,18 @@ def test_pairs(spark, annotated, closure):
     assert tuples(files.pair_lines(mx.labelled_pairs(pairs)))[-2] == ("g2\tGO:1\t0",)
 
 
+def test_inherited_terms_travel_as_lists(spark, annotated, closure, monkeypatch):
+    pairs = mx.term_pairs(annotated, closure, "GO", settled=True)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(flatten(" in plan and "bit_or(" not in plan.split("array_distinct(flatten(")[0]
+    expected = tuples(pairs)
+    # names of all but two ancestors travel, and genes with many of them go through rows
+    monkeypatch.setattr(mx, "_SHARED", 2)
+    assert tuples(mx.term_pairs(annotated, closure, "GO")) == expected
+    monkeypatch.setattr(mx, "_TOGETHER", 7)
+    assert tuples(mx.term_pairs(annotated, closure, "GO")) == expected
+
+
 @settings(max_examples=20, deadline=None)
 @given(some.integers(0, 30), some.sets(some.integers(0, 29)))
 def test_dense_text_matches_brute_force(spark, width, chosen):
