@@ -2,7 +2,9 @@ import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 
+from traitloom.operators import skew
 from traitloom.operators.annotate import annotate, restrict_genes, term_positions, without_first
+from traitloom.operators.bitmaps import carried
 from traitloom.operators.ordering import dense_index
 from traitloom.operators.skew import hot_keys, spread_join
 from traitloom.scratch import cut, cut_measured, scratch_path, shared_folder
@@ -85,3 +87,14 @@ def test_positions_and_first(spark, no_broadcast):
     twice = listed.union(listed)
     assert tuples(without_first(twice, ["at"]), "gene", "at", "copies") == [
         ("a", 1, 1), ("a", 5, 2), ("a", 9, 2), ("b", 2, 1)]
+
+
+def test_steps_look_for_hot_keys_once(spark, no_broadcast, monkeypatch):
+    """A place that 300 steps leave, and a chain behind one of them."""
+    steps = [(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(300, 312)]
+    looked = []
+    monkeypatch.setattr(skew, "hot_keys", lambda *args: looked.append(args) or hot_keys(*args))
+    start = spark.createDataFrame([(0, 0, 1), (300, 0, 2)], "at long, word long, bits long")
+    found = carried(cut(spark.createDataFrame(steps, "at long, next long"), "steps")[0], start)
+    assert tuples(found) == [(i, 0, 1) for i in range(1, 301)] + [(i, 0, 3) for i in range(301, 313)]
+    assert len(looked) == 1
