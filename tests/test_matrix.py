@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traitloom.operators import diff as di
 from traitloom.operators import matrix as mx
 from traitloom.operators import ontology as on
+from traitloom.queries.registry import _rough_lines
 from traitloom.sinks import files
 from traitloom.sources.arff import read_arff
 
@@ -239,3 +240,28 @@ def test_parts_are_read_by_number(spark, tmp_path):
     (folder / "part-99999-x").write_text("@attribute gene string\n@attribute T1 {0,1}\n@attribute class {x}\n@data\ng,0,viable\n")
     (folder / "part-100000-x").write_text("g,1,lethal\n")
     assert tuples(read_arff(spark, str(folder)).genes) == [("g", "lethal")]
+
+
+def test_rough_lines_are_written_out_after_the_sort(spark, tmp_path):
+    """Sorting runs what stands below it three times and in as few tasks as read the table: no line is made there."""
+    lit = [(k, f"n{k % 30}", None if k == 50 else f"Brand#{k % 25 + 1}", None if k == 51 else k % 12) for k in range(60)]
+    parts = spark.createDataFrame([*lit, (None, "n", "Brand#2", 4)], "p_partkey bigint, p_name string, p_brand string, p_size int")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    lines = _rough_lines(spark, str(tmp_path), 5, "p_partkey % 4 = 0", "p_size <> 9")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in plan and "array_join" not in plan[plan.index("RepartitionByExpression") :]
+
+    def data(key, name, brand, size):
+        if size in (7, 8):
+            return "% " + name if size == 7 else "  "
+        brand = brand and int(brand[6:])
+        brand = brand % 25 + 1 if brand and key is not None and key % 4 == 0 else brand
+        named = [i for i in range(1, 26) if i != 5]
+        wide = {0: 10, 1: 26}.get(size % 5, 24)
+        values = [" 1 " if i < 24 and named[i] == brand else "0" for i in range(wide)]
+        return f" {name}/{size},{','.join(values)}, {'lethal' if key is not None and key % 3 == 0 else 'viable'}"
+
+    head = ["@RELATION x", "@attribute gene string", *(f"@ATTRIBUTE 'Brand#{i}' {{0,1}}" for i in range(1, 26) if i != 5)]
+    rows = [(None, "n", "Brand#2", 4), *(row for row in lit if row[3] is not None and row[3] != 9)]
+    want = [*head, "@ATTRIBUTE class {viable,lethal}", "@Data", *(data(*row) for row in rows)]
+    assert [row["line"] for row in lines.collect()] == want
