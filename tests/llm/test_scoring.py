@@ -6,6 +6,8 @@ import numpy as np
 from llm_fixtures import TABLES, docs  # noqa: F401
 from pyspark.sql import functions as F
 
+from traitloom.llm import scoring
+from traitloom.llm.common import arrow_rows
 from traitloom.llm.queries import op7_bloom_lm_scores
 from traitloom.llm.scoring import BlockTable, Settings, build_filter, level_counts, level_of, score_texts, train
 
@@ -106,3 +108,40 @@ def test_rare_words_and_pairs_count_however_large_the_filters(docs):
         assert min(found[i] for found in scores) > 60 * math.log10(0.25) - 3
         assert math.isclose(scores[0][i], scores[1][i], rel_tol=0.05)
     assert scores[0].keys() == scores[1].keys()
+
+
+def test_a_table_is_asked_by_some_of_the_texts_at_a_time(spark, docs, monkeypatch):
+    """Each text is scored once, as it is by a filter that is broadcast, and no wave asks for all keys."""
+    rows = [(i % 70, f"w{i}  a b c{i % 7}\u00a0x ") for i in range(80)] + [(None, None), (None, "a b")]
+    data = docs(rows)
+    waves = []
+    ask = scoring.with_levels
+
+    def asked(parts, name, held, keys_of):
+        waves.append({row.part for row in parts.select("part").collect()})
+        return ask(parts, name, held, keys_of)
+
+    with arrow_rows(spark, 2):
+        small = Settings(most_bits=2**9, block_bits=2**10)
+        model, counts = train(data, small)
+        assert isinstance(model.pairs, BlockTable)
+        monkeypatch.setattr(scoring, "with_levels", asked)
+        found = score_texts(data, model, counts).collect()
+        monkeypatch.undo()
+    want = score_texts(data, *train(data)).collect()
+
+    def known(rows):
+        return sorted((row.doc_id or -1, row.n_tokens, row.n_known, row.train_tokens, round(row.base_score, 6)) for row in rows)
+
+    assert known(found) == known(want) and len(found) == len(rows)
+    everything = set().union(*waves)
+    assert len(everything) > 20 and all(len(wave) < len(everything) / 2 for wave in waves)
+
+
+def test_tokens_are_cut_at_ascii_white_space_only():
+    texts = [" A\tb\x0b\x0cC \r\n", None, "", "  ", "\u00c9\u00a0x \x1cy\x85 \u3000 A", "end"]
+    found, row, begins = scoring.numbered(texts)
+    assert len(set(found)) == len(found)
+    want = [tokens(text) for text in texts]
+    assert [[found[i] for i in row[start:stop]] for start, stop in zip(begins, begins[1:])] == want
+    assert scoring.numbered([])[0] == [] and list(scoring.numbered([])[2]) == [0]

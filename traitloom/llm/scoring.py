@@ -14,20 +14,23 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.common import map_rows, raw_words, slices, typed
+from traitloom.llm.common import map_rows, slices, typed
 from traitloom.scratch import cut, cut_measured, cut_outside, free_shuffles, job_tables
 
 SEED = 42
 LEVELS = 128
 LOT = 8  # blocks of a table that are asked together
+WAVES = 4  # times that a table is asked, each time for the keys of so many of all texts
 END = b""
 _WIDE = np.uint64(0xFFFFFFFF)
 
@@ -201,26 +204,30 @@ def whole_filter(grams: DataFrame, settings: Settings) -> LogBloom | BlockTable:
     return BlockTable(cut_outside(lots, "filter"), blocks, settings.block_bits, settings.probes, settings.steps)
 
 
-class _Numbers(dict):
-    """Numbers 0, 1, 2, ... for the keys in the order in which they are asked for."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
-def numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def numbered(texts: pa.Array | list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different tokens, the number of each token in a row, and where each text begins.
 
     A text's tokens are its words, A-Z lower-cased, and the end.
     """
-    numbers, rows, begins = _Numbers(), [], [0]
-    for text in texts:
-        words = [] if text is None else b" ".join(raw_words(text)).lower().split()
-        words.append(END)
-        rows.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
-        begins.append(begins[-1] + len(words))
-    return list(numbers), np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), np.array(begins)
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    # cut at space and 0x09-0x0D; white space at either side of a text leaves an empty word, which is none
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    tokens = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    if END in tokens:
+        end = tokens.index(END)
+        words = row != end
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[words], minlength=len(sizes))
+        row = row[words]
+    elif len(sizes):
+        end = len(tokens)
+        tokens.append(END)
+    else:
+        return [], row, np.array([0])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return tokens, np.insert(row, ends, end), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
 def hashes(tokens: list[bytes]) -> np.ndarray:
@@ -255,7 +262,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def counted(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch):
-            tokens, row, _ = numbered(part["text"].to_pylist())
+            tokens, row, _ = numbered(part["text"])
             yield {"token": tokens, "n": np.bincount(row, minlength=len(tokens))}
 
     partial = map_rows(typed(docs, text="string"), counted, "token binary, n bigint")
@@ -275,11 +282,11 @@ def text_parts(docs: DataFrame, **columns: str) -> DataFrame:
     return cut(parts.withColumn("part", F.monotonically_increasing_id()), "parts")[0]
 
 
-def word_keys(texts: list[str | None]) -> np.ndarray:
+def word_keys(texts: pa.Array) -> np.ndarray:
     return hashes(numbered(texts)[0])
 
 
-def keys_of_pairs(texts: list[str | None]) -> np.ndarray:
+def keys_of_pairs(texts: pa.Array) -> np.ndarray:
     tokens, row, begins = numbered(texts)
     own, pairs = hashes(tokens), Pairs.among(tokens, row, begins, places=False)
     return pair_keys(own[pairs.first], own[pairs.second])
@@ -292,7 +299,7 @@ def by_lot(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_levels(
-    parts: DataFrame, name: str, held: LogBloom | BlockTable, keys_of: Callable[[list[str | None]], np.ndarray]
+    parts: DataFrame, name: str, held: LogBloom | BlockTable, keys_of: Callable[[pa.Array], np.ndarray]
 ) -> DataFrame:
     """``parts`` with ``name``: the levels of ``keys_of`` of each part's texts, a list of bytes by lot.
 
@@ -304,7 +311,7 @@ def with_levels(
 
     def asked(batch: pa.RecordBatch) -> Iterator[dict]:
         for number, texts in zip(batch["part"].to_pylist(), batch["text"]):
-            keys = keys_of(texts.as_py())
+            keys = keys_of(texts.values)
             lots, order = by_lot(keys, blocks)
             found, begins = np.unique(lots[order], return_index=True)
             keys, bounds = keys[order], [*begins.tolist(), len(order)]
@@ -349,7 +356,7 @@ def levels_told(keys: np.ndarray, told: list[bytes], blocks: int) -> np.ndarray:
 def pair_counts(docs: DataFrame, words: LogBloom | BlockTable) -> DataFrame:
     """Rows (key, context, n): pairs of tokens by hash, with the level of the first token's count."""
 
-    def count(texts: list[str | None], levels_of: Callable[[np.ndarray], np.ndarray]) -> dict:
+    def count(texts: pa.Array, levels_of: Callable[[np.ndarray], np.ndarray]) -> dict:
         tokens, row, begins = numbered(texts)
         own = hashes(tokens)
         pairs = Pairs.among(tokens, row, begins, places=False)
@@ -362,7 +369,7 @@ def pair_counts(docs: DataFrame, words: LogBloom | BlockTable) -> DataFrame:
 
         def counted(batch: pa.RecordBatch) -> Iterator[dict]:
             for part in slices(batch):
-                yield count(part["text"].to_pylist(), shared.value.levels)
+                yield count(part["text"], shared.value.levels)
 
         partial = map_rows(typed(docs, text="string"), counted, schema)
     else:
@@ -370,7 +377,7 @@ def pair_counts(docs: DataFrame, words: LogBloom | BlockTable) -> DataFrame:
 
         def counted_parts(batch: pa.RecordBatch) -> Iterator[dict]:
             for texts, told in zip(batch["text"], batch["words"]):
-                yield count(texts.as_py(), lambda own: levels_told(own, told.as_py(), blocks))
+                yield count(texts.values, lambda own: levels_told(own, told.as_py(), blocks))
 
         partial = map_rows(with_levels(text_parts(docs, text="string"), "words", words, word_keys), counted_parts, schema)
     return partial.groupBy("key").agg(F.max("context").alias("context"), F.sum("n").alias("n"))
@@ -450,7 +457,7 @@ def score_part(
 
     ``words`` and ``both`` give the levels of keys of tokens and pairs where the filter is a table.
     """
-    tokens, row, begins = numbered(part["text"].to_pylist())
+    tokens, row, begins = numbered(part["text"])
     many, different = len(begins) - 1, max(1, len(tokens))
     pairs = Pairs.among(tokens, row, begins)
     own = hashes(tokens)
@@ -477,6 +484,30 @@ def score_part(
     }
 
 
+def _with_place(partial: DataFrame) -> DataFrame:
+    return partial.withColumn("at", F.monotonically_increasing_id())
+
+
+def _scored_in_waves(parts: DataFrame, model: Model, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The written results of ``score``, which is given the parts of one wave at a time, with their levels.
+
+    All parts are in one of the ``WAVES``. The keys that a wave asks for take more room than its texts; they
+    are deleted before the next wave asks.
+    """
+
+    def scored(wave: int) -> DataFrame:
+        own = parts.where(F.pmod(F.xxhash64("part"), F.lit(WAVES)) == wave)
+        asked = with_levels(with_levels(own, "words", model.words, word_keys), "pairs", model.pairs, keys_of_pairs)
+        # a place in this wave and the wave: no two rows of the waves have the same
+        return cut(_with_place(score(asked)).withColumn("at", F.col("at") * WAVES + wave), "scored")[0]
+
+    results = []
+    for wave in range(WAVES):
+        results.append(scored(wave))
+        free_shuffles(parts.sparkSession)
+    return reduce(DataFrame.unionByName, results)
+
+
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -501,19 +532,15 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             ]
             yield score_part(part, shared.value, *asked)
 
-    if tables:
-        parts = with_levels(text_parts(docs, **columns), "words", model.words, word_keys)
-        asked, score = with_levels(parts, "pairs", model.pairs, keys_of_pairs), scored_parts
-    else:
-        asked, score = typed(docs, **columns), scored
-    partial = map_rows(
-        asked,
-        score,
+    schema = (
         "doc_id bigint, n_tokens bigint, known bigint, base double, score double,"
-        " rare array<struct<token:binary,n:int>>",
+        " rare array<struct<token:binary,n:int>>"
     )
     # written once: the number of a row must not change between its uses
-    partial, _ = cut(partial.withColumn("at", F.monotonically_increasing_id()), "scored")
+    if tables:
+        partial = _scored_in_waves(text_parts(docs, **columns), model, lambda asked: map_rows(asked, scored_parts, schema))
+    else:
+        partial, _ = cut(_with_place(map_rows(typed(docs, **columns), scored, schema)), "scored")
     size = F.lit(model.tokens + 0.5 * (model.different + 1))
     rare = (
         partial.select("at", F.explode("rare").alias("x")).select("at", "x.token", F.col("x.n").alias("times"))
