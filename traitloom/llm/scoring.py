@@ -491,8 +491,8 @@ def _with_place(partial: DataFrame) -> DataFrame:
 def _scored_in_waves(parts: DataFrame, model: Model, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The written results of ``score``, which is given the parts of one wave at a time, with their levels.
 
-    All parts are in one of the ``WAVES``. The keys that a wave asks for take more room than its texts; they
-    are deleted before the next wave asks.
+    Each part is in one of the ``WAVES``. The keys that a wave asks for take more room than its texts; Spark is
+    let delete them before the next wave asks.
     """
 
     def scored(wave: int) -> DataFrame:
