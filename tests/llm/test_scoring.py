@@ -138,6 +138,43 @@ def test_a_table_is_asked_by_some_of_the_texts_at_a_time(spark, docs, monkeypatc
     assert len(everything) > 20 and all(len(wave) < len(everything) / 2 for wave in waves)
 
 
+def test_pairs_of_a_larger_corpus_are_sent_packed(spark, docs, monkeypatch):
+    """Millions of pairs go to their lots as a few rows of bytes, not as a row each; a table of them gives their counts back."""
+    rows = [(i, " ".join(f"w{(i * j) % 997} x{j % 5}" for j in range(200))) for i in range(100)] + [(None, None), (100, "")]
+    data, settings, sent = docs(rows), Settings(most_pair_bits=2**10, block_bits=2**12), []
+    count = scoring.pair_counts
+
+    def counted(*asked):
+        sent.append(count(*asked))
+        return sent[-1]
+
+    monkeypatch.setattr(scoring, "pair_counts", counted)
+    model, _ = train(data, settings)
+    monkeypatch.undo()
+    want, context = Counter(), Counter()
+    for _, text in rows:
+        words = tokens(text)
+        context.update(words)
+        want.update(zip([b"", *words], words))
+    assert not isinstance(model.words, BlockTable) and isinstance(model.pairs, BlockTable) and model.pairs.lots > 1
+    assert sent[0].count() * 100 < sum(want.values())
+    pairs = list(want)
+    first, second = (scoring.hashes([pair[i] for pair in pairs]) for i in (0, 1))
+    keys = scoring.pair_keys(first, second)
+    lots = {row.lot: np.frombuffer(row.bits, dtype=np.uint8) for row in model.pairs.rows.collect()}
+    of = scoring.LogBloom.block_of(keys, model.pairs.lots)
+    found = np.zeros(len(keys))
+    for lot, bits in lots.items():
+        found[of == lot] = scoring.LogBloom(bits, len(bits) * 8, settings.probes, settings.steps).counts(keys[of == lot])
+    exact = np.array([want[pair] for pair in pairs])
+    assert (found >= 0.75 * exact).all() and np.mean(found <= 1.25 * exact) > 0.95
+    # what a context leaves to words it was not seen with: 0.75 of each different pair
+    levels = model.words.levels(first)
+    for level in np.unique(levels):
+        here = levels == level
+        assert math.isclose(model.rest[level], 0.75 * here.sum() / exact[here].sum(), rel_tol=1e-9)
+
+
 def test_tokens_are_cut_at_ascii_white_space_only():
     texts = [" A\tb\x0b\x0cC \r\n", None, "", "  ", "\u00c9\u00a0x \x1cy\x85 \u3000 A", "end"]
     found, row, begins = scoring.numbered(texts)
