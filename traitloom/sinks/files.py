@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from traitloom.functions.text import python_bool
 from traitloom.operators.diff import Comparison, report
 from traitloom.operators.matrix import Matrix, arff_header, arff_line, sparse_rows
-from traitloom.scratch import cut
+from traitloom.scratch import cut, free_shuffles
 from traitloom.sources.lines import POSITION
 
 _MODE = "errorifexists"
@@ -66,12 +66,35 @@ def write_arff(matrix: Matrix, path: str, mode: str = _MODE) -> None:
 
 
 def pair_lines(labelled: DataFrame) -> DataFrame:
-    return labelled.select(F.concat_ws("\t", "gene", "term", F.col("label").cast("string")).alias("line"))
-
-
-def write_pairs(labelled: DataFrame, path: str, mode: str = _MODE) -> None:
-    """``gene<TAB>term<TAB>1|0`` lines without a header."""
-    pair_lines(labelled).write.mode(mode).text(path)
+    """A row for each line; for ``(gene, terms, label)`` one row for all lines of a list."""
+    if "terms" not in labelled.columns:
+        return labelled.select(F.concat_ws("\t", "gene", "term", F.col("label").cast("string")).alias("line"))
+    # what stands between two terms: the end of one line and the gene of the next
+    gene = F.coalesce(F.concat("gene", F.lit("\t")), F.lit(""))
+    label = F.concat(F.lit("\t"), F.col("label").cast("string"))
+    terms = F.call_function("array_join", F.col("terms"), F.concat(label, F.lit("\n"), gene))
+    return labelled.where(F.size("terms") > 0).select(F.concat(gene, terms, label).alias("line"))
+
+
+def write_pairs(
+    labelled: DataFrame, path: str, mode: str = _MODE, compression: str = "none", waves: int = 1
+) -> None:
+    """``gene<TAB>term<TAB>1|0`` lines without a header.
+
+    With more ``waves`` the plan runs once for each share of the genes, and only the shuffles of one share
+    stand on disk at a time. The folder is marked as a success after the last.
+    """
+    if waves > 1 and mode == "ignore":
+        raise ValueError("later waves would be added to a folder that the first one ignores")
+    for wave in range(waves):
+        share = labelled
+        if waves > 1:
+            share = labelled.where(F.pmod(F.xxhash64("gene"), F.lit(waves)) == wave)
+        pair_lines(share).write.mode(mode if wave == 0 else "append").option("compression", compression).option(
+            "mapreduce.fileoutputcommitter.marksuccessfuljobs", str(wave == waves - 1).lower()
+        ).text(path)
+        if waves > 1:
+            free_shuffles(labelled.sparkSession)
 
 
 def write_adjacency(adjacency: DataFrame, path: str, mode: str = _MODE) -> None:
